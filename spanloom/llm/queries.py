@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_groups
+from .language_id import identify, learn
+from .mixing import mix
+from .packing import pack_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +18,22 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text of documents, learnt from those that are not held out."""
+    docs = _documents(spark, sf_dir)
+    return identify(docs, learn(docs))
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every row of documents."""
+    return mix(_documents(spark, sf_dir)).drop("copies", "text_key")
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
+    return pack_documents(_documents(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows of documents with the row of their group that stays."""
     return exact_groups(_documents(spark, sf_dir)).drop("keep_locator")
@@ -35,7 +54,10 @@ FROM n WINDOW w AS (PARTITION BY body ORDER BY n_cp DESC, doc_id)
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_language_id": op1_language_id,
+        "op3_source_mixing": op3_source_mixing,
         "op7_exact_dedup": op7_exact_dedup,
+        "op9_best_fit_packing": op9_best_fit_packing,
     }
 
 
