@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import exact_groups
 from .language_id import identify, learn
 from .mixing import mix
+from .ngram_join import link
 from .packing import pack_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +25,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, learn(docs))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every row of documents."""
+    return link(_documents(spark, sf_dir))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every row of documents."""
     return mix(_documents(spark, sf_dir)).drop("copies", "text_key")
@@ -55,6 +61,7 @@ FROM n WINDOW w AS (PARTITION BY body ORDER BY n_cp DESC, doc_id)
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_source_mixing": op3_source_mixing,
         "op7_exact_dedup": op7_exact_dedup,
         "op9_best_fit_packing": op9_best_fit_packing,
