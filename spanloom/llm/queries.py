@@ -11,6 +11,7 @@ from .language_id import identify, learn
 from .mixing import mix
 from .ngram_join import link
 from .packing import pack_documents
+from .pii import report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +41,11 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data, and the words that give it away, in every row of documents."""
+    return report(_documents(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows of documents with the row of their group that stays."""
     return exact_groups(_documents(spark, sf_dir)).drop("keep_locator")
@@ -63,6 +69,7 @@ def queries() -> dict[str, Query]:
         "op1_language_id": op1_language_id,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_source_mixing": op3_source_mixing,
+        "op5_pii": op5_pii,
         "op7_exact_dedup": op7_exact_dedup,
         "op9_best_fit_packing": op9_best_fit_packing,
     }
