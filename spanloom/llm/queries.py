@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality
 from .exact_dedup import exact_groups
+from .html_text import extract
 from .language_id import identify, learn
 from .mixing import mix
 from .ngram_join import link
@@ -36,6 +38,11 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir)).drop("copies", "text_key")
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every row of pages."""
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences."""
     return pack_documents(_documents(spark, sf_dir))
@@ -46,6 +53,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_documents(spark, sf_dir))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every row of documents, and whether it is kept by the rule and the model trained on labels."""
+    docs = _documents(spark, sf_dir)
+    return quality.judge(docs, quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows of documents with the row of their group that stays."""
     return exact_groups(_documents(spark, sf_dir)).drop("keep_locator")
@@ -70,7 +83,9 @@ def queries() -> dict[str, Query]:
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_source_mixing": op3_source_mixing,
         "op5_pii": op5_pii,
+        "op6_quality_rules": op6_quality_rules,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_html_extraction": op8_html_extraction,
         "op9_best_fit_packing": op9_best_fit_packing,
     }
 

@@ -17,7 +17,9 @@ CHUNK = 1 << 20
 _RNG = np.random.default_rng(20240229)
 _LOWER = np.arange(256)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)[_LOWER]
+#: Values of bytes without and with case.
+FOLDED = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)[_LOWER]
+EXACT = np.random.default_rng(20240301).integers(1, 1 << 63, 256, dtype=np.uint64)
 _GAP = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -43,16 +45,26 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def word_hashes(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start positions and hashes of the words of a buffer that ends in white space."""
+def word_spans(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a buffer that ends in white space."""
     inside = ~_GAP[buffer]
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if len(inside) and inside[0]:
         edges = np.concatenate([[0], edges])
-    starts, ends = edges[::2], edges[1::2]
+    return edges[::2], edges[1::2]
+
+
+def range_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, byte_values: np.ndarray) -> np.ndarray:
+    """Hashes of ranges of a buffer."""
     up, down = _power(len(buffer) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[buffer] * up[: len(buffer)], dtype=np.uint64)])
-    return starts, mix64((total[ends] - total[starts]) * down[starts])
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(byte_values[buffer] * up[: len(buffer)], dtype=np.uint64)])
+    return mix64((total[ends] - total[starts]) * down[starts])
+
+
+def word_hashes(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start positions and hashes, without case, of the words of a buffer that ends in white space."""
+    starts, ends = word_spans(buffer)
+    return starts, range_hashes(buffer, starts, ends, FOLDED)
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
