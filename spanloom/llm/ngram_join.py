@@ -8,10 +8,7 @@
    alone; frequent ones are dealt to subclasses, in which any two make a signature, so that a subclass of x survives x - 2 losses. The
    number of subclasses depends on the set's size; partners' sizes are within 3 : 4, so each set is indexed at its own
    level of size and the next.
-3. Documents with a common signature are a bucket; buckets with the same members count once. In rounds, some members of each
-   bucket (its pivots) are compared with those of other components, by exact intersection of the whole sets; what links is
-   joined, and buckets that lie in one component are done. A pivot has then met its whole bucket and leaves it. So every candidate
-   pair is verified or already joined, and no bucket is expanded into all its pairs at once. Rounds go on until no bucket is open.
+3. Documents with a common signature are candidates; see similar_groups for how they are verified.
 
 Hash collisions (64 bits a shingle within a pair, 128 a class) are the only inexactness.
 
@@ -26,22 +23,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .arrow_text import text_bytes
 from .common import is_small, stored
-from .components import components
 from .shingles import mix64, sets_of
+from .similar_groups import PERCENT, members_of, similar_components
 
-PERCENT = 75
 #: A shingle is frequent if batches that have it at least LOCAL times have it FREQUENT times in all.
 LOCAL, FREQUENT = 4, 32
 CELL_BITS = 24
-#: Pairs of a bucket that one round may verify, beyond its share for a few pivots.
-ROUND_PAIRS = 20_000
-#: Members that one task compares with a pivot.
-SALT_ROWS = 2000
 
 
 def _levels() -> np.ndarray:
@@ -77,8 +68,10 @@ def combinations(frequent: np.ndarray, need: int, level: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def signatures(values: np.ndarray, offsets: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of sets, and the row of each."""
+def signatures(values: np.ndarray, offsets: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of sets, the row of each, and the size of its set.
+
+    Linked sets have signatures in common for all but their losses, since a subclass with x common shingles gives x - 1 of them or more."""
     n = np.diff(offsets)
     owner = np.repeat(np.arange(len(n)), n)
     spare = n - (PERCENT * n + 99) // 100 + 1
@@ -94,7 +87,8 @@ def signatures(values: np.ndarray, offsets: np.ndarray, frequent: np.ndarray) ->
             made = combinations(own, int(spare[k] - rare_of[k]), at)
             sigs.append(made)
             rows.append(np.full(len(made), k))
-    return np.concatenate(sigs), np.concatenate(rows)
+    rows = np.concatenate(rows)
+    return np.concatenate(sigs), rows, n[rows]
 
 
 def _as_long(x: np.ndarray) -> pa.Array:
@@ -138,8 +132,8 @@ def _set(bits: np.ndarray, cells: np.ndarray) -> None:
     bits[cells[(cells >= 0) & (cells < len(bits))]] = True
 
 
-def _buckets(reps: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """bucket, node: members of every set of documents that share a signature."""
+def _signature_rows(reps: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """sig, node, n of all signatures."""
     shared = reps.sparkSession.sparkContext.broadcast(frequent)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,67 +142,13 @@ def _buckets(reps: DataFrame, frequent: np.ndarray) -> DataFrame:
             values, offsets = sets_of(*text_bytes(batch.column("text")))
             cells = (values >> np.uint64(64 - CELL_BITS)).astype(np.int64)
             often = (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
-            sigs, rows = signatures(values, offsets, often)
+            sigs, rows, sizes = signatures(values, offsets, often)
             nodes = batch.column("node").to_numpy(zero_copy_only=False)
             for start in range(0, len(sigs), 1 << 17):
                 part = slice(start, start + (1 << 17))
-                yield pa.record_batch([_as_long(sigs[part]), pa.array(nodes[rows[part]])], names=["sig", "node"])
-
-    rows = reps.select("node", "text").mapInArrow(emit, "sig long, node long")
-    w = W.partitionBy("sig")
-    members = rows.withColumn("size", F.count(F.lit(1)).over(w)).withColumn("bucket", F.bit_xor(F.xxhash64("node")).over(w)).where("size > 1")
-    return members.select("bucket", "node").distinct()
-
+                yield pa.record_batch([_as_long(sigs[part]), pa.array(nodes[rows[part]]), pa.array(sizes[part])], names=["sig", "node", "n"])
 
-def _verify(pairs: DataFrame, texts: DataFrame, n_pairs: int) -> DataFrame:
-    """pairs (pivot, node) with linked. Each pivot's text is sent once for every SALT_ROWS nodes, each node's once a pair."""
-    salted = pairs.withColumn("salt", F.floor((F.row_number().over(W.partitionBy("pivot").orderBy("node")) - 1) / SALT_ROWS)) if n_pairs > SALT_ROWS else pairs.withColumn("salt", F.lit(0).cast("long"))
-    wanted = salted.select("pivot", "salt", "node", F.lit(False).alias("first"))
-    wanted = wanted.unionByName(salted.select("pivot", "salt", F.col("pivot").alias("node"), F.lit(True).alias("first")).distinct())
-    rows = texts.join(F.broadcast(wanted) if is_small(2 * n_pairs, 40) else wanted, "node").select("pivot", "salt", "first", "node", "text")
-    dealt = rows.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", F.desc("first"), "node")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(0, np.uint64)
-        for batch in batches:
-            values, offsets = sets_of(*text_bytes(batch.column("text")))
-            first = batch.column("first").to_numpy(zero_copy_only=False)
-            linked = np.zeros(len(first), bool)
-            for k, (is_first, a, b) in enumerate(zip(first.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                own = values[a:b]
-                if is_first:
-                    held = own.copy()
-                elif len(held) and len(own):
-                    both = int((held[np.minimum(np.searchsorted(held, own), len(held) - 1)] == own).sum())
-                    linked[k] = 100 * both >= PERCENT * (len(held) + len(own) - both)
-            keep = ~first
-            yield pa.record_batch([batch.column("pivot"), batch.column("node"), pa.array(linked)], names=["pivot", "node", "linked"]).filter(pa.array(keep))
-
-    return dealt.mapInArrow(compare, "pivot long, node long, linked boolean")
-
-
-def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (node, label) after the links (pivot, node) between them."""
-    a, b = labels.select(F.col("node").alias("pivot"), F.col("label").alias("u")), labels.select("node", F.col("label").alias("v"))
-    joined = components(links.join(a, "pivot").join(b, "node").select("u", "v"))
-    moved = joined.withColumnRenamed("node", "label").withColumnRenamed("label", "label")
-    moved = joined.select(F.col("node").alias("old"), F.col("label").alias("new"))
-    return labels.join(moved, labels["label"] == moved["old"], "left").select("node", F.coalesce("new", "label").alias("label"))
-
-
-def _pairs(buckets: DataFrame, labels: DataFrame, round_: int) -> tuple[DataFrame, DataFrame]:
-    """The next pairs to verify, and the buckets that stay open, without the pivots of these pairs."""
-    w = W.partitionBy("bucket")
-    marked = buckets.join(labels, "node").withColumn("size", F.count(F.lit(1)).over(w)).withColumn("low", F.min("label").over(w)).withColumn("high", F.max("label").over(w)).where("low <> high")
-    marked = marked.withColumn("like", F.count(F.lit(1)).over(W.partitionBy("bucket", "label")))
-    most = F.lit(1) if round_ == 0 else F.greatest(F.lit(4), F.ceil(F.lit(ROUND_PAIRS) / F.col("size"))) if round_ > 1 else F.lit(4)
-    order = ["node"] if round_ == 0 else ["like", "label", "node"]
-    marked = marked.withColumn("nth", F.row_number().over(w.orderBy(*order))).withColumn("is_pivot", F.col("nth") <= most)
-    open_ = stored(marked.select("bucket", "node", "label", "nth", "is_pivot"), "buckets")
-    pivots = open_.where("is_pivot").select("bucket", F.col("node").alias("pivot"), F.col("label").alias("pivot_label"), F.col("nth").alias("pivot_nth"))
-    pairs = open_.join(pivots, "bucket").where("label <> pivot_label AND (NOT is_pivot OR nth > pivot_nth)")
-    pairs = pairs.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node")).distinct()
-    return pairs, open_.where("NOT is_pivot").select("bucket", "node")
+    return reps.select("node", "text").mapInArrow(emit, "sig long, node long, n long")
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -225,34 +165,18 @@ def link(docs: DataFrame) -> DataFrame:
     n_copies = classes.count()
     copies = classes.select("node")
     reps = nodes.join(F.broadcast(copies) if is_small(n_copies, 32) else copies, "node", "left_anti")
-    buckets = stored(_buckets(reps, _frequent_bitmap(profile)), "buckets")
-
-    candidates = stored(buckets.select("node").distinct(), "candidates")
-    n_candidates = candidates.count()
-    texts = stored(reps.select("node", "text").join(F.broadcast(candidates) if is_small(n_candidates, 32) else candidates, "node", "left_semi"), "texts")
-    labels = candidates.withColumn("label", F.col("node"))
-    tested, round_ = None, 0
-    while True:
-        pairs, rest = _pairs(buckets, labels, round_)
-        if tested is not None:
-            pairs = pairs.join(tested, ["pivot", "node"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        n_pairs = pairs.count()
-        if n_pairs:
-            verdicts = stored(_verify(pairs, texts, n_pairs), "verdicts")
-            labels = stored(_relabel(labels, verdicts.where("linked")), "labels")
-            unlinked = verdicts.where("NOT linked").select("pivot", "node")
-            tested = unlinked if tested is None else tested.unionByName(unlinked)
-        buckets = rest
-        round_ += 1
-        if not n_pairs and not rest.limit(1).count():
-            break
+    members = stored(members_of(_signature_rows(reps, _frequent_bitmap(profile))), "members")
+
+    def texts(rows: DataFrame, n: int) -> DataFrame:
+        return reps.join(F.broadcast(rows) if is_small(n, 48) else rows, "node")
+
+    labels = similar_components(members, sets.select("node", "n"), texts)
 
     out = sets.join(classes.withColumnRenamed("rep", "_rep"), "node", "left").withColumn("_rep", F.coalesce("_rep", "node"))
     out = out.join(labels.select(F.col("node").alias("_rep"), "label"), "_rep", "left").select("node", F.col("n").alias("n_shingles"), F.coalesce("label", "_rep").alias("component_id"))
     if plain:
         return out.select(F.col("node").alias("doc_id"), "n_shingles", "component_id")
-    out = out.join(nodes.select("node", "doc_id"), "node")
+    out = stored(out, "linked").join(nodes.select("node", "doc_id"), "node")
     named = out.groupBy("component_id").agg(F.min("doc_id").alias("least"))
     return out.join(named, "component_id").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
 

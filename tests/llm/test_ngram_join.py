@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from spanloom.llm import ngram_join
+from spanloom.llm import ngram_join, similar_groups
 from spanloom.llm.ngram_join import LEVELS, link, one_of_each
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -77,6 +77,15 @@ def test_combinations_of_frequent_shingles_lose_no_link(spark, monkeypatch):
     assert answers(spark, rows) == brute(rows)
 
 
+def test_large_groups_are_solved_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(similar_groups, "SOLVE", 2000)
+    monkeypatch.setattr(similar_groups, "SMALL", 3)
+    monkeypatch.setattr(similar_groups, "ROUND_PAIRS", 10)
+    monkeypatch.setattr(similar_groups, "SALT_ROWS", 7)
+    rows = corpus(6)
+    assert answers(spark, rows) == brute(rows)
+
+
 def test_common_signature_of_any_pair_at_the_threshold():
     r = np.random.default_rng(5)
     for n in [2, 3, 4, 5, 7, 8, 12, 20, 33, 64, 100, 257, 600]:
