@@ -10,10 +10,12 @@ from . import quality
 from .exact_dedup import exact_groups
 from .html_text import extract
 from .language_id import identify, learn
+from .licenses import licence_table, scan, scan_sql
 from .mixing import mix
 from .ngram_join import link
 from .packing import pack_documents
 from .pii import report
+from .substring_dedup import repeated_passages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +50,11 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document that has one."""
+    return scan(_documents(spark, sf_dir), licence_table(spark))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data, and the words that give it away, in every row of documents."""
     return report(_documents(spark, sf_dir))
@@ -64,6 +71,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_documents(spark, sf_dir)).drop("keep_locator")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All paragraphs of documents that other documents repeat."""
+    return repeated_passages(_documents(spark, sf_dir))
+
+
 OP7_SQL = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS n_cp, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents
@@ -82,15 +94,18 @@ def queries() -> dict[str, Query]:
         "op1_language_id": op1_language_id,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_source_mixing": op3_source_mixing,
+        "op4_license_scan": op4_license_scan,
         "op5_pii": op5_pii,
         "op6_quality_rules": op6_quality_rules,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_html_extraction": op8_html_extraction,
         "op9_best_fit_packing": op9_best_fit_packing,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_license_scan": scan_sql(),
         "op7_exact_dedup": OP7_SQL,
     }
