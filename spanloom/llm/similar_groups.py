@@ -198,7 +198,13 @@ def similar_components(members: DataFrame, sizes: DataFrame, texts: Texts) -> Da
     counts = groups.agg(F.count(F.lit(1)).alias("all"), F.count_if("small").alias("small")).first()
     rows = texts(groups.where("small").select("node", "label"), counts["small"]).select("label", "node", "text")
     labels = rows.repartition("label").sortWithinPartitions("label", "node").mapInArrow(_solve, "node long, label long")
-    if counts["all"] > counts["small"]:
+    n_open = counts["all"] - counts["small"]
+    if n_open:
         open_ = groups.where("NOT small").select("node")
-        labels = labels.unionByName(_rounds(pairs.join(open_, "node", "left_semi"), large.join(open_, "node", "left_semi"), texts))
+        own = stored(texts(open_, n_open).select("node", "text"), "texts")  # read in every round
+
+        def open_texts(wanted: DataFrame, n: int) -> DataFrame:
+            return own.join(F.broadcast(wanted) if is_small(n, 48) else wanted, "node")
+
+        labels = labels.unionByName(_rounds(pairs.join(open_, "node", "left_semi"), large.join(open_, "node", "left_semi"), open_texts))
     return stored(labels, "labels")
