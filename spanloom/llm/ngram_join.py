@@ -182,9 +182,13 @@ def link(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of linked ones: the one that names it. All their columns stay."""
-    linked = link(docs)
-    named = stored(linked.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct(), "named")
-    gone = stored(linked.where("NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("_id")).distinct().join(named, "_id", "left_anti"), "gone")
-    n_gone = gone.count()
-    return docs.join(F.broadcast(gone) if is_small(n_gone, 32) else gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    """docs with one document of each group of linked ones: that of the smallest doc_id. All their columns stay."""
+    counts = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if counts["rows"] == counts["ids"]:
+        gone = stored(link(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")), "gone")
+        n_gone = gone.count()
+        return docs.join(F.broadcast(gone) if is_small(n_gone, 32) else gone, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = link(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    kept = rows.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("k")).select(F.col("k._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").drop("_row")
