@@ -18,7 +18,8 @@ _FEED = with_("frames", "feedback")
 
 
 def _prompts(s, d):
-    return A.feedback(s, d).where("row_id < 20").select(F.concat(F.lit("prompt "), "row_id").alias("prompt"), "vec")
+    """The first row of each author as a prompt."""
+    return A.feedback(s, d).groupBy("author").agg(F.min_by("vec", "row_id").alias("vec")).select(F.concat(F.lit("prompt "), "author").alias("prompt"), "vec")
 
 
 def _best(s, d):
@@ -103,7 +104,7 @@ def effective_weights(s, d):
 
 def _batches(s, d):
     """Endorsement batches that authors sent on some days, several times."""
-    o = table(s, d, "orders").where("o_custkey < 200")
+    o = table(s, d, "orders")
     return o.select(F.col("o_custkey").alias("peer"), (F.col("o_orderkey") % 6).alias("day"), F.col("o_orderkey").alias("arrival"), F.round(F.col("o_totalprice") / 250000, 4).alias("score"))
 
 
@@ -152,14 +153,14 @@ def queries():
     }
 
 
-_BATCHES = "batches AS (SELECT o_custkey AS peer, o_orderkey % 6 AS day, o_orderkey AS arrival, round(o_totalprice / 250000, 4) AS score FROM orders WHERE o_custkey < 200)"
+_BATCHES = "batches AS (SELECT o_custkey AS peer, o_orderkey % 6 AS day, o_orderkey AS arrival, round(o_totalprice / 250000, 4) AS score FROM orders)"
 
 
 def oracle_sql():
     return {
         "j7_nearest_feedback": _FEED + _BEST + " SELECT * FROM best",
         "g4_score_factors": _FEED + _BEST + f" SELECT t, round(coalesce(max(CASE WHEN sim >= {TRIGGER} THEN 1 + 0.8 * (1.15 - 1) ELSE 1.0 END) FILTER (accepted), 1.0) * coalesce(max(CASE WHEN sim >= {TRIGGER} THEN 1 + 0.8 * (0.5 - 1) ELSE 1.0 END) FILTER (NOT accepted), 1.0), 6) AS factor FROM best GROUP BY t".replace("1 + 0.8", "CAST(1 AS DOUBLE) + 0.8"),
-        "j8_prompt_scores": _FEED + f" SELECT f.t, 'prompt ' || b.row_id AS prompt, round(least(greatest(({_DOT.format(a='f.vec', b='b.vec')} - 0.15) / 0.2, 0.0), 1.0), 6) AS score FROM frames f CROSS JOIN feedback b WHERE b.row_id < 20",
+        "j8_prompt_scores": _FEED + f" SELECT f.t, 'prompt ' || b.author AS prompt, round(least(greatest(({_DOT.format(a='f.vec', b='b.vec')} - 0.15) / 0.2, 0.0), 1.0), 6) AS score FROM frames f CROSS JOIN (SELECT author, arg_min(vec, row_id) AS vec FROM feedback GROUP BY author) b",
         "j2_frames_in_suggestions": _FEED + ", " + _RANGES + " SELECT t, author, min(sugg) AS sugg FROM frames JOIN ranges ON t >= start_ms AND t < end_ms GROUP BY t, author",
         "j3_contributing_authors": _FEED + ", " + _RANGES + ", n AS (SELECT sugg, author, count(*) AS frames, min(t) AS first FROM frames JOIN ranges ON t >= start_ms AND t < end_ms GROUP BY ALL) SELECT sugg, author, frames, row_number() OVER (PARTITION BY sugg ORDER BY frames DESC, first) AS nth FROM n QUALIFY nth <= 5",
         "j5_weighted_feedback": _DIRECT + ", rows_ AS (SELECT row_id, accepted, CAST(author * 7 + row_id % 5 AS BIGINT) AS author FROM feedback) SELECT row_id, accepted, CAST(NULL AS BIGINT) AS author, CAST(1.0 AS DOUBLE) AS weight FROM rows_ WHERE row_id % 10 = 1 UNION ALL SELECT row_id, accepted, r.author, coalesce(score, 0.1) FROM rows_ r LEFT JOIN direct d ON d.author = r.author WHERE row_id % 10 <> 1 AND coalesce(score, 0.1) >= 0.05",
