@@ -143,24 +143,31 @@ def best_offset(tolerance: int, most_offset: int, ends: int = 50):
             out.append(max(offsets, key=lambda o: count(a, b, o), default=None))  # noqa: B023
         return pd.Series(out, dtype="Int64")
 
-    return pick
+    return pick.asNondeterministic()  # so that the optimizer does not evaluate it again for filters
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def median(a: Column) -> Column:
     """Mean of the middle two, 0 if empty."""
-    s = F.array_sort(a)
-    n = F.size(a)
-    return F.when(n == 0, 0.0).otherwise((F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2.0)
+
+    def middle(s: Column) -> Column:
+        n = F.size(s)
+        return F.when(n == 0, 0.0).otherwise((F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2.0)
+
+    return let(F.array_sort(a), middle)
 
 
 def upper_median(a: Column) -> Column:
-    return F.get(F.array_sort(a), F.floor(F.size(a) / 2).cast("int"))
+    return let(F.array_sort(a), lambda s: F.get(s, F.floor(F.size(s) / 2).cast("int")))
 
 
 def spread(a: Column) -> Column:
     """Median distance from the median."""
-    m = median(a)
-    return median(F.transform(a, lambda x: F.abs(x - m)))
+    return let(a, lambda v: let(median(v), lambda m: median(F.transform(v, lambda x: F.abs(x - m)))))
 
 
 def match(pairs: DataFrame, tolerance: int = 2000, most_offset: int = 600_000, least: int = 30, share: float = 0.55, most_spread: int = 250) -> DataFrame:
@@ -171,9 +178,12 @@ def match(pairs: DataFrame, tolerance: int = 2000, most_offset: int = 600_000, l
     rows = pairs.select("pair_id", a_short.alias("a_short"), F.when(a_short, F.col("a")).otherwise(F.col("b")).alias("short"), F.when(a_short, F.col("b")).otherwise(F.col("a")).alias("long"))
     enough = rows.where(F.least(F.size("short"), F.size("long")) >= least)
     tried = enough.withColumn("offset", best_offset(tolerance, most_offset)("short", "long")).where("offset IS NOT NULL")
-    best = tried.select("pair_id", "offset", "a_short", F.size("short").alias("n"), paired(F.col("short"), F.col("long"), F.col("offset"), tolerance).alias("pairs"))
-    moved = F.transform("pairs", lambda p: F.when(F.col("a_short"), p["s"] - p["l"]).otherwise(p["l"] - p["s"]))
-    out = best.select("pair_id", F.when(F.col("a_short"), -F.col("offset")).otherwise(F.col("offset")).alias("offset"), F.size("pairs").cast("long").alias("matched"), F.round(F.size("pairs") / F.col("n"), 6).alias("fraction"), F.round(spread(moved), 6).alias("spread"), upper_median(moved).alias("trim"))
+    def found(pairs: Column) -> Column:
+        moved = F.transform(pairs, lambda p: F.when(F.col("a_short"), p["s"] - p["l"]).otherwise(p["l"] - p["s"]))
+        return let(moved, lambda m: F.struct(F.size(m).cast("long").alias("matched"), F.round(spread(m), 6).alias("spread"), upper_median(m).alias("trim")))
+
+    best = tried.select("pair_id", "a_short", "offset", F.size("short").alias("n"), let(paired(F.col("short"), F.col("long"), F.col("offset"), tolerance), found).alias("x"))
+    out = best.select("pair_id", F.when(F.col("a_short"), -F.col("offset")).otherwise(F.col("offset")).alias("offset"), "x.matched", F.round(F.col("x.matched") / F.col("n"), 6).alias("fraction"), "x.spread", "x.trim")
     return out.withColumn("same", (F.col("fraction") >= share) & (F.col("spread") <= most_spread))
 
 
