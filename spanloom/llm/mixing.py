@@ -4,9 +4,9 @@ A source's target over its size is the number of times that it is read on averag
 document, its fraction is the inclusion probability of one more reading. The cube method decides these: the flight phase
 moves the probabilities of three documents at a time along the null space of the two balancing equations (tokens and documents) until each but
 two is 0 or 1, by steps whose mean is nought; so the expected number of documents and tokens holds exactly at every step.
-Flights run in blocks of a source, dealt by a hash; what the blocks leave (two documents each) flies once more for the
-whole source. The last two and ten that waited land together: of their 4096 outcomes the one nearest to the mean words and
-documents is taken.
+Flights run in blocks of a source, dealt by a hash; what the blocks leave (two documents each) flies again in fewer blocks,
+until one is left of each source. The last two and ten that waited land together: of their 4096 outcomes the one nearest to the
+mean words and documents is taken. So no task has more than about a block of documents, however large a source is.
 
 Sizes are numbers of words, null text 0. Sources in code point order, null last, have the weights 1, 2, 3, repeating. No
 target is above 3 times its source's size; what is cut off is shared anew by weight. Draws come from hashes of the source and block, so reruns
@@ -16,6 +16,7 @@ part.
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -107,12 +108,14 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return p
 
 
-def _fly(last: bool):
+def _fly(level: int, last: bool = False):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["order", "row_id"], kind="stable")
-        draws = np.random.default_rng(zlib.crc32(repr((key[0], int(key[1]), last)).encode()))
-        size, p, held = rows["size"].to_numpy(np.float64), rows["p"].to_numpy(np.float64), rows["held"].to_numpy(bool).copy()
-        if not last and key[1] == 0:  # a few of the first block wait for the landing
+        draws = np.random.default_rng(zlib.crc32(repr((key[0], int(key[1]), level)).encode()))
+        size, p, held = rows["size"].to_numpy(np.float64), rows["p"].to_numpy(np.float64).copy(), rows["held"].to_numpy(bool).copy()
+        if last:
+            held[:] = False
+        elif level == 0 and key[1] == 0:  # a few of the first block wait for the landing
             held[np.flatnonzero((p > SURE) & (p < 1 - SURE))[:WAITING]] = True
         p[~held] = flight(p[~held], size[~held], draws)
         return rows.assign(p=landing(p, size) if last else p, held=held)
@@ -135,10 +138,15 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = rows.withColumn("order", F.xxhash64("doc_id")).withColumn("block", F.pmod("order", F.ceil(F.col("documents") / block)))
     kept = "doc_id long, row_id long, text_key long, source string, size long, source_size long, target double, whole long, p double, order long, block long, held boolean"
     rows = rows.select("doc_id", "row_id", "text_key", "source", "size", "source_size", "target", "whole", "p", "order", "block", F.lit(False).alias("held"))
-    flown = stored(rows.groupBy("source", "block").applyInPandas(_fly(last=False), kept), "flown")
+    flown = stored(rows.groupBy("source", "block").applyInPandas(_fly(0), kept), "flown")
     open_ = (F.col("p") > 0) & (F.col("p") < 1)
-    last = flown.where(open_).withColumn("block", F.lit(-1).cast("long")).groupBy("source", "block").applyInPandas(_fly(last=True), kept)
-    done = flown.where(~open_).unionByName(last)
+    done, flying, level = flown.where(~open_), flown.where(open_), 1
+    most = goals.agg(F.max("documents")).first()[0] or 0
+    while (most := 2 * math.ceil(most / block)) > block:  # documents that a source's blocks leave, at most
+        flown = flying.withColumn("block", F.pmod("order", F.lit(math.ceil(most / block)))).groupBy("source", "block").applyInPandas(_fly(level), kept)
+        flown, level = stored(flown, "flown"), level + 1
+        done, flying = done.unionByName(flown.where(~open_)), flown.where(open_)
+    done = done.unionByName(flying.withColumn("block", F.lit(-1).cast("long")).groupBy("source", "block").applyInPandas(_fly(level, last=True), kept))
     copies = F.col("whole") + F.col("p").cast("long")
     return done.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "text_key")
 

@@ -3,7 +3,7 @@
 Documents are tokenised in Arrow batches and cut only where they are longer than a sequence; whole pieces of a sequence's
 length stand alone. The rest goes through an online best-fit packer with a fixed number of open bins: a bitset has a bit
 for each amount of free space that some open bin has, so the tightest fit is the lowest set bit at or above the piece's
-length. When too many bins are open, the fullest closes first. Pieces are dealt by a hash, each task packs its own in hash
+length. When too many bins are open, the fullest closes first. Pieces are dealt by a hash of their row, so that null or repeated ids spread too; each task packs its own in hash
 order, and only piece lengths (not tokens) are shuffled; a task holds open_bins bins, whatever the size of its input.
 
 Nulls: a null text counts as empty, and is the single id 2. A null doc_id is packed like others. Repeated rows are packed as often as they come. An empty table
@@ -23,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 LENGTH = 1024
 END = 2
 OPEN_BINS = 1024
@@ -129,7 +131,7 @@ class Packer:
 
 def pack(pieces: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS) -> DataFrame:
     """Each piece with its sequence_id and offset. Any frame with doc_id, row_id, piece and length will do."""
-    dealt = pieces.repartition("doc_id", "piece").sortWithinPartitions(F.xxhash64("doc_id", "piece"), "doc_id", "row_id", "piece")
+    dealt = pieces.repartition("doc_id", "row_id", "piece").sortWithinPartitions(F.xxhash64("doc_id", "piece"), "doc_id", "row_id", "piece")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, packer = TaskContext.get().partitionId() << 40, Packer(length, open_bins)
@@ -142,6 +144,4 @@ def pack(pieces: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS) ->
 
 def pack_documents(docs: DataFrame) -> DataFrame:
     """All pieces of docs and their places in sequences."""
-    from .common import stored
-
     return pack(stored(pieces_of(docs), "pieces")).drop("row_id")
