@@ -113,9 +113,7 @@ def _fly(level: int, last: bool = False):
         rows = rows.sort_values(["order", "row_id"], kind="stable")
         draws = np.random.default_rng(zlib.crc32(repr((key[0], int(key[1]), level)).encode()))
         size, p, held = rows["size"].to_numpy(np.float64), rows["p"].to_numpy(np.float64).copy(), rows["held"].to_numpy(bool).copy()
-        if last:
-            held[:] = False
-        elif level == 0 and key[1] == 0:  # a few of the first block wait for the landing
+        if level == 0 and key[1] == 0:  # a few of the first block wait for the landing
             held[np.flatnonzero((p > SURE) & (p < 1 - SURE))[:WAITING]] = True
         p[~held] = flight(p[~held], size[~held], draws)
         return rows.assign(p=landing(p, size) if last else p, held=held)
