@@ -54,6 +54,7 @@ def _symbol_table() -> np.ndarray:
 
 
 SYMBOL = _symbol_table()
+_table: dict = {}
 PAD = b"   "
 
 
@@ -121,13 +122,18 @@ class Model:
             escapes.append(escape)
         self.code4 = np.append(codes[4], np.zeros((1, n)), axis=0).astype(np.float32)
         self.code3, self.escape3 = codes[3].astype(np.float32), escapes[3].astype(np.float32)
-        self.place = None
 
     def _lookup(self) -> np.ndarray:
-        if self.place is None:  # once in each worker
-            self.place = np.full(SYMBOLS**4, -1, np.int32)
-            self.place[self.grams] = np.arange(len(self.grams), dtype=np.int32)
-        return self.place
+        """Places of all 4-grams in code4: one table in each worker, filled anew for another model."""
+        if _table.get("model") is not self:
+            if "model" in _table:
+                _table["place"][_table["model"].grams] = -1
+            else:
+                _table["place"] = np.full(SYMBOLS**4, -1, np.int32)
+            place = _table["place"]
+            place[self.grams] = np.arange(len(self.grams), dtype=np.int32)
+            _table["model"] = self
+        return _table["place"]
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each whole text under each language."""
@@ -191,7 +197,6 @@ def learn(docs: DataFrame, learn_rows: int = LEARN_ROWS) -> Model:
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs' doc_id with held_out, lang_pred, score and bits_per_byte; only the text is looked at."""
-    model.place = None
     shared = docs.sparkSession.sparkContext.broadcast(model)
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), letters.alias("letters"), "text")
