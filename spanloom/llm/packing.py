@@ -32,28 +32,41 @@ OPEN_BINS = 1024
 LONG_RUN = re.compile(r"\S{2000}|\s{2000}")
 
 _encoders: dict[str, tuple] = {}
+_tokenizers: dict = {}
 
 
-def _encoder(name: str):
-    """The tokenizer's own library, and a faster one that has the same vocabulary and gives the same ids for ordinary text."""
+def _path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _fast(name: str):
+    """A fast library's encoder of the tokenizer's vocabulary, which gives the same ids for ordinary text; and the special tokens."""
     if name not in _encoders:
         import json
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        path = public_tokenizers.path(name)
-        slow = Tokenizer.from_file(path)
-        model = json.loads(slow.to_str())
+        with open(_path(name), encoding="utf-8") as f:
+            model = json.load(f)
         special = [t["content"] for t in model["added_tokens"]]
         byte_of = _byte_of_letter()
         ranks = {bytes(byte_of[c] for c in k): v for k, v in model["model"]["vocab"].items() if k not in special}
-        fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _encoders[name] = slow, fast, special
+        _encoders[name] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), special
     return _encoders[name]
 
 
+def _slow(name: str):
+    """The tokenizer's own library, loaded where a text needs it."""
+    if name not in _tokenizers:
+        from tokenizers import Tokenizer
+
+        _tokenizers[name] = Tokenizer.from_file(_path(name))
+    return _tokenizers[name]
+
+
 def _byte_of_letter() -> dict[str, int]:
     """Byte-level vocabularies write each byte as a printable letter: itself if it is one, else the next from 256 on."""
     plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -63,9 +76,9 @@ def _byte_of_letter() -> dict[str, int]:
 
 def encode(text: str, name: str = "byte_bpe_50k.json") -> list[int]:
     """The ids of the text, as Tokenizer.encode(text, add_special_tokens=False) gives them."""
-    slow, fast, special = _encoder(name)
+    fast, special = _fast(name)
     if any(s in text for s in special) or len(text) >= 2000 and LONG_RUN.search(text):
-        return slow.encode(text, add_special_tokens=False).ids
+        return _slow(name).encode(text, add_special_tokens=False).ids
     return fast.encode_ordinary(text)
 
 
