@@ -36,7 +36,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, from 0 to n - 1."""
     if len(_powers[0]) < n:
         for k, base in enumerate((_BASE, _BASE_INVERSE)):
             steps = np.full(n + CHUNK // 8, base, np.uint64)
@@ -56,7 +57,7 @@ def word_spans(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def range_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, byte_values: np.ndarray) -> np.ndarray:
     """Hashes of ranges of a buffer."""
-    up, down = _power(len(buffer) + 1)
+    up, down = powers(len(buffer) + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(byte_values[buffer] * up[: len(buffer)], dtype=np.uint64)])
     return mix64((total[ends] - total[starts]) * down[starts])
 

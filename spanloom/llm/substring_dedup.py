@@ -7,6 +7,13 @@ them with a chance of (1 - 0.75**ROWS)**BANDS, one in 2000. Candidates are verif
 clustered by components. Paragraphs of the same words are one class from the start, and only one of them is banded. Of each cluster that spans
 documents, the document of the smallest doc_id keeps its paragraphs, the others lose theirs.
 
+A passage may also lie inside longer lines, where no paragraph begins or ends with it. For these a text has more paragraphs, cut by
+content: each WINDOW words from an anchor on, a place whose five-word shingle has the least hash of some SPACING shingles in a row. Of SPACING
+places in a row at least one is an anchor, whatever stands around, so a passage of LEAST_WORDS words that two texts share holds a whole
+window that both have. Such windows count as repeated where another row has the same words; overlapping ones of a row join to a run, and runs with a window
+in common are clustered by components. Windows that lie in clustered paragraphs in all their rows are left out, as they tell nothing new. So every
+passage of LEAST_WORDS words or more is found, and none under WINDOW words is reported.
+
 Nulls: a null text has no paragraphs. A null doc_id ranks first among the keepers of a cluster; rows with a repeated or null doc_id are
 told apart by position. Copies of whole documents are repeated passages. An empty table gives an empty result. Extra columns play no part.
 """
@@ -18,15 +25,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .arrow_text import runs_of_rows, text_bytes
 from .common import is_small, stored
-from .shingles import CHUNK, FOLDED, WIDTH, mix64, range_hashes, shingle_hashes, word_spans
+from .components import components
+from .shingles import CHUNK, FOLDED, WIDTH, powers, mix64, range_hashes, shingle_hashes, word_spans
 from .similar_groups import members_of, similar_components
 
 LEAST_WORDS = 50
 ROWS, BANDS = 3, 14
+#: Shingles in a row of which one is an anchor, and words of the window from an anchor on.
+SPACING = 8
+WINDOW = LEAST_WORDS - SPACING + 1
 _MULTIPLIERS = [np.uint64(int(x) | 1) for x in np.random.default_rng(20240302).integers(1, 1 << 63, ROWS * BANDS)]
 _STEP = np.uint64(0xD1B54A32D192ED03)
 
@@ -87,8 +99,79 @@ def _paragraph_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             )
 
 
+def anchors(words: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """First words of the windows. words: hashes of all words, text: the number of each one's text."""
+    grams = shingle_hashes(words, WIDTH)
+    n = len(grams) - SPACING + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    least = np.lib.stride_tricks.sliding_window_view(grams, SPACING).argmin(axis=1) + np.arange(n)
+    chosen = np.unique(least[text[:n] == text[len(words) - n :]])
+    chosen = chosen[chosen + WINDOW <= len(words)]
+    return chosen[text[chosen] == text[chosen + WINDOW - 1]]
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each window: key of its row, its first word's number, start and end in code points, whether one of the row's spans covers it, digests."""
+    for batch in batches:
+        raw, offsets = text_bytes(batch.column("text"))
+        data, at = raw.tobytes(), offsets.tolist()
+        keys, ids, lists = batch.column("key"), batch.column("doc_id"), batch.column("spans")
+        bounds, span_starts, span_ends = lists.offsets.to_numpy(), lists.values.field("s").to_numpy(), lists.values.field("e").to_numpy()
+        for first, last in runs_of_rows(offsets, CHUNK):
+            buffer = np.frombuffer(b"\n".join(data[at[k] : at[k + 1]] for k in range(first, last)) + b"\n", np.uint8)
+            edges = np.concatenate([[0], np.cumsum(np.diff(offsets[first : last + 1]) + 1)])
+            starts, ends = word_spans(buffer)
+            words, text = range_hashes(buffer, starts, ends, FOLDED), np.searchsorted(edges, starts, side="right") - 1
+            a = anchors(words, text)
+            if not len(a):
+                continue
+            points = np.concatenate([[0], np.cumsum((buffer & 0xC0) != 0x80)])
+            base = points[edges[text[a]]]
+            begin, end = points[starts[a]] - base, points[ends[a + WINDOW - 1]] - base
+            covered, cut = np.zeros(len(a), bool), np.searchsorted(text[a], np.arange(last - first + 1))
+            for k in np.flatnonzero((np.diff(bounds[first : last + 1]) > 0) & (np.diff(cut) > 0)).tolist():
+                own, of = slice(cut[k], cut[k + 1]), slice(bounds[first + k], bounds[first + k + 1])
+                before = np.searchsorted(span_starts[of], begin[own], side="right") - 1
+                covered[own] = (before >= 0) & (np.maximum.accumulate(span_ends[of])[np.maximum(before, 0)] >= end[own])
+            up, down = powers(len(words) + 1)
+            digests = []
+            for values in (words, mix64(words + np.uint64(1))):
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[: len(words)], dtype=np.uint64)])
+                digests.append(pa.array(mix64((total[a + WINDOW] - total[a]) * down[a]).view(np.int64)))
+            rows = pa.array(text[a] + first)
+            first_word = a - np.searchsorted(text, text[a])
+            yield pa.record_batch([keys.take(rows), ids.take(rows), pa.array(first_word), pa.array(begin), pa.array(end), pa.array(covered), *digests], names=["key", "doc_id", "at", "start", "end", "covered", "d1", "d2"])
+
+
+def _with_keepers(placed: DataFrame) -> DataFrame:
+    """placed (key, doc_id, start, end, words, cluster) of clusters that span rows, with kept."""
+    keepers = placed.groupBy("cluster").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.min(F.struct("doc_id", "key", "start", "end")).alias("kept")).where("least <> most").select("cluster", "kept")
+    return placed.join(keepers, "cluster")
+
+
+def _runs(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """Runs of repeated windows of rows: key, doc_id, start, end, words, cluster (negative). placed: clustered paragraphs (key, start, end)."""
+    spans = placed.groupBy("key").agg(F.array_sort(F.collect_set(F.struct(F.col("start").alias("s"), F.col("end").alias("e")))).alias("spans"))
+    none = F.array().cast("array<struct<s:bigint,e:bigint>>")
+    known = rows.join(spans, "key", "left").select("key", "doc_id", "text", F.coalesce("spans", none).alias("spans"))
+    windows = stored(known.mapInArrow(_window_rows, "key long, doc_id long, at long, start long, end long, covered boolean, d1 long, d2 long"), "windows")
+    shared = windows.groupBy("d1").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.bool_and("covered").alias("known")).where("least <> most AND NOT known").select("d1")
+    found = stored(windows.join(shared, "d1").drop("covered"), "repeated")
+    least = found.groupBy("d1", "d2").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select("d1", "d2")
+    w = W.partitionBy("key").orderBy("start", "end")
+    marked = found.join(least, ["d1", "d2"]).withColumn("new", F.coalesce(F.col("start") > F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(True)))
+    marked = stored(marked.withColumn("run", F.sum(F.col("new").cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0))), "marked")
+    runs = marked.groupBy("key", "run").agg(F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), (F.max("at") - F.min("at") + WINDOW).alias("words"))
+    runs = stored(runs.withColumn("node", F.monotonically_increasing_id()), "runs")
+    named = stored(marked.join(runs.select("key", "run", "node"), ["key", "run"]).select("node", "d1", "d2"), "named")
+    hubs = named.groupBy("d1", "d2").agg(F.min("node").alias("u"))
+    labels = components(named.join(hubs, ["d1", "d2"]).select("u", F.col("node").alias("v")))
+    return runs.join(labels, "node").select("key", "doc_id", "start", "end", "words", (-F.col("label") - 1).alias("cluster"))
+
+
 def _clusters(rows: DataFrame) -> DataFrame:
-    """rows (key, doc_id, text): all paragraphs of clusters that span rows, with cluster and keeper."""
+    """rows (key, doc_id, text): all paragraphs and runs of clusters that span rows, with cluster and keeper."""
     schema = "key long, doc_id long, start long, end long, words long, n long, d1 long, d2 long, bands array<long>"
     found = rows.mapInArrow(_paragraph_rows, schema).withColumn("node", F.monotonically_increasing_id())
     units = stored(found, "paragraphs")
@@ -104,9 +187,8 @@ def _clusters(rows: DataFrame) -> DataFrame:
 
     labels = similar_components(members, reps.select("node", "n"), texts)
     named = reps.join(labels, "node", "left").where("times > 1 OR label IS NOT NULL").select("d1", "d2", F.coalesce("label", "node").alias("cluster"))
-    placed = stored(units.join(named, ["d1", "d2"]).select("key", "doc_id", "start", "end", "words", "cluster"), "placed")
-    keepers = placed.groupBy("cluster").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.min(F.struct("doc_id", "key", "start", "end")).alias("kept")).where("least <> most").select("cluster", "kept")
-    return placed.join(keepers, "cluster")
+    placed = stored(_with_keepers(units.join(named, ["d1", "d2"]).select("key", "doc_id", "start", "end", "words", "cluster")), "placed")
+    return placed.unionByName(_with_keepers(stored(_runs(rows, placed), "clustered")))
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
@@ -119,7 +201,7 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """All paragraphs that other documents repeat: doc_id, start_char, end_char (code points), n_words, cluster_id, keep_doc_id, keep_start, removed."""
+    """All paragraphs, and passages inside lines, that other documents repeat: doc_id, start_char, end_char (code points), n_words, cluster_id, keep_doc_id, keep_start, removed."""
     found = _clusters(_keyed(docs)[0])
     return found.select("doc_id", F.col("start").alias("start_char"), F.col("end").alias("end_char"), F.col("words").alias("n_words"), F.col("cluster").alias("cluster_id"), F.col("kept.doc_id").alias("keep_doc_id"), F.col("kept.start").alias("keep_start"), (F.col("key") != F.col("kept.key")).alias("removed"))
 

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from spanloom.llm.substring_dedup import paragraphs, repeated_passages, without_repeats
+from spanloom.llm.substring_dedup import LEAST_WORDS, SPACING, WINDOW, anchors, paragraphs, repeated_passages, without_repeats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -55,6 +55,60 @@ def brute(rows):
     return sorted(out)
 
 
+def repeated_words(rows, n):
+    """Of each row, start and end of its words and whether each lies in n words that another row has too."""
+    words = [[(m.start(), m.end(), m.group().lower()) for m in WORD.finditer(t or "")] for _, t in rows]
+    where = {}
+    for k, own in enumerate(words):
+        for a in range(len(own) - n + 1):
+            where.setdefault(tuple(x for *_, x in own[a : a + n]), set()).add(k)
+    out = []
+    for own in words:
+        told = [False] * len(own)
+        for a in range(len(own) - n + 1):
+            if len(where[tuple(x for *_, x in own[a : a + n])]) > 1:
+                told[a : a + n] = [True] * n
+        out.append([(s, e, t) for (s, e, _), t in zip(own, told, strict=True)])
+    return out
+
+
+def check_runs(rows, found):
+    """Every passage of 50 words is found but for its edges, and every run consists of words of repeated windows."""
+    spans = {}
+    for x in found:
+        spans.setdefault(x.doc_id, []).append((x.start_char, x.end_char, x.cluster_id < 0))
+    for (doc, _), long, short in zip(rows, repeated_words(rows, LEAST_WORDS), repeated_words(rows, WINDOW), strict=True):
+        own = spans.get(doc, [])
+        inside = [any(a <= s and e <= b for a, b, _ in own) for s, e, _ in long]
+        for k, (_, _, told) in enumerate(long):
+            assert not told or any(inside[max(0, k - SPACING + 1) : k + SPACING])
+        for (s, e, told), near in zip(short, inside, strict=True):
+            assert told or not any(run and a <= s and e <= b for a, b, run in own), (doc, s, e, near)
+
+
+def test_passages_inside_lines(spark):
+    r = random.Random(7)
+    line = lambda n: " ".join(f"v{r.randrange(5000)}" for _ in range(n))
+    passages = [line(n) for n in (50, 51, 53, 58, 80, 300)]
+    rows = [(k, f"{line(r.randrange(40))} {passages[k % 6]} {line(r.randrange(200))}") for k in range(48)]
+    rows += [(100, line(300)), (101, f"{line(30)} {passages[0][:150]} {line(30)}"), (102, passages[4]), (103, f"{passages[5]}\n{line(8)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = repeated_passages(docs).collect()
+    check_runs(rows, found)
+    assert {x.doc_id for x in found} == set(range(48)) | {102, 103}
+    runs = [x for x in found if x.cluster_id < 0]  # some of the lines are similar as paragraphs, too
+    assert {x.keep_doc_id for x in runs} == set(range(6)) and {x.doc_id for x in runs if not x.removed} == set(range(6))
+
+
+def test_anchors_leave_no_gap():
+    r = np.random.default_rng(3)
+    words = r.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    text = np.repeat([0, 1, 2], [60, 40, 3900])
+    chosen = anchors(words, text)
+    assert (text[chosen] == text[chosen + WINDOW - 1]).all() and not (text[chosen] == 1).any()
+    assert np.diff(chosen[text[chosen] == 2]).max() <= SPACING
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_against_all_pairs(spark, seed):
     r = random.Random(seed)
@@ -72,8 +126,11 @@ def test_against_all_pairs(spark, seed):
         rows.append((k * 2, "\n".join(parts)))
     rows += [(501, rows[3][1]), (503, None), (505, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = sorted((x.doc_id, x.start_char, x.end_char, x.keep_doc_id, x.removed) for x in repeated_passages(docs).collect())
+    found = repeated_passages(docs).collect()
+    got = sorted((x.doc_id, x.start_char, x.end_char, x.keep_doc_id, x.removed) for x in found if x.cluster_id >= 0)
     assert got == brute(rows) and len(got) > 20
+    check_runs(rows, found)
+    got = [(x.doc_id, x.start_char, x.end_char, x.keep_doc_id, x.removed) for x in found]
     kept = {x.doc_id: x.text for x in without_repeats(docs).collect()}
     lost = {}
     for doc, s, e, _, removed in got:
