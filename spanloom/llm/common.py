@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,17 @@ def without_white_space(text: Column) -> Column:
     return out
 
 
+def bitmap(rows: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A packed bitmap of 2**bits cells, in which those of the leading bits of a long column are set; gathered by 32,768 cells."""
+    cell = F.shiftrightunsigned(column, 64 - bits)
+    parts = rows.groupBy(F.bitmap_bucket_number(cell).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias("bits")).collect()
+    cells = np.zeros(1 << bits, bool)
+    for r in parts:  # position p from 1 on is bit (p - 1) % 32768 of bucket (p - 1) // 32768 + 1
+        found = (r["bucket"] - 1) * 32768 + 1 + np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little"))
+        cells[found[(found >= 0) & (found < len(cells))]] = True
+    return np.packbits(cells)
+
+
 def is_small(rows: int, row_bytes: int) -> bool:
     """Whether a counted side may be broadcast."""
     return rows * row_bytes <= BROADCAST_BYTES

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import text_bytes
-from .common import is_small, stored
+from .common import bitmap, is_small, stored
 from .shingles import mix64, sets_of
 from .similar_groups import PERCENT, members_of, similar_components
 
@@ -116,20 +116,9 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _frequent_bitmap(profile: DataFrame) -> np.ndarray:
-    """One boolean for each cell of the frequent shingles' bitmap, gathered as bitmaps of 32,768 cells."""
+    """One bit for each cell of the frequent shingles' bitmap."""
     tokens = profile.where("node IS NULL").groupBy("d1").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    cell = F.shiftrightunsigned("d1", 64 - CELL_BITS)
-    rows = tokens.groupBy(F.bitmap_bucket_number(cell).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias("bits")).collect()
-    bits = np.zeros(1 << CELL_BITS, bool)
-    for r in rows:  # buckets count from 1 for positive positions from 1; position p is bit (p - 1) % 32768 of bucket (p - 1) // 32768 + 1
-        start = (r["bucket"] - 1) * 32768
-        part = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little").astype(bool)
-        _set(bits, start + 1 + np.flatnonzero(part))
-    return np.packbits(bits)
-
-
-def _set(bits: np.ndarray, cells: np.ndarray) -> None:
-    bits[cells[(cells >= 0) & (cells < len(bits))]] = True
+    return bitmap(tokens, "d1", CELL_BITS)
 
 
 def _signature_rows(reps: DataFrame, frequent: np.ndarray) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .arrow_text import runs_of_rows, text_bytes
-from .common import is_small, stored
+from .common import bitmap, is_small, stored
 from .components import components
 from .shingles import CHUNK, FOLDED, WIDTH, powers, mix64, range_hashes, shingle_hashes, word_spans
 from .similar_groups import members_of, similar_components
@@ -39,6 +39,8 @@ ROWS, BANDS = 3, 14
 #: Shingles in a row of which one is an anchor, and words of the window from an anchor on.
 SPACING = 8
 WINDOW = LEAST_WORDS - SPACING + 1
+#: Size of the bitmap of repeated windows' digests, as log2: it saves work only, the digests are joined exactly.
+CELL_BITS = 26
 _MULTIPLIERS = [np.uint64(int(x) | 1) for x in np.random.default_rng(20240302).integers(1, 1 << 63, ROWS * BANDS)]
 _STEP = np.uint64(0xD1B54A32D192ED03)
 
@@ -111,37 +113,43 @@ def anchors(words: np.ndarray, text: np.ndarray) -> np.ndarray:
     return chosen[text[chosen] == text[chosen + WINDOW - 1]]
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each window: key of its row, its first word's number, start and end in code points, whether one of the row's spans covers it, digests."""
-    for batch in batches:
-        raw, offsets = text_bytes(batch.column("text"))
-        data, at = raw.tobytes(), offsets.tolist()
-        keys, ids, lists = batch.column("key"), batch.column("doc_id"), batch.column("spans")
-        bounds, span_starts, span_ends = lists.offsets.to_numpy(), lists.values.field("s").to_numpy(), lists.values.field("e").to_numpy()
-        for first, last in runs_of_rows(offsets, CHUNK):
-            buffer = np.frombuffer(b"\n".join(data[at[k] : at[k + 1]] for k in range(first, last)) + b"\n", np.uint8)
-            edges = np.concatenate([[0], np.cumsum(np.diff(offsets[first : last + 1]) + 1)])
-            starts, ends = word_spans(buffer)
-            words, text = range_hashes(buffer, starts, ends, FOLDED), np.searchsorted(edges, starts, side="right") - 1
-            a = anchors(words, text)
-            if not len(a):
-                continue
-            points = np.concatenate([[0], np.cumsum((buffer & 0xC0) != 0x80)])
-            base = points[edges[text[a]]]
-            begin, end = points[starts[a]] - base, points[ends[a + WINDOW - 1]] - base
-            covered, cut = np.zeros(len(a), bool), np.searchsorted(text[a], np.arange(last - first + 1))
-            for k in np.flatnonzero((np.diff(bounds[first : last + 1]) > 0) & (np.diff(cut) > 0)).tolist():
-                own, of = slice(cut[k], cut[k + 1]), slice(bounds[first + k], bounds[first + k + 1])
-                before = np.searchsorted(span_starts[of], begin[own], side="right") - 1
-                covered[own] = (before >= 0) & (np.maximum.accumulate(span_ends[of])[np.maximum(before, 0)] >= end[own])
-            up, down = powers(len(words) + 1)
-            digests = []
-            for values in (words, mix64(words + np.uint64(1))):
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[: len(words)], dtype=np.uint64)])
-                digests.append(pa.array(mix64((total[a + WINDOW] - total[a]) * down[a]).view(np.int64)))
-            rows = pa.array(text[a] + first)
-            first_word = a - np.searchsorted(text, text[a])
-            yield pa.record_batch([keys.take(rows), ids.take(rows), pa.array(first_word), pa.array(begin), pa.array(end), pa.array(covered), *digests], names=["key", "doc_id", "at", "start", "end", "covered", "d1", "d2"])
+def _windows(rows: DataFrame, among: np.ndarray | None = None) -> DataFrame:
+    """key and d1 of all windows of rows; or, of those whose d1 may be among the digests of a bitmap, also doc_id, at (the first word's number), start and end in code points, d2."""
+    shared = None if among is None else rows.sparkSession.sparkContext.broadcast(among)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = text_bytes(batch.column("text"))
+            data, at = raw.tobytes(), offsets.tolist()
+            keys, ids = batch.column("key"), batch.column("doc_id")
+            for first, last in runs_of_rows(offsets, CHUNK):
+                buffer = np.frombuffer(b"\n".join(data[at[k] : at[k + 1]] for k in range(first, last)) + b"\n", np.uint8)
+                edges = np.concatenate([[0], np.cumsum(np.diff(offsets[first : last + 1]) + 1)])
+                starts, ends = word_spans(buffer)
+                words, text = range_hashes(buffer, starts, ends, FOLDED), np.searchsorted(edges, starts, side="right") - 1
+                a = anchors(words, text)
+                d1 = _digests(words, a)
+                if shared is None:
+                    yield pa.record_batch([keys.take(pa.array(text[a] + first)), pa.array(d1.view(np.int64))], names=["key", "d1"])
+                    continue
+                cells = (d1 >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+                may = (shared.value[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
+                a, d1 = a[may], d1[may]
+                points = np.concatenate([[0], np.cumsum((buffer & 0xC0) != 0x80)])
+                base, place, d2 = points[edges[text[a]]], pa.array(text[a] + first), _digests(mix64(words + np.uint64(1)), a)
+                yield pa.record_batch(
+                    [keys.take(place), pa.array(d1.view(np.int64)), ids.take(place), pa.array(a - np.searchsorted(text, text[a])), pa.array(points[starts[a]] - base), pa.array(points[ends[a + WINDOW - 1]] - base), pa.array(d2.view(np.int64))],
+                    names=["key", "d1", "doc_id", "at", "start", "end", "d2"],
+                )
+
+    return rows.mapInArrow(emit, "key long, d1 long" + ("" if among is None else ", doc_id long, at long, start long, end long, d2 long"))
+
+
+def _digests(words: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Hashes of the windows that begin at the words a."""
+    up, down = powers(len(words) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)], dtype=np.uint64)])
+    return mix64((total[a + WINDOW] - total[a]) * down[a])
 
 
 def _with_keepers(placed: DataFrame) -> DataFrame:
@@ -152,15 +160,17 @@ def _with_keepers(placed: DataFrame) -> DataFrame:
 
 def _runs(rows: DataFrame, placed: DataFrame) -> DataFrame:
     """Runs of repeated windows of rows: key, doc_id, start, end, words, cluster (negative). placed: clustered paragraphs (key, start, end)."""
-    spans = placed.groupBy("key").agg(F.array_sort(F.collect_set(F.struct(F.col("start").alias("s"), F.col("end").alias("e")))).alias("spans"))
-    none = F.array().cast("array<struct<s:bigint,e:bigint>>")
-    known = rows.join(spans, "key", "left").select("key", "doc_id", "text", F.coalesce("spans", none).alias("spans"))
-    windows = stored(known.mapInArrow(_window_rows, "key long, doc_id long, at long, start long, end long, covered boolean, d1 long, d2 long"), "windows")
-    shared = windows.groupBy("d1").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.bool_and("covered").alias("known")).where("least <> most AND NOT known").select("d1")
-    found = stored(windows.join(shared, "d1").drop("covered"), "repeated")
-    least = found.groupBy("d1", "d2").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select("d1", "d2")
+    shared = _windows(rows).groupBy("d1").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select("d1")
+    shared = stored(shared, "shared")
+    found = _windows(rows, bitmap(shared, "d1", CELL_BITS)).join(shared, "d1")
+    # whether a clustered paragraph of the row covers a window: the farthest end of those that begin before it
+    spans = placed.select("key", "start", "end", F.col("end").alias("span"))
+    sweep = W.partitionBy("key").orderBy("start", F.col("span").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    swept = found.unionByName(spans, allowMissingColumns=True).withColumn("reach", F.max("span").over(sweep)).where("span IS NULL")
+    found = stored(swept.withColumn("known", F.coalesce(F.col("reach") >= F.col("end"), F.lit(False))).drop("span", "reach"), "repeated")
+    least = found.groupBy("d1", "d2").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.bool_and("known").alias("known")).where("least <> most AND NOT known").select("d1", "d2")
     w = W.partitionBy("key").orderBy("start", "end")
-    marked = found.join(least, ["d1", "d2"]).withColumn("new", F.coalesce(F.col("start") > F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(True)))
+    marked = found.drop("known").join(least, ["d1", "d2"]).withColumn("new", F.coalesce(F.col("start") > F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(True)))
     marked = stored(marked.withColumn("run", F.sum(F.col("new").cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0))), "marked")
     runs = marked.groupBy("key", "run").agg(F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), (F.max("at") - F.min("at") + WINDOW).alias("words"))
     runs = stored(runs.withColumn("node", F.monotonically_increasing_id()), "runs")
