@@ -11,7 +11,7 @@ A passage may also lie inside longer lines, where no paragraph begins or ends wi
 content: each WINDOW words from an anchor on, a place whose five-word shingle has the least hash of some SPACING shingles in a row. Of SPACING
 places in a row at least one is an anchor, whatever stands around, so a passage of LEAST_WORDS words that two texts share holds a whole
 window that both have. Such windows count as repeated where another row has the same words; overlapping ones of a row join to a run, and runs with a window
-in common are clustered by components. Windows that lie in clustered paragraphs in all their rows are left out, as they tell nothing new. So every
+in common are clustered by components. Windows that lie in paragraphs of one and the same cluster in all their rows are left out, as they tell nothing new. So every
 passage of LEAST_WORDS words or more is found, and none under WINDOW words is reported.
 
 Nulls: a null text has no paragraphs. A null doc_id ranks first among the keepers of a cluster; rows with a repeated or null doc_id are
@@ -159,18 +159,19 @@ def _with_keepers(placed: DataFrame) -> DataFrame:
 
 
 def _runs(rows: DataFrame, placed: DataFrame) -> DataFrame:
-    """Runs of repeated windows of rows: key, doc_id, start, end, words, cluster (negative). placed: clustered paragraphs (key, start, end)."""
+    """Runs of repeated windows of rows: key, doc_id, start, end, words, cluster (negative). placed: clustered paragraphs (key, start, end, cluster)."""
     shared = _windows(rows).groupBy("d1").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select("d1")
     shared = stored(shared, "shared")
     found = _windows(rows, bitmap(shared, "d1", CELL_BITS)).join(shared, "d1")
-    # whether a clustered paragraph of the row covers a window: the farthest end of those that begin before it
-    spans = placed.select("key", "start", "end", F.col("end").alias("span"))
+    # the cluster of a paragraph of the row that covers a window: the one of the farthest end of those that begin before it
+    spans = placed.select("key", "start", "end", F.col("end").alias("span"), "cluster")
     sweep = W.partitionBy("key").orderBy("start", F.col("span").isNull()).rowsBetween(W.unboundedPreceding, 0)
-    swept = found.unionByName(spans, allowMissingColumns=True).withColumn("reach", F.max("span").over(sweep)).where("span IS NULL")
-    found = stored(swept.withColumn("known", F.coalesce(F.col("reach") >= F.col("end"), F.lit(False))).drop("span", "reach"), "repeated")
-    least = found.groupBy("d1", "d2").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.bool_and("known").alias("known")).where("least <> most AND NOT known").select("d1", "d2")
+    swept = found.unionByName(spans, allowMissingColumns=True).withColumn("reach", F.max(F.when(F.col("span").isNotNull(), F.struct("span", "cluster"))).over(sweep)).where("span IS NULL")
+    found = stored(swept.withColumn("cover", F.when(F.col("reach.span") >= F.col("end"), F.col("reach.cluster"))).drop("span", "cluster", "reach"), "repeated")
+    known = F.coalesce((F.count("cover") == F.count(F.lit(1))) & (F.min("cover") == F.max("cover")), F.lit(False))
+    least = found.groupBy("d1", "d2").agg(F.min("key").alias("least"), F.max("key").alias("most"), known.alias("known")).where("least <> most AND NOT known").select("d1", "d2")
     w = W.partitionBy("key").orderBy("start", "end")
-    marked = found.drop("known").join(least, ["d1", "d2"]).withColumn("new", F.coalesce(F.col("start") > F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(True)))
+    marked = found.drop("cover").join(least, ["d1", "d2"]).withColumn("new", F.coalesce(F.col("start") > F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(True)))
     marked = stored(marked.withColumn("run", F.sum(F.col("new").cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0))), "marked")
     runs = marked.groupBy("key", "run").agg(F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), (F.max("at") - F.min("at") + WINDOW).alias("words"))
     runs = stored(runs.withColumn("node", F.monotonically_increasing_id()), "runs")

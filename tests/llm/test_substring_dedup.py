@@ -100,6 +100,19 @@ def test_passages_inside_lines(spark):
     assert {x.keep_doc_id for x in runs} == set(range(6)) and {x.doc_id for x in runs if not x.removed} == set(range(6))
 
 
+def test_copy_groups_that_share_a_passage(spark):
+    r = random.Random(11)
+    line = lambda n: " ".join(f"z{r.randrange(10**6)}" for _ in range(n))
+    passage = line(60)
+    x, y = (f"{line(70)} {passage} {line(70)}" for _ in range(2))
+    docs = spark.createDataFrame([(1, x), (2, x), (3, y), (4, y)], "doc_id long, text string")
+    inner = passage.split()[SPACING:-SPACING]
+    kept = {d.doc_id: d.text for d in without_repeats(docs).collect()}
+    assert [d for d, text in sorted(kept.items()) if " ".join(inner) in text] == [1]
+    assert kept[1] == x and not kept[2] and not kept[4]
+    assert kept[3].startswith(y[: y.index(passage)]) and kept[3].endswith(y[y.index(passage) + len(passage) :])
+
+
 def test_anchors_leave_no_gap():
     r = np.random.default_rng(3)
     words = r.integers(0, 1 << 63, 4000, dtype=np.uint64)
