@@ -10,8 +10,10 @@ documents, the document of the smallest doc_id keeps its paragraphs, the others
 A passage may also lie inside longer lines, where no paragraph begins or ends with it. For these a text has more paragraphs, cut by
 content: each WINDOW words from an anchor on, a place whose five-word shingle has the least hash of some SPACING shingles in a row. Of SPACING
 places in a row at least one is an anchor, whatever stands around, so a passage of LEAST_WORDS words that two texts share holds a whole
-window that both have. Such windows count as repeated where another row has the same words; overlapping ones of a row join to a run, and runs with a window
-in common are clustered by components. Windows that lie in paragraphs of one and the same cluster in all their rows are left out, as they tell nothing new. So every
+window that both have. Such windows count as repeated where another row has the same words, and are then found wherever they stand; overlapping ones of a row join to a run, and runs with a window
+in common are clustered by components. Each window has a keeper of its own: the row of the smallest doc_id among those where no lost paragraph touches it, or
+where there is none, each row keeps it. A row loses the windows that others keep, but for the words of those that it keeps itself; so every window stays whole in its keeper, and
+words of a passage that windows kept around it overlap may stay in several rows. Windows that lie in paragraphs of one and the same cluster in all their rows are left out, as they tell nothing new. So every
 passage of LEAST_WORDS words or more is found, and none under WINDOW words is reported.
 
 Nulls: a null text has no paragraphs. A null doc_id ranks first among the keepers of a cluster; rows with a repeated or null doc_id are
@@ -114,7 +116,7 @@ def anchors(words: np.ndarray, text: np.ndarray) -> np.ndarray:
 
 
 def _windows(rows: DataFrame, among: np.ndarray | None = None) -> DataFrame:
-    """key and d1 of all windows of rows; or, of those whose d1 may be among the digests of a bitmap, also doc_id, at (the first word's number), start and end in code points, d2."""
+    """key and d1 of all windows of rows from anchors on; or, from any word on, of those whose d1 may be among the digests of a bitmap, also doc_id, at (the first word's number), start and end in code points, d2."""
     shared = None if among is None else rows.sparkSession.sparkContext.broadcast(among)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +129,10 @@ def _windows(rows: DataFrame, among: np.ndarray | None = None) -> DataFrame:
                 edges = np.concatenate([[0], np.cumsum(np.diff(offsets[first : last + 1]) + 1)])
                 starts, ends = word_spans(buffer)
                 words, text = range_hashes(buffer, starts, ends, FOLDED), np.searchsorted(edges, starts, side="right") - 1
-                a = anchors(words, text)
+                if shared is None:
+                    a = anchors(words, text)
+                else:  # whether a place near the left end of a passage is an anchor depends on what stands before it
+                    a = np.flatnonzero(text[: max(0, len(text) - WINDOW + 1)] == text[WINDOW - 1 :])
                 d1 = _digests(words, a)
                 if shared is None:
                     yield pa.record_batch([keys.take(pa.array(text[a] + first)), pa.array(d1.view(np.int64))], names=["key", "d1"])
@@ -154,35 +159,53 @@ def _digests(words: np.ndarray, a: np.ndarray) -> np.ndarray:
 
 def _with_keepers(placed: DataFrame) -> DataFrame:
     """placed (key, doc_id, start, end, words, cluster) of clusters that span rows, with kept."""
-    keepers = placed.groupBy("cluster").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.min(F.struct("doc_id", "key", "start", "end")).alias("kept")).where("least <> most").select("cluster", "kept")
+    keepers = placed.groupBy("cluster").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.min(F.struct("doc_id", "key", "start")).alias("kept")).where("least <> most").select("cluster", "kept")
     return placed.join(keepers, "cluster")
 
 
 def _runs(rows: DataFrame, placed: DataFrame) -> DataFrame:
-    """Runs of repeated windows of rows: key, doc_id, start, end, words, cluster (negative). placed: clustered paragraphs (key, start, end, cluster)."""
+    """Stretches of repeated windows of rows: key, doc_id, start, end, words, cluster (negative), kept. placed: clustered paragraphs (key, start, end, cluster, kept)."""
     shared = _windows(rows).groupBy("d1").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select("d1")
     shared = stored(shared, "shared")
     found = _windows(rows, bitmap(shared, "d1", CELL_BITS)).join(shared, "d1")
-    # the cluster of a paragraph of the row that covers a window: the one of the farthest end of those that begin before it
-    spans = placed.select("key", "start", "end", F.col("end").alias("span"), "cluster")
-    sweep = W.partitionBy("key").orderBy("start", F.col("span").isNull()).rowsBetween(W.unboundedPreceding, 0)
-    swept = found.unionByName(spans, allowMissingColumns=True).withColumn("reach", F.max(F.when(F.col("span").isNotNull(), F.struct("span", "cluster"))).over(sweep)).where("span IS NULL")
-    found = stored(swept.withColumn("cover", F.when(F.col("reach.span") >= F.col("end"), F.col("reach.cluster"))).drop("span", "cluster", "reach"), "repeated")
+    # the cluster of a paragraph of the row that covers a window: the one of the farthest end of those that begin before it;
+    # and whether a paragraph that the row loses touches it: the farthest end of those that begin before its end
+    spans = placed.select("key", "start", "end", F.col("end").alias("span"), "cluster", (F.col("key") != F.col("kept.key")).alias("lost"))
+    by_key, is_span = W.partitionBy("key"), F.col("span").isNotNull()
+    begun = by_key.orderBy("start", ~is_span).rowsBetween(W.unboundedPreceding, 0)
+    met = by_key.orderBy(F.when(is_span, F.col("start")).otherwise(F.col("end")), is_span).rowsBetween(W.unboundedPreceding, 0)
+    swept = found.unionByName(spans, allowMissingColumns=True).withColumn("reach", F.max(F.when(is_span, F.struct("span", "cluster"))).over(begun)).withColumn("cut", F.max(F.when(F.col("lost"), F.col("span"))).over(met)).where("span IS NULL")
+    swept = swept.withColumn("cover", F.when(F.col("reach.span") >= F.col("end"), F.col("reach.cluster"))).withColumn("cut", F.coalesce(F.col("cut") > F.col("start"), F.lit(False)))
+    found = stored(swept.drop("span", "cluster", "lost", "reach").withColumn("id", F.monotonically_increasing_id()), "repeated")
     known = F.coalesce((F.count("cover") == F.count(F.lit(1))) & (F.min("cover") == F.max("cover")), F.lit(False))
-    least = found.groupBy("d1", "d2").agg(F.min("key").alias("least"), F.max("key").alias("most"), known.alias("known")).where("least <> most AND NOT known").select("d1", "d2")
-    w = W.partitionBy("key").orderBy("start", "end")
-    marked = found.drop("cover").join(least, ["d1", "d2"]).withColumn("new", F.coalesce(F.col("start") > F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(True)))
-    marked = stored(marked.withColumn("run", F.sum(F.col("new").cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0))), "marked")
-    runs = marked.groupBy("key", "run").agg(F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), (F.max("at") - F.min("at") + WINDOW).alias("words"))
-    runs = stored(runs.withColumn("node", F.monotonically_increasing_id()), "runs")
-    named = stored(marked.join(runs.select("key", "run", "node"), ["key", "run"]).select("node", "d1", "d2"), "named")
-    hubs = named.groupBy("d1", "d2").agg(F.min("node").alias("u"))
-    labels = components(named.join(hubs, ["d1", "d2"]).select("u", F.col("node").alias("v")))
-    return runs.join(labels, "node").select("key", "doc_id", "start", "end", "words", (-F.col("label") - 1).alias("cluster"))
+    least = found.groupBy("d1", "d2").agg(F.min("key").alias("least"), F.max("key").alias("most"), known.alias("known"), F.min(F.struct("cut", "doc_id", "key", "start")).alias("kept"))
+    least = least.where("least <> most AND NOT known").select("d1", "d2", F.when(~F.col("kept.cut"), F.struct("kept.doc_id", "kept.key", "kept.start")).alias("kept"))
+    # node: a run, part: its windows in a row that one row keeps; both are named by their first window
+    w = by_key.orderBy("at")
+    so_far = w.rowsBetween(W.unboundedPreceding, 0)
+    marked = found.drop("cover", "cut").join(least, ["d1", "d2"]).withColumn("kept", F.coalesce("kept", F.struct("doc_id", "key", "start"))).withColumn("new", F.coalesce(F.col("at") - F.lag("at").over(w) >= WINDOW, F.lit(True)))
+    marked = marked.withColumn("turn", F.col("new") | (F.col("kept.key") != F.lag("kept.key").over(w)))
+    marked = marked.withColumn("node", F.last(F.when(F.col("new"), F.col("id")), True).over(so_far)).withColumn("part", F.last(F.when(F.col("turn"), F.col("id")), True).over(so_far))
+    marked = stored(marked.drop("id", "new", "turn"), "marked")
+    hubs = marked.groupBy("d1", "d2").agg(F.min("node").alias("u"))
+    labels = components(marked.join(hubs, ["d1", "d2"]).select("u", F.col("node").alias("v")))
+    parts = marked.groupBy("key", "part").agg(
+        F.min("doc_id").alias("doc_id"), F.min("node").alias("node"), F.min("at").alias("first"), (F.max("at") + WINDOW).alias("last"), F.min("start").alias("start"), F.max("end").alias("end"),
+        F.min("kept.doc_id").alias("keep_doc"), F.min("kept.key").alias("keep_key"), F.min("kept.start").alias("keep_start"),
+    )
+    # kept parts before and after a lost one; windows are of one length, so that the order of their ends is that of their starts
+    own = F.col("key") == F.col("keep_key")
+    before, after = by_key.orderBy("first").rowsBetween(W.unboundedPreceding, -1), by_key.orderBy(F.desc("first")).rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.withColumn("left", F.max(F.when(own, F.struct("last", "end"))).over(before)).withColumn("right", F.min(F.when(own, F.struct("first", "start"))).over(after))
+    from_left, to_right = ~own & F.coalesce(F.col("left.last") > F.col("first"), F.lit(False)), ~own & F.coalesce(F.col("right.first") < F.col("last"), F.lit(False))
+    words = F.when(to_right, F.col("right.first")).otherwise(F.col("last")) - F.when(from_left, F.col("left.last")).otherwise(F.col("first"))
+    # one separator after kept words stays
+    parts = parts.select("node", "key", "doc_id", F.when(from_left, F.col("left.end") + 1).otherwise(F.col("start")).alias("start"), F.when(to_right, F.col("right.start")).otherwise(F.col("end")).alias("end"), words.alias("words"), F.struct(F.col("keep_doc").alias("doc_id"), F.col("keep_key").alias("key"), F.col("keep_start").alias("start")).alias("kept"))
+    return parts.where("words > 0").join(labels, "node").select("key", "doc_id", "start", "end", "words", (-F.col("label") - 1).alias("cluster"), "kept")
 
 
 def _clusters(rows: DataFrame) -> DataFrame:
-    """rows (key, doc_id, text): all paragraphs and runs of clusters that span rows, with cluster and keeper."""
+    """rows (key, doc_id, text): all paragraphs and stretches of runs of clusters that span rows, with cluster and keeper."""
     schema = "key long, doc_id long, start long, end long, words long, n long, d1 long, d2 long, bands array<long>"
     found = rows.mapInArrow(_paragraph_rows, schema).withColumn("node", F.monotonically_increasing_id())
     units = stored(found, "paragraphs")
@@ -199,7 +222,7 @@ def _clusters(rows: DataFrame) -> DataFrame:
     labels = similar_components(members, reps.select("node", "n"), texts)
     named = reps.join(labels, "node", "left").where("times > 1 OR label IS NOT NULL").select("d1", "d2", F.coalesce("label", "node").alias("cluster"))
     placed = stored(_with_keepers(units.join(named, ["d1", "d2"]).select("key", "doc_id", "start", "end", "words", "cluster")), "placed")
-    return placed.unionByName(_with_keepers(stored(_runs(rows, placed), "clustered")))
+    return placed.unionByName(_runs(rows, placed))
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
@@ -212,7 +235,9 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """All paragraphs, and passages inside lines, that other documents repeat: doc_id, start_char, end_char (code points), n_words, cluster_id, keep_doc_id, keep_start, removed."""
+    """All paragraphs, and passages inside lines, that other documents repeat: doc_id, start_char, end_char (code points), n_words, cluster_id, keep_doc_id, keep_start, removed.
+
+    Of a passage inside lines there is a row for each stretch that one document keeps; keep_start is where its first whole window begins there."""
     found = _clusters(_keyed(docs)[0])
     return found.select("doc_id", F.col("start").alias("start_char"), F.col("end").alias("end_char"), F.col("words").alias("n_words"), F.col("cluster").alias("cluster_id"), F.col("kept.doc_id").alias("keep_doc_id"), F.col("kept.start").alias("keep_start"), (F.col("key") != F.col("kept.key")).alias("removed"))
 

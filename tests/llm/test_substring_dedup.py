@@ -113,6 +113,29 @@ def test_copy_groups_that_share_a_passage(spark):
     assert kept[3].startswith(y[: y.index(passage)]) and kept[3].endswith(y[y.index(passage) + len(passage) :])
 
 
+def test_lost_words_stay_in_their_keeper(spark):
+    r = random.Random(13)
+    line = lambda n: " ".join(f"y{r.randrange(10**6)}" for _ in range(n))
+    p, q = line(60), line(140)
+    rows = [(1, f"{line(150)} {p} {line(150)}"), (5, f"{line(400)} {p} {q} {line(400)}"), (6, f"{line(400)} {p} {q} {line(400)}")]
+    chain = line(600).split()  # each row overlaps the next ones
+    rows += [(10 + k, f"{line(300)} {' '.join(chain[a : a + 90 + 10 * (k % 5)])} {line(300)}") for k, a in enumerate(r.sample(range(0, 500, 9), 40))]
+    # a near copy loses a paragraph with a passage that its keeper lacks, and that another row has in a longer line
+    near = line(400).split()
+    rows += [(60, " ".join(near[:200] + ["other"] + near[201:])), (61, " ".join(near)), (62, f"{line(400)} {' '.join(near[170:235])} {line(400)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts, found = dict(rows), repeated_passages(docs).collect()
+    check_runs(rows, found)
+    kept = {d.doc_id: f" {' '.join(d.text.split())} " for d in without_repeats(docs).collect()}
+    lost = [x for x in found if x.cluster_id < 0 and x.removed]
+    for x in lost:
+        words = texts[x.doc_id][x.start_char : x.end_char].split()
+        assert len(words) == x.n_words and f" {' '.join(words)} " in kept[x.keep_doc_id] and x.keep_doc_id != x.doc_id
+    assert f" {q.rsplit(' ', SPACING)[0]} " in kept[5] and q.split()[60] not in kept[6]
+    assert {1, 5} <= {x.keep_doc_id for x in found} and len({x.doc_id for x in lost}) > 20
+    assert " ".join(near[180:225]) in kept[62]
+
+
 def test_anchors_leave_no_gap():
     r = np.random.default_rng(3)
     words = r.integers(0, 1 << 63, 4000, dtype=np.uint64)
