@@ -27,3 +27,12 @@ def runs_of_rows(offsets: np.ndarray, most_bytes: int) -> Iterator[tuple[int, in
         end = min(max(end, start + 1), n)
         yield start, end
         start = end
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts hold about most_bytes together, so that what is made of them stays small."""
+    for batch in batches:
+        if batch.num_rows:
+            _, offsets = text_bytes(batch.column("text"))
+            for a, b in runs_of_rows(offsets, most_bytes):
+                yield batch.slice(a, b - a)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,20 +19,55 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        context = spark.sparkContext
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="spanloom-"))
-        base = context._jsc.sc().getCheckpointDir().get()
-    return base.rstrip("/")
+#: A stored table's own query keeps its shuffle files no longer than it runs.
+LEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+_scopes: list[list[str]] = []
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session without it (tests) gets a folder of its own; a cluster must set it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spanloom-"))
+    return spark.conf.get("spark.checkpoint.dir")
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session with other settings, for what is run inside."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are deleted at the end, but for those stored with keep; these belong to the scope around."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        for path in paths:
+            drop_scratch(spark, path)
+
+
+def scratch_path(spark: SparkSession, label: str, keep: bool = False) -> str:
     """A fresh path for a table of this run in the shared folder."""
-    return f"{shared_dir(spark)}/spanloom/{uuid.uuid4().hex}/{label}"
+    path = f"{shared_dir(spark)}/spanloom/{uuid.uuid4().hex}/{label}"
+    scopes = _scopes[:-1] if keep else _scopes
+    if scopes:
+        scopes[-1].append(path)
+    return path
 
 
 def drop_scratch(spark: SparkSession, path: str) -> None:
@@ -40,11 +77,12 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends here and survives lost executors."""
+def stored(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: the lineage ends here and survives lost executors. keep: see scratch_scope."""
     spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
+    path = scratch_path(spark, label, keep)
+    with settings(spark, LEAN):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

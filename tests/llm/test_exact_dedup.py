@@ -40,3 +40,24 @@ def test_odd_tables(spark):
     assert left.columns == docs.columns
     assert sorted((r["text"] or "") for r in left.collect()) == ["", "a", "b", "c"]
     assert exact_groups(docs.limit(0)).count() == 0 and drop_copies(docs.limit(0)).count() == 0
+
+
+def test_state_that_stays(spark, tmp_path):
+    folder = str(tmp_path / "state")
+    schema = "doc_id long, text string"
+    exact_groups(spark.createDataFrame([(3, "a b"), (4, "c")], schema), state_dir=folder).collect()
+    got = exact_groups(spark.createDataFrame([(1, "ab"), (2, "c  "), (5, "d")], schema), state_dir=folder).collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == [(1, 3, 2, False), (2, 2, 2, True), (3, 3, 2, True), (4, 2, 2, False), (5, 5, 1, True)]
+
+
+def test_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a", 1, "x", 3), (2, " a", 1, "y", 3)], "doc_id long, text string, _id int, _sha string, digest int")
+    assert [tuple(r) for r in drop_copies(docs).collect()] == [(2, " a", 1, "y", 3)]
+
+
+def test_kept_texts_too_large_to_broadcast(spark, monkeypatch):
+    from spanloom.llm import exact_dedup
+
+    monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(exact_dedup, "SALT_ROWS", 7)
+    test_against_plain_groups(spark, 2)
