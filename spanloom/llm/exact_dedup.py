@@ -91,6 +91,7 @@ def exact_groups(docs: DataFrame, digest_chars: int = 64, files_per_batch: int =
         drop_scratch(spark, state)
     written = spark.createDataFrame([], UPDATES) if empty else spark.read.schema(UPDATES).parquet(f"{out}/n=*")
     groups = written.groupBy("digest").agg(F.max_by(F.struct("best", "group_size"), "batch").alias("g")).select("digest", F.col("g.best").alias("best"), F.col("g.group_size").alias("group_size"))
+    groups = stored(groups, "dedup-groups")  # read twice, and a join with a table splits large groups where one with an aggregate can't
     clashes = _clashes(docs, groups, digest_chars)
 
     columns = ["doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "keep_locator"]

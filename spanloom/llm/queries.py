@@ -10,7 +10,7 @@ from . import quality
 from .exact_dedup import exact_groups
 from .html_text import extract
 from .language_id import identify, learn
-from .licenses import licence_table, scan, scan_sql
+from .licenses import scan, scan_sql
 from .mixing import mix
 from .ngram_join import link
 from .packing import pack_documents
@@ -52,7 +52,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences of every document that has one."""
-    return scan(_documents(spark, sf_dir), licence_table(spark))
+    return scan(_documents(spark, sf_dir))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
