@@ -86,6 +86,17 @@ def stored(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs as key, doc_id, text with a key of each row; whether the key is doc_id, which is so where that is unique and never null.
+
+    Else the rows are numbered and written, so that every read gives the same numbers."""
+    counts = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if counts["rows"] == counts["ids"]:
+        return rows.select(F.col("doc_id").alias("key"), "doc_id", "text"), True
+    return stored(rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "rows"), False
+
+
 def without_white_space(text: Column) -> Column:
     """text (null: empty) without the characters of [\x20\x09-\x0D]."""
     out = F.coalesce(text, F.lit(""))
