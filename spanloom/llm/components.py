@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import scratch_scope, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -23,6 +23,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps hang every node on ever smaller ones until nothing changes, which takes a number of
     rounds of the order of log2 of the longest chain squared. Each round is written to the shared folder."""
+    with scratch_scope(edges.sparkSession):
+        return stored(_contracted(edges), "components", keep=True)
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
     edges = stored(edges.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).where("u <> v").distinct(), "edges")
     state = _state(edges)
     while True:

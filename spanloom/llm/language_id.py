@@ -1,19 +1,17 @@
 """Language identification by prediction by partial matching (operator 1).
 
-Each language has a tree of byte contexts of order 0 to 3 with symbol counts, learnt once and then frozen. The code length
-of a symbol is that of the longest context in the tree that has seen it; each longer context in the tree that has not
-costs its escape (method C: distinct symbols / (symbols + distinct symbols)), and below order 0 symbols are uniform. No symbols are excluded
+Each language has a tree of byte contexts of order 0 to ORDER with the counts of the bytes that followed, learnt once and then frozen. The code length
+of a byte is that of the longest context in the tree that has seen it; each longer context in the tree that has not
+costs its escape (method C: distinct bytes / (bytes + distinct bytes)), and below order 0 the 256 bytes are uniform. No bytes are excluded
 after an escape. A text's language is the one that codes the whole text in the fewest bits, with -log2 of the language's
 share of the learnt rows for its name; the score is that language's share of 2^-bits over all languages.
 
-Because the statistics are frozen, the bits of a symbol depend on it and the three before it only, so that they can be
-tabled: scoring looks up every position of the text and adds up.
-
-Bytes are taken as 64 symbols: a-z without case, white space, digits, other ASCII, 32 continuation bytes (case of Latin-1
-letters folds with them) and 3 lead bytes. This is a fixed rule, whatever the data.
+Because the statistics are frozen, the bits of a byte depend on it and the ORDER bytes before it only, so that they are
+tabled: scoring finds, for every position of the text, the longest run of bytes that any tree has, and adds up.
 
 Nulls and empties: text that is null or holds no letter gets `und` and score 0. Rows without a text or language are not learnt from. Without any
-learnt row every text is `und`. Ties go to the language first in code point order. Repeated rows get the same answer.
+learnt row every text is `und`. Ties go to the language first in code point order. Repeated rows get the same answer. Texts of any length are
+coded in pieces, each with the bytes before it. Extra columns play no part.
 """
 
 from __future__ import annotations
@@ -27,68 +25,76 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .arrow_text import runs_of_rows, text_bytes
+from .arrow_text import runs_of_rows, small_batches, text_bytes
 
-SYMBOLS = 64
-#: Rows of each language to learn from, at most, drawn by a hash of doc_id.
+#: Longest context, in bytes.
+ORDER = 4
+#: Rows of each language to learn from, at most, drawn by a hash of doc_id and text.
 LEARN_ROWS = 600
-CHUNK = 1 << 20
-
-
-def _symbol_table() -> np.ndarray:
-    table = np.zeros(256, np.uint8)
-    for b in range(256):
-        if chr(b).isascii() and chr(b).isalpha():
-            table[b] = ord(chr(b).lower()) - ord("a")
-        elif b in b" \t\n\x0b\x0c\r":
-            table[b] = 26
-        elif ord("0") <= b <= ord("9"):
-            table[b] = 27
-        elif b < 0x80:
-            table[b] = 28
-        elif b < 0xC0:
-            table[b] = 29 + (b & 31)
-        else:
-            table[b] = 61 + (0 if b == 0xC3 else 1 if b < 0xE0 else 2)
-    return table
-
-
-SYMBOL = _symbol_table()
-_table: dict = {}
-PAD = b"   "
+CHUNK = 1 << 18
+PAD = b" " * ORDER
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _grams(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """4-grams of symbols ending at each byte of the segments after their first three; starts and lengths of the segments in them."""
-    s = SYMBOL[np.frombuffer(b"".join(segments), np.uint8)].astype(np.int32)
-    g = (s[:-3] << 18) | (s[1:-2] << 12) | (s[2:-1] << 6) | s[3:]
+    """The ORDER + 1 bytes ending at each byte of the segments after their first ORDER, as numbers; starts and lengths of the segments in them."""
+    s = np.frombuffer(b"".join(segments), np.uint8).astype(np.uint64)
+    n = len(s) - ORDER
+    g = np.zeros(max(n, 0), np.uint64)
+    for k in range(ORDER + 1):
+        g |= s[k : k + len(g)] << np.uint64(8 * (ORDER - k))
     lengths = np.fromiter((len(x) for x in segments), np.int64, len(segments))
     ends = np.cumsum(lengths)
-    return g, ends - lengths, lengths - 3
+    return g, ends - lengths, lengths - ORDER
 
 
 def count_tree(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The 4-grams of symbols in the texts and their counts: the counts of all shorter contexts follow from them."""
-    seen: dict[int, np.ndarray] = {}
+    """The runs of ORDER + 1 bytes in the texts and their counts: the counts of all shorter contexts follow from them."""
+    parts: list[np.ndarray] = []
     for x in texts:
         if not x:
             continue
         g, _, n = _grams([PAD + x])
-        values, counts = np.unique(g[: n[0]], return_counts=True)
-        seen[len(seen)] = np.stack([values.astype(np.int64), counts])
-        if len(seen) >= 64:
-            seen = {0: _sum(seen)}
-    both = _sum(seen)
+        parts.append(np.stack(np.unique(g[: n[0]].astype(np.int64), return_counts=True)))
+        if len(parts) >= 64:
+            parts = [_sum(parts)]
+    both = _sum(parts)
     return both[0], both[1]
 
 
-def _sum(parts: dict[int, np.ndarray]) -> np.ndarray:
+def _sum(parts: list[np.ndarray]) -> np.ndarray:
     if not parts:
         return np.zeros((2, 0), np.int64)
-    grams = np.concatenate([p[0] for p in parts.values()])
-    counts = np.concatenate([p[1] for p in parts.values()])
-    values, place = np.unique(grams, return_inverse=True)
-    return np.stack([values, np.bincount(place, counts, len(values)).astype(np.int64)])
+    values, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return np.stack([values, np.bincount(place, np.concatenate([p[1] for p in parts]), len(values)).astype(np.int64)])
+
+
+class Places:
+    """Finds the places of numbers in a set of them: they lie in the order of a hash, with the first of each hash's leading bits marked."""
+
+    def __init__(self, keys: np.ndarray):
+        keys = np.unique(keys.astype(np.uint64))
+        bits = max(1, int(len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        slot = (keys * _SPREAD) >> self.shift
+        order = np.argsort(slot, kind="stable")
+        self.keys = keys[order]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(slot.astype(np.int64), minlength=1 << bits))]).astype(np.int32)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Places of the wanted, -1 for those that are not there."""
+        slot = ((wanted * _SPREAD) >> self.shift).astype(np.int64)
+        at, end = self.first[slot], self.first[slot + 1]
+        found = np.full(len(wanted), -1, np.int32)
+        open_ = np.flatnonzero(at < end)
+        at, end, left = at[open_], end[open_], wanted[open_]
+        while len(open_):
+            hit = self.keys[at] == left
+            found[open_[hit]] = at[hit]
+            at = at + 1
+            go = ~hit & (at < end)
+            open_, at, end, left = open_[go], at[go], end[go], left[go]
+        return found
 
 
 class Model:
@@ -96,44 +102,50 @@ class Model:
 
     def __init__(self, languages: list[str], prior_bits: np.ndarray, trees: list[tuple[np.ndarray, np.ndarray]]):
         self.languages, self.prior_bits = languages, prior_bits
+        self.grams: list[Places] = []  # by order: runs of order + 1 bytes that a tree has
+        self.codes: list[np.ndarray] = []  # bits of their last byte, by language
+        self.contexts: list[Places] = []
+        self.escapes: list[np.ndarray] = []
         n = len(languages)
-        codes = [np.full((1, n), np.log2(SYMBOLS), np.float64)]  # order -1
-        escapes = []
-        for order in range(4):  # contexts of this many symbols
-            size = SYMBOLS ** (order + 1)
-            if order < 3:
-                code, escape = np.empty((size, n)), np.zeros((size // SYMBOLS, n))
-            else:
-                self.grams = np.unique(np.concatenate([t[0] for t in trees])) if trees else np.zeros(0, np.int64)
-                code, escape = np.empty((len(self.grams), n)), np.zeros((size // SYMBOLS, n))
-            for k, (grams, counts) in enumerate(trees):
-                short = grams % size
-                values, place = np.unique(short, return_inverse=True)
+        for order in range(ORDER + 1):
+            size = 1 << (8 * (order + 1))
+            short = [t[0] % size for t in trees]
+            grams = Places(np.concatenate(short) if short else np.zeros(0, np.int64))
+            contexts = Places(grams.keys >> np.uint64(8))
+            escape = np.zeros((len(contexts.keys), n))
+            seen = []
+            for k, (own, (_, counts)) in enumerate(zip(short, trees, strict=True)):
+                values, place = np.unique(own, return_inverse=True)
                 times = np.bincount(place, counts, len(values))
-                contexts, at = np.unique(values // SYMBOLS, return_inverse=True)
-                distinct, total = np.bincount(at, minlength=len(contexts)), np.bincount(at, times, len(contexts))
-                escape[contexts, k] = -np.log2(distinct / (total + distinct))
-                seen = -np.log2(times / (total + distinct)[at])
-                every = np.arange(size) if order < 3 else self.grams
-                lower = codes[-1][every % max(1, size // SYMBOLS), k] if order else np.broadcast_to(codes[0][0, k], size)
-                code[:, k] = lower + escape[every // SYMBOLS, k]
-                code[values if order < 3 else np.searchsorted(self.grams, values), k] = seen
-            codes.append(code)
-            escapes.append(escape)
-        self.code4 = np.append(codes[4], np.zeros((1, n)), axis=0).astype(np.float32)
-        self.code3, self.escape3 = codes[3].astype(np.float32), escapes[3].astype(np.float32)
-
-    def _lookup(self) -> np.ndarray:
-        """Places of all 4-grams in code4: one table in each worker, filled anew for another model."""
-        if _table.get("model") is not self:
-            if "model" in _table:
-                _table["place"][_table["model"].grams] = -1
-            else:
-                _table["place"] = np.full(SYMBOLS**4, -1, np.int32)
-            place = _table["place"]
-            place[self.grams] = np.arange(len(self.grams), dtype=np.int32)
-            _table["model"] = self
-        return _table["place"]
+                heads, at = np.unique(values >> 8, return_inverse=True)
+                distinct, total = np.bincount(at, minlength=len(heads)), np.bincount(at, times, len(heads))
+                escape[contexts.find(heads.astype(np.uint64)), k] = -np.log2(distinct / (total + distinct))
+                seen.append((grams.find(values.astype(np.uint64)), -np.log2(times / (total + distinct)[at])))
+            code = self._lower(grams.keys, order - 1) + escape[contexts.find(grams.keys >> np.uint64(8))]
+            for k, (places, bits) in enumerate(seen):
+                code[places, k] = bits
+            self.grams.append(grams)
+            self.codes.append(code.astype(np.float32))
+            self.contexts.append(contexts)
+            self.escapes.append(escape.astype(np.float32))
+
+    def _lower(self, grams: np.ndarray, order: int) -> np.ndarray:
+        """Bits of the last bytes of grams, by language, by the contexts of this order and below."""
+        out = np.zeros((len(grams), len(self.languages)))
+        open_ = np.arange(len(grams))
+        for k in range(order, -1, -1):
+            own = grams[open_] & np.uint64((1 << (8 * (k + 1))) - 1)
+            place = self.grams[k].find(own)
+            known = place >= 0
+            out[open_[known]] += self.codes[k][place[known]]
+            open_, own = open_[~known], own[~known]
+            if not len(open_):
+                return out
+            context = self.contexts[k].find(own >> np.uint64(8))
+            met = context >= 0
+            out[open_[met]] += self.escapes[k][context[met]]
+        out[open_] += 8.0
+        return out
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each whole text under each language."""
@@ -141,23 +153,13 @@ class Model:
         segments, owner = [], []
         for i, x in enumerate(texts):
             for start in range(0, len(x), CHUNK):
-                segments.append((x[start - 3 : start] if start else PAD) + x[start : start + CHUNK])
+                segments.append((x[start - ORDER : start] if start else PAD) + x[start : start + CHUNK])
                 owner.append(i)
-        place, at = self._lookup(), 0
         sizes = np.cumsum([0] + [len(x) for x in segments])
         for a, b in runs_of_rows(sizes, CHUNK):
             g, starts, lengths = _grams(segments[a:b])
-            index = place[g]
-            new = index < 0
-            unseen = g[new]
-            edges = np.concatenate([[0], np.cumsum(new)])
-            for k in range(len(self.languages)):
-                c = self.code4[index, k]
-                c[new] = self.escape3[unseen >> 6, k] + self.code3[unseen & (SYMBOLS**3 - 1), k]
-                total = np.concatenate([[0.0], np.cumsum(c, dtype=np.float64)])
-                np.add.at(out[:, k], owner[a:b], total[starts + lengths] - total[starts])
-            del edges
-            at = b
+            total = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(self._lower(g, ORDER), axis=0)])
+            np.add.at(out, owner[a:b], total[starts + lengths] - total[starts])
         return out
 
     def predict(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,12 +179,15 @@ def held_out(doc_id: Column) -> Column:
 
 def learn(docs: DataFrame, learn_rows: int = LEARN_ROWS) -> Model:
     """Learn from text and non-null lang of documents that are not held out: at most learn_rows of each language, drawn
-    by a hash of doc_id; the languages' shares are counted over all such documents."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    by a hash of doc_id and text; the languages' shares are counted over all such documents."""
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
     shares = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    w = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    drawn = labelled.select("doc_id", "lang").withColumn("n", F.row_number().over(w)).where(F.col("n") <= learn_rows).select("doc_id")
-    sample = labelled.select("doc_id", "lang", "text").join(F.broadcast(drawn.distinct()), "doc_id", "left_semi")
+    spark, order = docs.sparkSession, F.xxhash64("doc_id", "text")
+    # a first draw of about twice the rows by their hashes, so that little is sorted; a language of few rows gives all
+    chance = spark.createDataFrame([(k, min(2**63 - 1, int((2 * learn_rows + 100) / n * 2**63))) for k, n in shares.items()], "lang string, most long")
+    drawn = labelled.join(F.broadcast(chance), "lang").where(F.shiftrightunsigned(order, 1) <= F.col("most"))
+    drawn = drawn.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy(order, "doc_id")))
+    sample = drawn.where(F.col("nth") <= learn_rows)
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         grams, counts = count_tree([x.encode() for x in rows["text"]])
@@ -203,7 +208,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     known = bool(model.languages)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             raw, offsets = text_bytes(batch.column("text"))
             letters = batch.column("letters").to_numpy(zero_copy_only=False)
             data = raw.tobytes()
@@ -227,7 +232,7 @@ def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     schema = docs.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             raw, offsets = text_bytes(batch.column("text"))
             data = raw.tobytes()
             texts = [data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]

@@ -18,6 +18,7 @@ position; each is a document. Ties: the component is named by its smallest doc_i
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import text_bytes
-from .common import bitmap, is_small, stored
+from .arrow_text import small_batches, text_bytes
+from .common import bitmap, is_small, keyed, scratch_scope, stored
 from .shingles import mix64, sets_of
 from .similar_groups import PERCENT, members_of, similar_components
 
@@ -98,21 +99,36 @@ def _as_long(x: np.ndarray) -> pa.Array:
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each node its set's size and digest; and rows without a node: shingles frequent in the batch, with their counts in n."""
     for batch in batches:
-        values, offsets = sets_of(*text_bytes(batch.column("text")))
-        n = np.diff(offsets)
-        digests = []
-        for seed in (1, 2):
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(values + np.uint64(seed)), dtype=np.uint64)])
-            digests.append(_as_long(mix64(total[offsets[1:]] - total[offsets[:-1]] + n.astype(np.uint64))))
-        yield pa.record_batch([batch.column("node"), pa.array(n), *digests], names=["node", "n", "d1", "d2"])
-        ordered = np.sort(values)
-        edges = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])) if len(ordered) else np.zeros(1, np.int64)
-        counts = np.diff(edges)
-        often = counts >= LOCAL
-        if often.any():
-            tokens = ordered[edges[:-1][often]]
-            none = pa.nulls(len(tokens), pa.int64())
-            yield pa.record_batch([none, pa.array(counts[often]), _as_long(tokens), none], names=["node", "n", "d1", "d2"])
+        if not batch.num_rows:
+            continue
+        parts = []
+        for part in small_batches([batch]):
+            values, offsets = sets_of(*text_bytes(part.column("text")))
+            yield _described(part.column("node"), values, offsets)
+            parts.append(values)
+        yield from _often(np.concatenate(parts))
+
+
+def _described(nodes: pa.Array, values: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+    """Size and digest of each node's set."""
+    n = np.diff(offsets)
+    digests = []
+    for seed in (1, 2):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(values + np.uint64(seed)), dtype=np.uint64)])
+        digests.append(_as_long(mix64(total[offsets[1:]] - total[offsets[:-1]] + n.astype(np.uint64))))
+    return pa.record_batch([nodes, pa.array(n), *digests], names=["node", "n", "d1", "d2"])
+
+
+def _often(values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Shingles that a batch has LOCAL times or more."""
+    ordered = np.sort(values)
+    edges = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])) if len(ordered) else np.zeros(1, np.int64)
+    counts = np.diff(edges)
+    often = counts >= LOCAL
+    if often.any():
+        tokens = ordered[edges[:-1][often]]
+        none = pa.nulls(len(tokens), pa.int64())
+        yield pa.record_batch([none, pa.array(counts[often]), _as_long(tokens), none], names=["node", "n", "d1", "d2"])
 
 
 def _frequent_bitmap(profile: DataFrame) -> np.ndarray:
@@ -127,7 +143,7 @@ def _signature_rows(reps: DataFrame, frequent: np.ndarray) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for batch in batches:
+        for batch in small_batches(batches):
             values, offsets = sets_of(*text_bytes(batch.column("text")))
             cells = (values >> np.uint64(64 - CELL_BITS)).astype(np.int64)
             often = (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
@@ -142,15 +158,17 @@ def _signature_rows(reps: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 def link(docs: DataFrame) -> DataFrame:
     """Of each row of docs: doc_id, n_shingles, component_id."""
-    counts = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
-    plain = counts["rows"] == counts["ids"]
-    nodes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    nodes = nodes.withColumn("node", F.col("doc_id")) if plain else stored(nodes.withColumn("node", F.monotonically_increasing_id()), "rows")
+    with scratch_scope(docs.sparkSession):
+        return _link(docs)
+
+
+def _link(docs: DataFrame) -> DataFrame:
+    nodes, plain = keyed(docs)
+    nodes = nodes.withColumnRenamed("key", "node")
     profile = stored(nodes.select("node", "text").mapInArrow(_profile, "node long, n long, d1 long, d2 long"), "profile")
     sets = profile.where("node IS NOT NULL")
-    first = sets.where("n > 0").groupBy("d1", "d2").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("times"))
-    classes = sets.join(first, ["d1", "d2"]).where("times > 1 AND node <> rep").select("node", "rep")
-    classes = stored(classes, "classes")
+    first = sets.where("n > 0").groupBy("d1", "d2").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    classes = stored(sets.join(first, ["d1", "d2"]).where("node <> rep").select("node", "rep"), "classes")
     n_copies = classes.count()
     copies = classes.select("node")
     reps = nodes.join(F.broadcast(copies) if is_small(n_copies, 32) else copies, "node", "left_anti")
@@ -164,20 +182,22 @@ def link(docs: DataFrame) -> DataFrame:
     out = sets.join(classes.withColumnRenamed("rep", "_rep"), "node", "left").withColumn("_rep", F.coalesce("_rep", "node"))
     out = out.join(labels.select(F.col("node").alias("_rep"), "label"), "_rep", "left").select("node", F.col("n").alias("n_shingles"), F.coalesce("label", "_rep").alias("component_id"))
     if plain:
-        return out.select(F.col("node").alias("doc_id"), "n_shingles", "component_id")
-    out = stored(out, "linked").join(nodes.select("node", "doc_id"), "node")
+        return stored(out.select(F.col("node").alias("doc_id"), "n_shingles", "component_id"), "linked", keep=True)
+    out = stored(out, "linked-rows").join(nodes.select("node", "doc_id"), "node")
     named = out.groupBy("component_id").agg(F.min("doc_id").alias("least"))
-    return out.join(named, "component_id").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+    return stored(out.join(named, "component_id").select("doc_id", "n_shingles", F.col("least").alias("component_id")), "linked", keep=True)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one document of each group of linked ones: that of the smallest doc_id. All their columns stay."""
+    spark, me = docs.sparkSession, f"_{uuid.uuid4().hex}"
     counts = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
     if counts["rows"] == counts["ids"]:
-        gone = stored(link(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")), "gone")
+        with scratch_scope(spark):
+            gone = stored(link(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(me)), "gone", keep=True)
         n_gone = gone.count()
-        return docs.join(F.broadcast(gone) if is_small(n_gone, 32) else gone, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    groups = link(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
-    kept = rows.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("k")).select(F.col("k._row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").drop("_row")
+        return docs.join(F.broadcast(gone) if is_small(n_gone, 32) else gone, docs["doc_id"].cast("long") == gone[me], "left_anti")
+    rows = stored(docs.withColumn(me, F.monotonically_increasing_id()), "rows")
+    groups = link(rows.select(F.col(me).alias("doc_id"), "text")).select(F.col("doc_id").alias(me), "component_id")
+    kept = rows.select(me, "doc_id").join(groups, me).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", me)).alias("k")).select(F.col(f"k.{me}").alias(me))
+    return rows.join(kept, me, "left_semi").drop(me)

@@ -12,7 +12,7 @@ import numpy as np
 from .arrow_text import runs_of_rows
 
 WIDTH = 5
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _RNG = np.random.default_rng(20240229)
 _LOWER = np.arange(256)
@@ -24,7 +24,7 @@ _GAP = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _PLACE = [np.uint64(int(x) | 1) for x in _RNG.integers(1, 1 << 63, 64, dtype=np.uint64)]
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers: list[np.ndarray] = []
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -37,13 +37,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, from 0 to n - 1."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(n + CHUNK // 8, base, np.uint64)
+    """Powers of the base and of its inverse, from 0 to n - 1. Those of one chunk are held; more, for a long text, are made from them."""
+    held = 2 * CHUNK
+    if not _powers:
+        for base in (_BASE, _BASE_INVERSE):
+            steps = np.full(held, base, np.uint64)
             steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers[0][:n], _powers[1][:n]
+            _powers.append(np.cumprod(steps))
+    if n <= held:
+        return _powers[0][:n], _powers[1][:n]
+    out = []
+    for small, base in zip(_powers, (_BASE, _BASE_INVERSE), strict=True):
+        steps = np.full(-(-n // held), small[-1] * base, np.uint64)
+        steps[0] = 1
+        out.append((np.cumprod(steps)[:, None] * small[None, :]).reshape(-1)[:n])
+    return out[0], out[1]
 
 
 def word_spans(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .arrow_text import text_bytes
-from .common import is_small, stored
+from .arrow_text import small_batches, text_bytes
+from .common import is_small, scratch_scope, stored
 from .components import components
 from .shingles import sets_of
 
@@ -73,7 +73,7 @@ def _verify(pairs: DataFrame, texts: Texts, n_pairs: int) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(0, np.uint64)
-        for batch in batches:
+        for batch in small_batches(batches):
             values, offsets = sets_of(*text_bytes(batch.column("text")))
             first = batch.column("first").to_numpy(zero_copy_only=False)
             linked = np.zeros(len(first), bool)
@@ -149,7 +149,7 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root = search(np.concatenate(held_values), offsets)
         return pa.record_batch([pa.array(nodes), pa.array(nodes[root])], names=["node", "label"])
 
-    for batch in batches:
+    for batch in small_batches(batches):
         values, offsets = sets_of(*text_bytes(batch.column("text")))
         labels, nodes, sizes = batch.column("label").to_numpy(), batch.column("node").to_numpy(), np.diff(offsets)
         edges = np.concatenate([[0], np.flatnonzero(labels[1:] != labels[:-1]) + 1, [len(labels)]]).tolist() if len(labels) else [0]
@@ -188,6 +188,11 @@ def similar_components(members: DataFrame, sizes: DataFrame, texts: Texts) -> Da
     """node and label, the smallest node of its component, of every node that may link with another.
 
     members: as from members_of. sizes: node and n of all nodes. texts: gives whole texts."""
+    with scratch_scope(members.sparkSession):
+        return stored(_similar(members, sizes, texts), "labels", keep=True)
+
+
+def _similar(members: DataFrame, sizes: DataFrame, texts: Texts) -> DataFrame:
     pairs = stored(likely_pairs(members), "likely")
     large = members.where(F.col("size") > SMALL).select("bucket", "node", "n")
     hubs = large.groupBy("bucket").agg(F.min("node").alias("u"))
@@ -207,4 +212,4 @@ def similar_components(members: DataFrame, sizes: DataFrame, texts: Texts) -> Da
             return own.join(F.broadcast(wanted) if is_small(n, 48) else wanted, "node")
 
         labels = labels.unionByName(_rounds(pairs.join(open_, "node", "left_semi"), large.join(open_, "node", "left_semi"), open_texts))
-    return stored(labels, "labels")
+    return labels

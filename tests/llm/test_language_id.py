@@ -5,25 +5,26 @@ import random
 
 import numpy as np
 
-from spanloom.llm.language_id import PAD, SYMBOL, SYMBOLS, Model, count_tree, held_out, identify, keep_identified, learn
+from spanloom.llm import language_id
+from spanloom.llm.language_id import ORDER, PAD, Model, count_tree, held_out, identify, keep_identified, learn
 
 DIR = "/root/testdata/sf0.001"
 
 
 def plain_bits(trained, text):
     """Bits of text under a context tree learnt from the trained texts, context by context."""
-    seen = [{} for _ in range(4)]
+    seen = [{} for _ in range(ORDER + 1)]
     for x in trained:
-        s = [int(SYMBOL[b]) for b in PAD + x]
-        for k in range(3, len(s)):
-            for order in range(4):
+        s = list(PAD + x)
+        for k in range(ORDER, len(s)):
+            for order in range(ORDER + 1):
                 at = seen[order].setdefault(tuple(s[k - order : k]), {})
                 at[s[k]] = at.get(s[k], 0) + 1
-    total, s = 0.0, [int(SYMBOL[b]) for b in PAD + text]
-    for k in range(3, len(s)):
-        for order in (3, 2, 1, 0, -1):
+    total, s = 0.0, list(PAD + text)
+    for k in range(ORDER, len(s)):
+        for order in range(ORDER, -2, -1):
             if order < 0:
-                total += math.log2(SYMBOLS)
+                total += 8
                 break
             counts = seen[order].get(tuple(s[k - order : k]))
             if counts is None:
@@ -36,9 +37,10 @@ def plain_bits(trained, text):
     return total
 
 
-def test_bits_are_those_of_a_plain_tree():
+def test_bits_are_those_of_a_plain_tree(monkeypatch):
     r = random.Random(5)
     trained = [[" ".join("".join(r.choice(letters) for _ in range(4)) for _ in range(30)).encode() for _ in range(3)] for letters in ("abcde", "cdéfgß")]
+    monkeypatch.setattr(language_id, "CHUNK", 50)
     model = Model(["a", "b"], np.zeros(2), [count_tree(x) for x in trained])
     for text in (b"abc cde", "fgß é".encode(), b"zzz 9 !", b"a", trained[0][0]):
         assert np.allclose(model.bits([text])[0], [plain_bits(x, text) for x in trained], atol=1e-2)
@@ -60,6 +62,14 @@ def test_learning_leaves_held_out_rows_alone(spark):
     assert sorted(learn(odd).languages) == ["en", "es"]
 
 
+def test_a_repeated_doc_id_does_not_swell_the_sample(spark):
+    rows = [(1, f"uno dos {k}", "es") for k in range(500)] + [(k, f"one two {k}", "en") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert not docs.where("doc_id = 1").where(held_out(docs["doc_id"])).count()
+    model = learn(docs, learn_rows=5)
+    assert model.languages == ["en", "es"] and max(len(g.keys) for g in model.grams) < 200
+
+
 def test_odd_tables(spark):
     schema = "doc_id long, text string, lang string, held_out string, score string"
     rows = [(1, "one two three " * 20, "en", "x", "y"), (2, None, "en", None, None), (3, "", None, None, None), (4, "12 34 !", "en", None, None), (None, "one two", None, None, None), (1, "one two three " * 20, "en", "x", "y"), (7, "é" * 300_000, None, None, None)]
