@@ -17,6 +17,7 @@ part.
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, is_small, scratch_scope, stored
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST = 3
@@ -110,7 +111,7 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _fly(level: int, last: bool = False):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["order", "row_id"], kind="stable")
+        rows = rows.sort_values(["order", "key"], kind="stable")
         draws = np.random.default_rng(zlib.crc32(repr((key[0], int(key[1]), level)).encode()))
         size, p, held = rows["size"].to_numpy(np.float64), rows["p"].to_numpy(np.float64).copy(), rows["held"].to_numpy(bool).copy()
         if level == 0 and key[1] == 0:  # a few of the first block wait for the landing
@@ -121,21 +122,27 @@ def _fly(level: int, last: bool = False):
     return run
 
 
-def _text_key() -> Column:
-    return F.xxhash64("doc_id", "source", "text")
+def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Each row of docs as doc_id, size, source_size, target, taken, copies."""
+    return _mixed(docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "source", "text"), block).drop("key")
 
 
-def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Each row of docs as doc_id, size, source_size, target, taken, copies, and text_key, a hash of the row."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
-    sizes = stored(keyed.select("doc_id", "source", word_count(F.col("text")).cast("long").alias("size"), _text_key().alias("text_key"), F.monotonically_increasing_id().alias("row_id")), "sizes")
+def _mixed(rows: DataFrame, block: int) -> DataFrame:
+    """key, doc_id, size, source_size, target, taken, copies of rows (key, doc_id, source, text)."""
+    with scratch_scope(rows.sparkSession):
+        return stored(_decided(rows, block), "mixed", keep=True)
+
+
+def _decided(rows: DataFrame, block: int) -> DataFrame:
+    # equal rows are alike, so that the order of draws is the same in every run
+    sizes = stored(rows.select("key", F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("order")), "sizes")
     goals = stored(targets(sizes), "targets")
-    rows = sizes.join(goals, sizes["source"].eqNullSafe(goals["source"])).drop(goals["source"])
+    rows = sizes.join(F.broadcast(goals), sizes["source"].eqNullSafe(goals["source"])).drop(goals["source"]) if is_small(goals.count(), 200) else sizes.join(goals, sizes["source"].eqNullSafe(goals["source"])).drop(goals["source"])
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("whole", F.floor(ratio + SURE)).withColumn("p", F.greatest(ratio - F.col("whole"), F.lit(0.0)))
-    rows = rows.withColumn("order", F.xxhash64("doc_id")).withColumn("block", F.pmod("order", F.ceil(F.col("documents") / block)))
-    kept = "doc_id long, row_id long, text_key long, source string, size long, source_size long, target double, whole long, p double, order long, block long, held boolean"
-    rows = rows.select("doc_id", "row_id", "text_key", "source", "size", "source_size", "target", "whole", "p", "order", "block", F.lit(False).alias("held"))
+    rows = rows.withColumn("block", F.pmod("order", F.ceil(F.col("documents") / block)))
+    kept = "key long, doc_id long, source string, size long, source_size long, target double, whole long, p double, order long, block long, held boolean"
+    rows = rows.select("key", "doc_id", "source", "size", "source_size", "target", "whole", "p", "order", "block", F.lit(False).alias("held"))
     flown = stored(rows.groupBy("source", "block").applyInPandas(_fly(0), kept), "flown")
     open_ = (F.col("p") > 0) & (F.col("p") < 1)
     done, flying, level = flown.where(~open_), flown.where(open_), 1
@@ -146,18 +153,17 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         done, flying = done.unionByName(flown.where(~open_)), flown.where(open_)
     done = done.unionByName(flying.withColumn("block", F.lit(-1).cast("long")).groupBy("source", "block").applyInPandas(_fly(level, last=True), kept))
     copies = F.col("whole") + F.col("p").cast("long")
-    return done.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "text_key")
+    return done.select("key", "doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
+def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """docs as the mix reads them: rows as often as they are taken, with all their columns."""
-    key = [F.col("doc_id").cast("long").alias("_id"), F.col("text_key").alias("_key")]
-    numbers = stored(mix(docs).groupBy(*key).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")), "copies")
-    keyed = docs.withColumn("_hash", F.xxhash64(F.col("doc_id").cast("long"), "source", "text"))
-    out = keyed.join(numbers.where("_copies > 0"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_key")))
-    copies = F.col("_copies")
-    if numbers.where("_rows > 1").limit(1).count():  # rows repeated whole share what they were given
-        out = out.withColumn("_nth", F.row_number().over(W.partitionBy("_id", "_key").orderBy(F.lit(1))))
-        copies = F.floor(copies / F.col("_rows")) + (F.col("_nth") <= copies % F.col("_rows")).cast("long")
-        out = out.withColumn("_copies", copies).where("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[f"`{c}`" for c in docs.columns])
+    me, times = (f"_{uuid.uuid4().hex}" for _ in range(2))
+    counts = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if counts["rows"] == counts["ids"]:
+        rows = docs.withColumn(me, F.col("doc_id").cast("long"))
+    else:
+        rows = stored(docs.withColumn(me, F.monotonically_increasing_id()), "rows")
+    taken = _mixed(rows.select(F.col(me).alias("key"), "doc_id", "source", "text"), block).where("copies > 0").select(F.col("key").alias(me), F.col("copies").alias(times))
+    out = rows.join(F.broadcast(taken) if is_small(counts["rows"], 48) else taken, me)
+    return out.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*[f"`{c}`" for c in docs.columns])

@@ -154,7 +154,8 @@ def learn(docs: DataFrame, labels: DataFrame, learn_rows: int = LEARN_ROWS, step
     drawn = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     drawn = drawn.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(learn_rows)
     sample = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select(F.col("order").cast("long"), F.col("quality").cast("int").alias("quality"), "text")
-    rows = sorted(sample.mapInArrow(_features, "order long, quality int, places binary, shares binary").collect(), key=lambda r: (r["order"], r["places"]))[:learn_rows]
+    sample = sample.orderBy("order", F.xxhash64("text")).limit(learn_rows)  # doc_ids may be repeated
+    rows = sorted(sample.mapInArrow(_features, "order long, quality int, places binary, shares binary").collect(), key=lambda r: (r["order"], r["places"]))
     model = Model()
     y = np.array([float(r["quality"] > 0) for r in rows])
     if len(set(y.tolist())) < 2:

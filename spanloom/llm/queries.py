@@ -37,7 +37,7 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every row of documents."""
-    return mix(_documents(spark, sf_dir)).drop("copies", "text_key")
+    return mix(_documents(spark, sf_dir)).drop("copies")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,3 +75,12 @@ def test_odd_tables(spark):
     assert out.columns == docs.columns
     assert out.count() == sum(r["copies"] for r in got)
     assert mix(docs.limit(0)).count() == 0 and mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_clashing_names_and_repeated_rows(spark):
+    rows = [(1, "a", "x y z", 1, 2, 3), (1, "a", "x y z", 1, 2, 3), (None, "b", "u v", 4, 5, 6), (2, "b", "w " * 5000, 7, 8, 9)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", _id int, key int, copies int")
+    got = mix(docs).collect()
+    out = mixed_documents(docs)
+    assert out.columns == docs.columns and out.count() == sum(r["copies"] for r in got)
+    assert {tuple(r) for r in out.collect()} <= set(rows)
