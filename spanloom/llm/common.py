@@ -21,6 +21,8 @@ BROADCAST_BYTES = 16 << 20
 
 #: A stored table's own query keeps its shuffle files no longer than it runs.
 LEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Spark's limit of an Arrow batch, its default, and ours for texts.
+BATCH_LIMIT, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20), 4 << 20
 _scopes: list[list[str]] = []
 
 
@@ -35,6 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir")
 
 
+def small_arrow_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches hold about BATCH_BYTES where the session sets no limit of its own: ten thousand texts of any length may not fit a worker."""
+    if spark.conf.get(BATCH_LIMIT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+
+
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     """The session with other settings, for what is run inside."""

@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, LEAN, drop_scratch, is_small, scratch_path, scratch_scope, settings, stored, without_white_space
 
-#: State in RocksDB, which does not reserve disk ahead of its use: there may be thousands of small stores.
+#: State in RocksDB, which does not reserve disk ahead of its use and leaves memory with its task: there may be thousands of small stores.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 #: Rows of one group that are compared with its kept text in one task, about.

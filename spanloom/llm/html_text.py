@@ -24,6 +24,8 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_arrow_batches
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are never text.
 SILENT = frozenset("script style noscript template head title svg math canvas iframe object audio video select option datalist button textarea input label map progress meter dialog".split())
@@ -284,5 +286,6 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(x) for x in batch.column("html").to_pylist()]
             yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
+    small_arrow_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", "html")
     return rows.mapInArrow(run, f"page_id {dict(rows.dtypes)['page_id']}, url string, text string, n_chars long")

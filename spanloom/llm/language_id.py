@@ -26,6 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .arrow_text import runs_of_rows, small_batches, text_bytes
+from .common import small_arrow_batches
 
 #: Longest context, in bytes.
 ORDER = 4
@@ -202,6 +203,7 @@ def learn(docs: DataFrame, learn_rows: int = LEARN_ROWS) -> Model:
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs' doc_id with held_out, lang_pred, score and bits_per_byte; only the text is looked at."""
+    small_arrow_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), letters.alias("letters"), "text")
@@ -227,6 +229,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     """docs without those whose language is not told: `und`, or a score under least_score; all their columns stay."""
+    small_arrow_batches(docs.sparkSession)
     model = learn(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.schema

@@ -1,7 +1,7 @@
 """Jaccard join on word shingles by token-combination prefixes (operator 2).
 
-1. One pass makes each text's set of hashed shingles and gives its size, a 128-bit digest and the shingles frequent in the
-   batch. Texts with equal sets are one class; only its smallest document goes on. Shingles frequent over all batches form
+1. One pass makes each text's set of hashed shingles and gives its size, a 128-bit digest and the shingles frequent in a
+   part of the input. Texts with equal sets are one class; only its smallest document goes on. Shingles frequent over all batches form
    the class "frequent", held as a bitmap of fixed size: a rare shingle may be taken for frequent, which costs work but no link.
 2. All sets are ordered alike, rare shingles before frequent ones and each by hash. A set of n may lose n // 4 shingles to a
    partner, so its prefix is extended until that many losses leave a common signature: each rare shingle is a signature
@@ -27,12 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import small_batches, text_bytes
-from .common import bitmap, is_small, keyed, scratch_scope, stored
+from .common import bitmap, is_small, keyed, scratch_scope, small_arrow_batches, stored
 from .shingles import mix64, sets_of
 from .similar_groups import PERCENT, members_of, similar_components
 
-#: A shingle is frequent if batches that have it at least LOCAL times have it FREQUENT times in all.
+#: A shingle is frequent if parts of about SEEN shingles that have it at least LOCAL times have it FREQUENT times in all.
 LOCAL, FREQUENT = 4, 32
+SEEN = 4 << 20
 CELL_BITS = 24
 
 
@@ -97,15 +98,17 @@ def _as_long(x: np.ndarray) -> pa.Array:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each node its set's size and digest; and rows without a node: shingles frequent in the batch, with their counts in n."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        parts = []
-        for part in small_batches([batch]):
-            values, offsets = sets_of(*text_bytes(part.column("text")))
-            yield _described(part.column("node"), values, offsets)
-            parts.append(values)
+    """Of each node its set's size and digest; and rows without a node: shingles frequent among SEEN of them, with their counts in n."""
+    parts, held = [], 0
+    for batch in small_batches(batches):
+        values, offsets = sets_of(*text_bytes(batch.column("text")))
+        yield _described(batch.column("node"), values, offsets)
+        parts.append(values)
+        held += len(values)
+        if held >= SEEN:
+            yield from _often(np.concatenate(parts))
+            parts, held = [], 0
+    if parts:
         yield from _often(np.concatenate(parts))
 
 
@@ -120,7 +123,7 @@ def _described(nodes: pa.Array, values: np.ndarray, offsets: np.ndarray) -> pa.R
 
 
 def _often(values: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Shingles that a batch has LOCAL times or more."""
+    """Shingles that are there LOCAL times or more."""
     ordered = np.sort(values)
     edges = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])) if len(ordered) else np.zeros(1, np.int64)
     counts = np.diff(edges)
@@ -158,6 +161,7 @@ def _signature_rows(reps: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 def link(docs: DataFrame) -> DataFrame:
     """Of each row of docs: doc_id, n_shingles, component_id."""
+    small_arrow_batches(docs.sparkSession)
     with scratch_scope(docs.sparkSession):
         return _link(docs)
 

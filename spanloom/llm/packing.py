@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_arrow_batches, stored
 
 LENGTH = 1024
 END = 2
@@ -157,4 +157,5 @@ def pack(pieces: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS) ->
 
 def pack_documents(docs: DataFrame) -> DataFrame:
     """All pieces of docs and their places in sequences."""
+    small_arrow_batches(docs.sparkSession)
     return pack(stored(pieces_of(docs), "pieces")).drop("row_id")

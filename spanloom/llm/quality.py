@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import runs_of_rows, text_bytes
+from .common import small_arrow_batches
 from .shingles import CHUNK, EXACT, mix64, range_hashes, word_spans
 
 LEARN_ROWS = 2000
@@ -213,6 +214,7 @@ def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def judge(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """Each row of docs: doc_id, the counts, base_failed, kept and probability."""
+    small_arrow_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)["doc_id"]
 

@@ -4,8 +4,8 @@ Two texts link when their sets of word shingles have a Jaccard similarity of PER
 Small buckets give pairs, of which those are kept whose sizes, and whose numbers of common signatures, a linked pair can have. Large
 buckets are kept as they are. Components of both are candidate groups, verified by exact intersection of the whole sets:
 
-- The texts of a group up to SOLVE (members x shingles) come together once, and one search from each member finds its links to those not
-  reached yet.
+- The texts of a group up to SOLVE (members x shingles) and HOLD (shingles) come together once, and one search from each member finds its links
+  to those not reached yet.
 - In larger groups all pairs of small buckets are verified. Then some members of each large bucket (its pivots) are compared with those
   of other components, in rounds: what links is joined, and buckets that lie in one component are done. A pivot has then met its whole bucket
   and leaves it. So every candidate pair is verified or already joined, and no large bucket is expanded into all its pairs at once.
@@ -29,10 +29,10 @@ from .shingles import sets_of
 PERCENT = 75
 #: Members of a bucket whose pairs are all looked at.
 SMALL = 64
-#: Pairs of a large bucket that one round may verify, beyond its share for a few pivots.
-ROUND_PAIRS = 20_000
-#: A candidate group with members x shingles up to this is solved by one task.
-SOLVE = 10**9
+#: Pairs of a large bucket that the third round may verify, beyond its share for a few pivots; each later round may GROW times as many as the one before.
+ROUND_PAIRS, GROW = 20_000, 8
+#: A candidate group with members x shingles up to SOLVE (some twenty seconds' work) and shingles up to HOLD (some 200 MB) is solved by one task.
+SOLVE, HOLD = 2 * 10**10, 4 * 10**6
 #: Members that one task compares with a pivot.
 SALT_ROWS = 2000
 
@@ -103,7 +103,7 @@ def _pairs(buckets: DataFrame, labels: DataFrame, round_: int) -> tuple[DataFram
     w = W.partitionBy("bucket")
     marked = buckets.join(labels, "node").withColumn("size", F.count(F.lit(1)).over(w)).withColumn("low", F.min("label").over(w)).withColumn("high", F.max("label").over(w)).where("low <> high")
     marked = marked.withColumn("like", F.count(F.lit(1)).over(W.partitionBy("bucket", "label")))
-    most = F.lit(1) if round_ == 0 else F.greatest(F.lit(4), F.ceil(F.lit(ROUND_PAIRS) / F.col("size"))) if round_ > 1 else F.lit(4)
+    most = F.lit(1) if round_ == 0 else F.greatest(F.lit(4), F.ceil(F.lit(float(ROUND_PAIRS * GROW ** min(round_ - 2, 12))) / F.col("size"))) if round_ > 1 else F.lit(4)
     order = ["node"] if round_ == 0 else ["like", "label", "node"]
     marked = marked.withColumn("nth", F.row_number().over(w.orderBy(*order))).withColumn("is_pivot", F.col("nth") <= most)
     open_ = stored(marked.select("bucket", "node", "n", "label", "nth", "is_pivot"), "buckets")
@@ -198,8 +198,8 @@ def _similar(members: DataFrame, sizes: DataFrame, texts: Texts) -> DataFrame:
     hubs = large.groupBy("bucket").agg(F.min("node").alias("u"))
     edges = pairs.select(F.col("pivot").alias("u"), F.col("node").alias("v")).unionByName(large.join(hubs, "bucket").select("u", F.col("node").alias("v")))
     groups = components(edges).join(sizes, "node")
-    work = groups.groupBy("label").agg((F.count(F.lit(1)) * F.sum("n")).alias("work"))
-    groups = stored(groups.join(work, "label").select("node", "label", (F.col("work") <= SOLVE).alias("small")), "groups")
+    work = groups.groupBy("label").agg((F.count(F.lit(1)) * F.sum("n")).alias("work"), F.sum("n").alias("held"))
+    groups = stored(groups.join(work, "label").select("node", "label", ((F.col("work") <= SOLVE) & (F.col("held") <= HOLD)).alias("small")), "groups")
     counts = groups.agg(F.count(F.lit(1)).alias("all"), F.count_if("small").alias("small")).first()
     rows = texts(groups.where("small").select("node", "label"), counts["small"]).select("label", "node", "text")
     labels = rows.repartition("label").sortWithinPartitions("label", "node").mapInArrow(_solve, "node long, label long")

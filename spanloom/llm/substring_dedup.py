@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .arrow_text import runs_of_rows, text_bytes
-from .common import bitmap, is_small, stored
+from .common import bitmap, is_small, keyed, scratch_scope, small_arrow_batches, stored
 from .components import components
 from .shingles import CHUNK, FOLDED, WIDTH, powers, mix64, range_hashes, shingle_hashes, word_spans
 from .similar_groups import members_of, similar_components
@@ -225,20 +225,13 @@ def _clusters(rows: DataFrame) -> DataFrame:
     return placed.unionByName(_runs(rows, placed))
 
 
-def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """docs as key, doc_id, text; whether the key is doc_id."""
-    counts = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if counts["rows"] == counts["ids"]:
-        return rows.withColumn("key", F.col("doc_id")).select("key", "doc_id", "text"), True
-    return stored(rows.withColumn("key", F.monotonically_increasing_id()), "rows").select("key", "doc_id", "text"), False
-
-
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """All paragraphs, and passages inside lines, that other documents repeat: doc_id, start_char, end_char (code points), n_words, cluster_id, keep_doc_id, keep_start, removed.
 
     Of a passage inside lines there is a row for each stretch that one document keeps; keep_start is where its first whole window begins there."""
-    found = _clusters(_keyed(docs)[0])
+    small_arrow_batches(docs.sparkSession)
+    with scratch_scope(docs.sparkSession):
+        found = stored(_clusters(keyed(docs)[0]), "passages", keep=True)
     return found.select("doc_id", F.col("start").alias("start_char"), F.col("end").alias("end_char"), F.col("words").alias("n_words"), F.col("cluster").alias("cluster_id"), F.col("kept.doc_id").alias("keep_doc_id"), F.col("kept.start").alias("keep_start"), (F.col("key") != F.col("kept.key")).alias("removed"))
 
 
@@ -255,7 +248,10 @@ def _without(text: Column, spans: Column) -> Column:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id and text of every row, without the paragraphs that it loses."""
-    rows, _ = _keyed(docs)
-    lost = _clusters(rows).where(F.col("key") != F.col("kept.key"))
-    spans = lost.groupBy("key").agg(F.array_sort(F.collect_set(F.struct(F.col("start").alias("s"), F.col("end").alias("e")))).alias("spans"))
+    small_arrow_batches(docs.sparkSession)
+    rows, _ = keyed(docs)
+    with scratch_scope(docs.sparkSession):
+        lost = _clusters(rows).where(F.col("key") != F.col("kept.key"))
+        spans = lost.groupBy("key").agg(F.array_sort(F.collect_set(F.struct(F.col("start").alias("s"), F.col("end").alias("e")))).alias("spans"))
+        spans = stored(spans, "lost", keep=True)
     return rows.join(spans, "key", "left").select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("spans"))).alias("text"))
