@@ -115,13 +115,18 @@ def without_white_space(text: Column) -> Column:
 
 def bitmap(rows: DataFrame, column: str, bits: int) -> np.ndarray:
     """A packed bitmap of 2**bits cells, in which those of the leading bits of a long column are set; gathered by 32,768 cells."""
-    cell = F.shiftrightunsigned(column, 64 - bits)
-    parts = rows.groupBy(F.bitmap_bucket_number(cell).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias("bits")).collect()
-    cells = np.zeros(1 << bits, bool)
-    for r in parts:  # position p from 1 on is bit (p - 1) % 32768 of bucket (p - 1) // 32768 + 1
-        found = (r["bucket"] - 1) * 32768 + 1 + np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little"))
-        cells[found[(found >= 0) & (found < len(cells))]] = True
-    return np.packbits(cells)
+    x = F.shiftrightunsigned(column, 64 - bits) + 1
+    parts = rows.groupBy(F.bitmap_bucket_number(x).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(x)).alias("bits")).collect()
+    packed = np.zeros(max(1 << bits >> 3, 4096), np.uint8)
+    for r in parts:
+        packed[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return packed
+
+
+def in_bitmap(packed: np.ndarray, bits: int, values: np.ndarray) -> np.ndarray:
+    """Whether the cells of values are set in a bitmap."""
+    cells = (values >> np.uint64(64 - bits)).astype(np.int64)
+    return (packed[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1
 
 
 def is_small(rows: int, row_bytes: int) -> bool:

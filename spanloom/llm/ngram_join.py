@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import small_batches, text_bytes
-from .common import bitmap, is_small, keyed, scratch_scope, small_arrow_batches, stored
+from .common import bitmap, in_bitmap, is_small, keyed, scratch_scope, small_arrow_batches, stored
 from .shingles import mix64, sets_of
 from .similar_groups import PERCENT, members_of, similar_components
 
@@ -148,9 +148,7 @@ def _signature_rows(reps: DataFrame, frequent: np.ndarray) -> DataFrame:
         bits = shared.value
         for batch in small_batches(batches):
             values, offsets = sets_of(*text_bytes(batch.column("text")))
-            cells = (values >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-            often = (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
-            sigs, rows, sizes = signatures(values, offsets, often)
+            sigs, rows, sizes = signatures(values, offsets, in_bitmap(bits, CELL_BITS, values))
             nodes = batch.column("node").to_numpy(zero_copy_only=False)
             for start in range(0, len(sigs), 1 << 17):
                 part = slice(start, start + (1 << 17))

@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .arrow_text import runs_of_rows, text_bytes
-from .common import bitmap, is_small, keyed, scratch_scope, small_arrow_batches, stored
+from .common import bitmap, in_bitmap, is_small, keyed, scratch_scope, small_arrow_batches, stored
 from .components import components
 from .shingles import CHUNK, FOLDED, WIDTH, powers, mix64, range_hashes, shingle_hashes, word_spans
 from .similar_groups import members_of, similar_components
@@ -41,8 +41,6 @@ ROWS, BANDS = 3, 14
 #: Shingles in a row of which one is an anchor, and words of the window from an anchor on.
 SPACING = 8
 WINDOW = LEAST_WORDS - SPACING + 1
-#: Size of the bitmap of repeated windows' digests, as log2: it saves work only, the digests are joined exactly.
-CELL_BITS = 26
 _MULTIPLIERS = [np.uint64(int(x) | 1) for x in np.random.default_rng(20240302).integers(1, 1 << 63, ROWS * BANDS)]
 _STEP = np.uint64(0xD1B54A32D192ED03)
 
@@ -115,8 +113,8 @@ def anchors(words: np.ndarray, text: np.ndarray) -> np.ndarray:
     return chosen[text[chosen] == text[chosen + WINDOW - 1]]
 
 
-def _windows(rows: DataFrame, among: np.ndarray | None = None) -> DataFrame:
-    """key and d1 of all windows of rows from anchors on; or, from any word on, of those whose d1 may be among the digests of a bitmap, also doc_id, at (the first word's number), start and end in code points, d2."""
+def _windows(rows: DataFrame, among: tuple[int, np.ndarray] | None = None) -> DataFrame:
+    """key and d1 of all windows of rows from anchors on; or, from any word on, of those whose d1 may be among the digests of a bitmap (its bits, cells), also doc_id, at (the first word's number), start and end in code points, d2."""
     shared = None if among is None else rows.sparkSession.sparkContext.broadcast(among)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,8 +135,7 @@ def _windows(rows: DataFrame, among: np.ndarray | None = None) -> DataFrame:
                 if shared is None:
                     yield pa.record_batch([keys.take(pa.array(text[a] + first)), pa.array(d1.view(np.int64))], names=["key", "d1"])
                     continue
-                cells = (d1 >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-                may = (shared.value[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
+                may = in_bitmap(shared.value[1], shared.value[0], d1)
                 a, d1 = a[may], d1[may]
                 points = np.concatenate([[0], np.cumsum((buffer & 0xC0) != 0x80)])
                 base, place, d2 = points[edges[text[a]]], pa.array(text[a] + first), _digests(mix64(words + np.uint64(1)), a)
@@ -167,7 +164,9 @@ def _runs(rows: DataFrame, placed: DataFrame) -> DataFrame:
     """Stretches of repeated windows of rows: key, doc_id, start, end, words, cluster (negative), kept. placed: clustered paragraphs (key, start, end, cluster, kept)."""
     shared = _windows(rows).groupBy("d1").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select("d1")
     shared = stored(shared, "shared")
-    found = _windows(rows, bitmap(shared, "d1", CELL_BITS)).join(shared, "d1")
+    # up to 2**29 cells (64 MB) about one in a hundred other windows is taken along; the join is exact
+    bits = min(29, max(20, int(shared.count()).bit_length() + 6))
+    found = _windows(rows, (bits, bitmap(shared, "d1", bits))).join(shared, "d1")
     # the cluster of a paragraph of the row that covers a window: the one of the farthest end of those that begin before it;
     # and whether a paragraph that the row loses touches it: the farthest end of those that begin before its end
     spans = placed.select("key", "start", "end", F.col("end").alias("span"), "cluster", (F.col("key") != F.col("kept.key")).alias("lost"))
@@ -216,7 +215,7 @@ def _clusters(rows: DataFrame) -> DataFrame:
 
     def texts(wanted: DataFrame, n: int) -> DataFrame:
         spots = units.select("node", "key", "start", "end").join(F.broadcast(wanted) if is_small(n, 48) else wanted, "node")
-        spots = F.broadcast(spots) if is_small(n, 96) else spots
+        spots = F.broadcast(spots) if is_small(n, 64) else spots
         return rows.select("key", F.col("text").alias("whole")).join(spots, "key").withColumn("text", F.substring("whole", F.col("start") + 1, F.col("end") - F.col("start"))).drop("whole")
 
     labels = similar_components(members, reps.select("node", "n"), texts)
