@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import written
+
 KEYS = ("schema", "category", "decision", "score")
 
 
@@ -18,26 +20,31 @@ def parsed(lines: DataFrame, column: str = "line") -> DataFrame:
 
 
 def row_error(max_bytes: int) -> Column:
-    """The first rule that a parsed row breaks, cheapest first, or `ok`."""
+    """The first rule that a parsed row breaks, cheapest first, or `ok`. All four fields must be there; one of another type counts as missing."""
     r = F.col("r")
     return F.coalesce(
         F.when(F.octet_length("line") > max_bytes, "size"),
-        F.when(~F.col("strict") | r["schema"].isNull() | r["category"].isNull() | r["score"].isNull(), "json"),
+        F.when(~F.col("strict") | r["schema"].isNull() | r["category"].isNull() | r["decision"].isNull() | r["score"].isNull(), "json"),
         F.when(r["schema"] != 1, "schema"),
-        F.when(~(F.length(r["category"]).between(1, 64) & r["category"].rlike("^[A-Za-z0-9 /.-]+$")), "category"),
+        F.when(_not(F.length(r["category"]).between(1, 64) & r["category"].rlike("^[A-Za-z0-9 /.-]+$")), "category"),
         F.when(~r["decision"].isin("accept", "reject"), "decision"),
-        F.when(~r["score"].between(0, 1), "score"),
+        F.when(_not(r["score"].between(0, 1)), "score"),
         F.lit("ok"),
     )
 
 
+def _not(rule: Column) -> Column:
+    """Whether a rule does not hold; a rule on a missing value does not."""
+    return ~F.coalesce(rule, F.lit(False))
+
+
 def pack_error(cuts: Column, film: Column, author: Column, comment: Column) -> Column:
     """The first rule that a pack breaks, or `ok`: ids, number and ranges of its cuts, lengths."""
     return F.coalesce(
-        F.when(~film.rlike("^[A-Za-z0-9_-]{1,32}$"), "film_id"),
-        F.when(~author.rlike("^[0-9a-fA-F]{64}$"), "author"),
-        F.when(F.size(cuts) > 500, "count"),
-        F.when(~F.forall(cuts, lambda c: (c["start_ms"] >= 0) & (c["end_ms"] > c["start_ms"])), "range"),
+        F.when(_not(film.rlike("^[A-Za-z0-9_-]{1,32}$")), "film_id"),
+        F.when(_not(author.rlike("^[0-9a-fA-F]{64}$")), "author"),
+        F.when(_not(F.size(cuts).between(0, 500)), "count"),
+        F.when(_not(F.forall(cuts, lambda c: F.coalesce((c["start_ms"] >= 0) & (c["end_ms"] > c["start_ms"]), F.lit(False)))), "range"),
         F.when(F.length(comment) > 4096, "comment"),
         F.lit("ok"),
     )
@@ -46,9 +53,9 @@ def pack_error(cuts: Column, film: Column, author: Column, comment: Column) -> C
 def fingerprint_error(times: Column, duration: Column, most: int = 20_000) -> Column:
     """The first rule that a fingerprint breaks: caps, order (equal neighbours are allowed), range."""
     return F.coalesce(
-        F.when(F.size(times) > most, "count"),
-        F.when(F.array_sort(times) != times, "order"),
-        F.when(~F.forall(times, lambda t: t.between(0, duration + 1000)), "range"),
+        F.when(_not(F.size(times).between(0, most)), "count"),
+        F.when(_not(F.array_sort(times) == times), "order"),
+        F.when(_not(F.forall(times, lambda t: F.coalesce(t.between(0, duration + 1000), F.lit(False)))), "range"),
         F.lit("ok"),
     )
 
@@ -65,13 +72,37 @@ def allow_list(lines: DataFrame) -> DataFrame:
     return plain.withColumn("valid", F.col("key").rlike("^[0-9a-f]{64}$"))
 
 
-def admit(rows: DataFrame, quota: int) -> DataFrame:
-    """Rows (seq, peer, day, digest, verdict) with their outcome: invalid, duplicate, over_quota or accepted.
-
-    A digest counts from its first valid row on; of the rows that are left, a peer's first `quota` a day are accepted. This set form is exact where no
-    digest that a quota refused comes again; the streaming form in streaming.admission has no such limit."""
-    first = F.min(F.when(F.col("verdict") == "ok", F.col("seq"))).over(W.partitionBy("digest"))
-    marked = rows.withColumn("fresh", (F.col("verdict") == "ok") & (F.col("seq") == first))
-    nth = F.sum(F.col("fresh").cast("int")).over(W.partitionBy("peer", "day").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
-    outcome = F.when(F.col("verdict") != "ok", "invalid").when(~F.col("fresh"), "duplicate").when(F.col("nth") > quota, "over_quota").otherwise("accepted")
-    return marked.withColumn("nth", nth).select("seq", "peer", "day", outcome.alias("outcome"))
+def gate(packs: DataFrame, allow: DataFrame) -> DataFrame:
+    """packs (author, signed, ...) with their outcome: forbidden, unsigned or accepted. An empty allow list (author) lets all authors through."""
+    listed = allow.select("author").where("author IS NOT NULL").distinct().withColumn("listed", F.lit(True))
+    any_ = allow.agg((F.count("author") > 0).alias("closed"))
+    rows = packs.join(listed, "author", "left").join(F.broadcast(any_))  # one row
+    outcome = F.when(F.col("closed") & F.col("listed").isNull(), "forbidden").when(_not(F.col("signed")), "unsigned").otherwise("accepted")
+    return rows.withColumn("outcome", outcome).drop("listed", "closed")
+
+
+def admit(rows: DataFrame, quota: int, rounds: int = 100) -> DataFrame:
+    """Rows (seq, peer, day, digest, verdict) with their outcome in the order of seq: invalid, duplicate, over_quota or accepted.
+
+    A row is a duplicate if an accepted row before it has its digest, and over quota if its peer has `quota` accepted rows of its day already; such a row registers
+    nothing. Both depend on what was accepted before, so that the set of refused rows is found by rounds, from none on: each round takes as
+    registered the first valid row of each digest that the round before did not refuse, and counts those. After k rounds the outcomes are right up to the k-th
+    row that any round changes at least; they are final when a round changes none. Refusals of digests that come again are rare, and so are rounds."""
+    valid = rows.where("verdict = 'ok'").select("seq", "peer", "day", "digest")
+    refused, before = valid.limit(0).select("seq"), None
+    for _ in range(rounds):
+        marked = valid.join(refused.withColumn("out", F.lit(True)), "seq", "left")
+        first = marked.where("out IS NULL").groupBy("digest").agg(F.min("seq").alias("first"))
+        tried = marked.join(first, "digest", "left").withColumn("fresh", F.coalesce(F.col("seq") == F.col("first"), F.lit(False)))
+        had = F.sum(F.col("fresh").cast("int")).over(W.partitionBy("peer", "day").orderBy("seq").rowsBetween(W.unboundedPreceding, -1))
+        told = tried.withColumn("had", F.coalesce(had, F.lit(0)))
+        outcome = F.when(F.col("seq") > F.coalesce("first", "seq"), "duplicate").when(F.col("had") >= quota, "over_quota").otherwise("accepted")
+        told = told.select("seq", outcome.alias("outcome"))
+        refused = written(told.where("outcome = 'over_quota'").select("seq"), "refused")
+        now = refused.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("seq"))).first()
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError(f"outcomes still change after {rounds} rounds")
+    return rows.select("seq", "peer", "day").join(told, "seq", "left").withColumn("outcome", F.coalesce("outcome", F.lit("invalid")))

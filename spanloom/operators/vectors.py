@@ -47,10 +47,10 @@ def shape_error(score: Column, vec: Column, category: Column, dims: tuple[int, .
     """The first rule that a feedback row breaks, or `ok`."""
     norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return F.coalesce(
-        F.when(~(F.length(category).between(1, 64) & category.rlike("^[A-Za-z0-9 /.-]+$")), "category"),
-        F.when(~(score.between(0, 1)), "score"),
-        F.when(~F.size(vec).isin(*dims), "dimension"),
-        F.when(~F.forall(vec, lambda x: F.abs(x) <= 1.5), "value"),
+        F.when(~F.coalesce(F.length(category).between(1, 64) & category.rlike("^[A-Za-z0-9 /.-]+$"), F.lit(False)), "category"),
+        F.when(~F.coalesce(score.between(0, 1), F.lit(False)), "score"),
+        F.when(~F.coalesce(F.size(vec).isin(*dims), F.lit(False)), "dimension"),
+        F.when(~F.forall(vec, lambda x: F.coalesce(F.abs(x) <= 1.5, F.lit(False))), "value"),
         F.when(F.abs(norm - 1) > 0.05, "norm"),
         F.lit("ok"),
     )

@@ -48,7 +48,7 @@ def contributors(s, d):
     r = F.broadcast(_ranges(s, d))
     n = A.frames(s, d).join(r, (F.col("t") >= F.col("start_ms")) & (F.col("t") < F.col("end_ms"))).groupBy("sugg", "author").agg(F.count(F.lit(1)).alias("frames"), F.min("t").alias("first"))
     w = W.partitionBy("sugg").orderBy(F.desc("frames"), "first")
-    return n.withColumn("nth", F.row_number().over(w).cast("long")).where("nth <= 5").select("sugg", "author", "frames", "nth")
+    return n.withColumn("nth", F.row_number().over(w).cast("long")).where("nth <= 10").select("sugg", "author", "frames", "nth")
 
 
 def weighted_feedback(s, d):
@@ -162,7 +162,7 @@ def oracle_sql():
         "g4_score_factors": _FEED + _BEST + f" SELECT t, round(coalesce(max(CASE WHEN sim >= {TRIGGER} THEN 1 + 0.8 * (1.15 - 1) ELSE 1.0 END) FILTER (accepted), 1.0) * coalesce(max(CASE WHEN sim >= {TRIGGER} THEN 1 + 0.8 * (0.5 - 1) ELSE 1.0 END) FILTER (NOT accepted), 1.0), 6) AS factor FROM best GROUP BY t".replace("1 + 0.8", "CAST(1 AS DOUBLE) + 0.8"),
         "j8_prompt_scores": _FEED + f" SELECT f.t, 'prompt ' || b.author AS prompt, round(least(greatest(({_DOT.format(a='f.vec', b='b.vec')} - 0.15) / 0.2, 0.0), 1.0), 6) AS score FROM frames f CROSS JOIN (SELECT author, arg_min(vec, row_id) AS vec FROM feedback GROUP BY author) b",
         "j2_frames_in_suggestions": _FEED + ", " + _RANGES + " SELECT t, author, min(sugg) AS sugg FROM frames JOIN ranges ON t >= start_ms AND t < end_ms GROUP BY t, author",
-        "j3_contributing_authors": _FEED + ", " + _RANGES + ", n AS (SELECT sugg, author, count(*) AS frames, min(t) AS first FROM frames JOIN ranges ON t >= start_ms AND t < end_ms GROUP BY ALL) SELECT sugg, author, frames, row_number() OVER (PARTITION BY sugg ORDER BY frames DESC, first) AS nth FROM n QUALIFY nth <= 5",
+        "j3_contributing_authors": _FEED + ", " + _RANGES + ", n AS (SELECT sugg, author, count(*) AS frames, min(t) AS first FROM frames JOIN ranges ON t >= start_ms AND t < end_ms GROUP BY ALL) SELECT sugg, author, frames, row_number() OVER (PARTITION BY sugg ORDER BY frames DESC, first) AS nth FROM n QUALIFY nth <= 10",
         "j5_weighted_feedback": _DIRECT + ", rows_ AS (SELECT row_id, accepted, CAST(author * 7 + row_id % 5 AS BIGINT) AS author FROM feedback) SELECT row_id, accepted, CAST(NULL AS BIGINT) AS author, CAST(1.0 AS DOUBLE) AS weight FROM rows_ WHERE row_id % 10 = 1 UNION ALL SELECT row_id, accepted, r.author, coalesce(score, 0.1) FROM rows_ r LEFT JOIN direct d ON d.author = r.author WHERE row_id % 10 <> 1 AND coalesce(score, 0.1) >= 0.05",
         "u3_digest_dedup": "WITH v AS (SELECT vec_id, sha256(array_to_string(list_transform(embedding, lambda x: CAST(CAST(round(round(CAST(x AS DOUBLE), 3) * 100000) AS BIGINT) AS VARCHAR)), ',')) AS digest FROM embeddings), twice AS (SELECT digest, unnest([vec_id * 2, vec_id * 2 + 7]) AS arrival FROM v) SELECT digest, min(arrival) AS arrival, count(*) AS n_seen FROM twice GROUP BY digest",
         "p9_row_shapes": """WITH r AS (SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN '<b>' WHEN vec_id % 13 = 0 THEN '' ELSE 'Cruelty' END AS category, CASE WHEN vec_id % 7 = 0 THEN 1.5 ELSE 0.85 END AS score,

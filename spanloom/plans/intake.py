@@ -10,6 +10,8 @@ from ..session import table
 from ..sources import adapters as A
 from ..sources.adapters import with_
 
+#: Characters of head and tail that tell a content.
+HEAD = 1 << 20
 WORDS = ["the", "que", "and the", "en", "nicht"]
 
 
@@ -41,7 +43,7 @@ def clocks(s, d):
 
 def content_keys(s, d):
     """Identity of contents by size, head and tail."""
-    return table(s, d, "documents").select("doc_id", X.content_key(F.length("text"), F.col("text"), 100).alias("key"))
+    return table(s, d, "documents").select("doc_id", X.content_key(F.length("text"), F.col("text"), HEAD).alias("key"))
 
 
 def _lines(s, d):
@@ -49,14 +51,14 @@ def _lines(s, d):
     o = table(s, d, "orders")
     good = F.format_string('{"schema":1,"category":"%s","decision":"accept","score":0.%d}', F.substring("o_orderpriority", 3, 20), F.col("o_orderkey") % 10)
     line = F.expr("""CASE o_orderkey % 12 WHEN 0 THEN '{"schema":2,"category":"A","decision":"accept","score":0.5}' WHEN 1 THEN '{"schema":1,"category":"<b>","decision":"accept","score":0.5}'
-        WHEN 2 THEN '{"schema":1,"category":"A","decision":"accept","score":1.5}' WHEN 3 THEN '{"schema":1,"category":"A","decision":"accept","score":0.5,"more":1}' WHEN 4 THEN 'not json' WHEN 5 THEN repeat('x', 300) WHEN 6 THEN '{"schema":1,"category":"A","decision":"maybe","score":0.5}' END""")
+        WHEN 2 THEN '{"schema":1,"category":"A","decision":"accept","score":1.5}' WHEN 3 THEN '{"schema":1,"category":"A","decision":"accept","score":0.5,"more":1}' WHEN 4 THEN 'not json' WHEN 5 THEN repeat('x', 300) WHEN 6 THEN '{"schema":1,"category":"A","decision":"maybe","score":0.5}' WHEN 7 THEN '{"schema":1,"category":"A","score":0.5}' END""")
     return o.select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("peer"), (F.col("o_orderkey") % 4).alias("day"), F.coalesce(line, good).alias("line"), "o_custkey", "o_orderkey")
 
 
 _LINES = """lines AS (SELECT o_orderkey AS seq, o_custkey AS peer, o_orderkey % 4 AS day, CASE o_orderkey % 12 WHEN 0 THEN '{"schema":2,"category":"A","decision":"accept","score":0.5}' WHEN 1 THEN '{"schema":1,"category":"<b>","decision":"accept","score":0.5}'
-    WHEN 2 THEN '{"schema":1,"category":"A","decision":"accept","score":1.5}' WHEN 3 THEN '{"schema":1,"category":"A","decision":"accept","score":0.5,"more":1}' WHEN 4 THEN 'not json' WHEN 5 THEN repeat('x', 300) WHEN 6 THEN '{"schema":1,"category":"A","decision":"maybe","score":0.5}'
+    WHEN 2 THEN '{"schema":1,"category":"A","decision":"accept","score":1.5}' WHEN 3 THEN '{"schema":1,"category":"A","decision":"accept","score":0.5,"more":1}' WHEN 4 THEN 'not json' WHEN 5 THEN repeat('x', 300) WHEN 6 THEN '{"schema":1,"category":"A","decision":"maybe","score":0.5}' WHEN 7 THEN '{"schema":1,"category":"A","score":0.5}'
     ELSE format('{{"schema":1,"category":"{}","decision":"accept","score":0.{}}}', substr(o_orderpriority, 3, 20), o_orderkey % 10) END AS line FROM orders),
-  verdicts AS (SELECT seq, peer, day, line, CASE o WHEN 0 THEN 'schema' WHEN 1 THEN 'category' WHEN 2 THEN 'score' WHEN 3 THEN 'json' WHEN 4 THEN 'json' WHEN 5 THEN 'size' WHEN 6 THEN 'decision' ELSE 'ok' END AS verdict FROM (SELECT *, seq % 12 AS o FROM lines)),
+  verdicts AS (SELECT seq, peer, day, line, CASE o WHEN 0 THEN 'schema' WHEN 1 THEN 'category' WHEN 2 THEN 'score' WHEN 3 THEN 'json' WHEN 4 THEN 'json' WHEN 5 THEN 'size' WHEN 6 THEN 'decision' WHEN 7 THEN 'json' ELSE 'ok' END AS verdict FROM (SELECT *, seq % 12 AS o FROM lines)),
   digests AS (SELECT *, sha256(line || CAST(peer // 3 AS VARCHAR)) AS digest FROM verdicts)"""
 
 
@@ -97,11 +99,11 @@ def allowed(s, d):
 
 
 def signature_gate(s, d):
-    """Packs whose author is on the allow list and whose signature was found good; an empty list lets all through."""
+    """Packs whose author is on the allow list and whose signature was found good; an empty list lets all authors through."""
     packs = table(s, d, "orders").select("o_orderkey", F.col("o_custkey").alias("author"), (F.col("o_orderkey") % 9 != 0).alias("signed"))
-    allow = table(s, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("author")).withColumn("listed", F.lit(True))
-    rows = packs.join(allow, "author", "left")
-    return rows.groupBy(F.when(F.col("listed").isNull(), "forbidden").when(~F.col("signed"), "unsigned").otherwise("accepted").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    allow = table(s, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("author"))
+    open_ = M.gate(packs, allow.limit(0)).select("o_orderkey", F.lit("open").alias("gate"), "outcome")
+    return M.gate(packs, allow).select("o_orderkey", F.lit("list").alias("gate"), "outcome").unionByName(open_).groupBy("gate", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 def repository_check(s, d):
@@ -132,10 +134,10 @@ def csv_labels(s, d):
 
 
 def analysis_reader(s, d):
-    """Analysis results read from JSON: at most 20 times and 3 authors a film, empty ranges dropped."""
+    """Analysis results read from JSON: all suggestions but those of five ticks or less."""
     m = A.markers(s, d).groupBy("film_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "id"))).alias("suggestions"))).alias("doc"))
     parsed = m.select("film_id", F.from_json("doc", "suggestions array<struct<start_ms:bigint,end_ms:bigint,id:bigint>>").alias("r"))
-    kept = F.filter(F.slice("r.suggestions", 1, 5), lambda x: x["end_ms"] - x["start_ms"] > 5)
+    kept = F.filter("r.suggestions", lambda x: x["end_ms"] - x["start_ms"] > 5)
     return parsed.select("film_id", F.size("r.suggestions").cast("long").alias("n_all"), F.size(kept).cast("long").alias("n_kept"), F.coalesce(F.array_max(F.transform(kept, lambda x: x["id"])), F.lit(-1).cast("long")).alias("largest_id"))
 
 
@@ -177,6 +179,19 @@ def _clock(t: str) -> str:
     return f"format('{{:02d}}:{{:02d}}:{{:02d}},{{:03d}}', {t} // 3600000, {t} // 60000 % 60, {t} // 1000 % 60, {t} % 1000)"
 
 
+def _outcomes(rounds: int, quota: int = 2) -> str:
+    """Outcomes in order of seq: a row's digest counts only if the row was accepted, a refused row may come again. Written as so many rounds over the refused rows."""
+    parts = ["r0 AS (SELECT CAST(NULL AS BIGINT) AS seq WHERE FALSE)"]
+    for k in range(1, rounds + 1):
+        parts.append(
+            f"""t{k} AS (SELECT d.*, min(d.seq) FILTER (r.seq IS NULL) OVER (PARTITION BY digest) AS first FROM digests d LEFT JOIN r{k - 1} r ON r.seq = d.seq WHERE verdict = 'ok'),
+            h{k} AS (SELECT *, coalesce(sum(CAST(coalesce(seq = first, FALSE) AS INTEGER)) OVER (PARTITION BY peer, day ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had FROM t{k}),
+            o{k} AS (SELECT *, CASE WHEN seq > coalesce(first, seq) THEN 'duplicate' WHEN had >= {quota} THEN 'over_quota' ELSE 'accepted' END AS outcome FROM h{k}),
+            r{k} AS (SELECT seq FROM o{k} WHERE outcome = 'over_quota')"""
+        )
+    return ", ".join(parts) + f", outcomes AS (SELECT d.seq, d.peer, d.day, coalesce(o.outcome, 'invalid') AS outcome FROM digests d LEFT JOIN o{rounds} o ON o.seq = d.seq)"
+
+
 def oracle_sql():
     srt = with_("subtitles") + f", n AS (SELECT *, row_number() OVER (PARTITION BY film_id ORDER BY start_ms, end_ms, ord) AS k FROM subtitles)"
     word = lambda k: f"regexp_matches(text, '(?i){k}')" if " " in k else f"regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{N}}_]){k}($|[^\\p{{L}}\\p{{N}}_])')"
@@ -187,20 +202,20 @@ def oracle_sql():
         "j20_keyword_ticks": with_("subtitles") + f", h AS ({ticks}) SELECT DISTINCT film_id, keyword, CAST(idx AS BIGINT) AS idx FROM (SELECT film_id, keyword, unnest(range(start_ms // 1000, end_ms // 1000)) AS idx FROM h)",
         "p_output_names": "WITH p AS (SELECT p_partkey, '/films/' || replace(p_brand, '#', '''') || '.' || p_size || '.mkv' AS path, p_size FROM part) SELECT p_partkey, path[:-5] || ' CUT' || CASE WHEN p_size % 3 > 0 THEN '-' || (p_size % 3) ELSE '' END || '.mkv' AS output, '''' || replace(path, '''', '''\\''''') || '''' AS quoted, CASE WHEN p_partkey % 2 = 0 THEN '/a b+' || p_partkey ELSE path END AS decoded FROM p",
         "p_clock_times": with_("keyframes") + f" SELECT film_id, t_ms, {_clock('t_ms')} AS srt, format('{{:d}}:{{:02d}}:{{:02d}}', t_ms // 3600000, t_ms // 60000 % 60, t_ms // 1000 % 60) AS clock FROM keyframes",
-        "s4_content_keys": "SELECT doc_id, sha1(length(text) || text[1:100] || CASE WHEN length(text) > 200 THEN right(text, 100) ELSE '' END) AS key FROM documents",
+        "s4_content_keys": "SELECT doc_id, sha1(length(text) || text[1:1048576] || CASE WHEN length(text) > 2097152 THEN right(text, 1048576) ELSE '' END) AS key FROM documents",
         "p9_row_verdicts": f"WITH {_LINES} SELECT seq, verdict FROM verdicts",
-        "a9_admission": f"WITH {_LINES}, f AS (SELECT *, verdict = 'ok' AND seq = min(seq) FILTER (verdict = 'ok') OVER (PARTITION BY digest) AS fresh FROM digests), n AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY peer, day ORDER BY seq ROWS UNBOUNDED PRECEDING) AS nth FROM f) SELECT seq, peer, day, CASE WHEN verdict <> 'ok' THEN 'invalid' WHEN NOT fresh THEN 'duplicate' WHEN nth > 2 THEN 'over_quota' ELSE 'accepted' END AS outcome FROM n",
-        "a9_accept_stats": f"WITH {_LINES}, f AS (SELECT *, verdict = 'ok' AND seq = min(seq) FILTER (verdict = 'ok') OVER (PARTITION BY digest) AS fresh FROM digests), n AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY peer, day ORDER BY seq ROWS UNBOUNDED PRECEDING) AS nth FROM f) SELECT CASE WHEN verdict <> 'ok' THEN 'invalid' WHEN NOT fresh THEN 'duplicate' WHEN nth > 2 THEN 'over_quota' ELSE 'accepted' END AS outcome, count(*) AS n FROM n GROUP BY ALL",
+        "a9_admission": f"WITH {_LINES}, {_outcomes(6)} SELECT seq, peer, day, outcome FROM outcomes",
+        "a9_accept_stats": f"WITH {_LINES}, {_outcomes(6)} SELECT outcome, count(*) AS n FROM outcomes GROUP BY ALL",
         "a19_peer_day_counts": f"WITH {_LINES} SELECT peer, day, count(*) AS n, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes FROM lines GROUP BY ALL",
         "p11_pack_errors": with_("markers") + " SELECT film_id, CASE WHEN film_id % 5 = 0 THEN 'film_id' WHEN film_id % 11 = 0 THEN 'author' WHEN count(*) > 500 THEN 'count' WHEN NOT bool_and(start_ms - CASE WHEN film_id % 7 = 0 THEN 100000 ELSE 0 END >= 0 AND end_ms > start_ms) THEN 'range' WHEN film_id % 13 = 0 THEN 'comment' ELSE 'ok' END AS verdict FROM markers GROUP BY film_id",
         "p12_fingerprint_errors": with_("keyframes") + " SELECT film_id, CASE WHEN count(*) > 75 THEN 'count' WHEN film_id % 4 = 0 THEN 'order' WHEN film_id % 4 = 1 THEN 'range' ELSE 'ok' END AS verdict FROM keyframes GROUP BY film_id",
         "s11_truncated_tail": "SELECT CAST(conv_id AS BIGINT) AS file, CAST(turn AS BIGINT) AS seq FROM conversations QUALIFY sum(strlen(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) <= 2000",
         "s15_allow_list": "SELECT CASE c_custkey % 4 WHEN 2 THEN 'tooshort' ELSE sha256(c_name) END AS key, c_custkey % 4 <> 2 AS valid FROM customer WHERE c_custkey % 4 <> 1",
-        "p14_signature_gate": "SELECT CASE WHEN c_custkey IS NULL THEN 'forbidden' WHEN o_orderkey % 9 = 0 THEN 'unsigned' ELSE 'accepted' END AS outcome, count(*) AS n FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 5000 GROUP BY ALL",
+        "p14_signature_gate": "SELECT 'list' AS gate, CASE WHEN c_custkey IS NULL THEN 'forbidden' WHEN o_orderkey % 9 = 0 THEN 'unsigned' ELSE 'accepted' END AS outcome, count(*) AS n FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 5000 GROUP BY ALL UNION ALL SELECT 'open', CASE WHEN o_orderkey % 9 = 0 THEN 'unsigned' ELSE 'accepted' END, count(*) FROM orders GROUP BY ALL",
         "a8_repository_check": with_("markers") + " SELECT count(*) AS total, count(*) FILTER (end_ms - start_ms > 38) AS malformed, count(*) FILTER (id % 9 = 0) AS unsigned, count(DISTINCT film_id) AS films, (SELECT max(n) FROM (SELECT count(*) AS n FROM markers GROUP BY film_id)) AS most FROM markers",
         "s13_film_bucket": "SELECT o_custkey % 50 AS film, o_custkey % 7 AS author, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS pack, count(*) AS versions FROM orders GROUP BY ALL",
         "s16_categories": "SELECT DISTINCT lower(name) AS name FROM (SELECT 'Urgent' AS name UNION ALL SELECT 'Violence' UNION ALL SELECT 'Medium' UNION ALL SELECT substr(o_orderpriority, 3, 20) FROM orders WHERE regexp_full_match(substr(o_orderpriority, 3, 20), '[A-Za-z0-9 /.-]{1,64}'))",
         "j18_label_index": "SELECT upper(substr(n_name, 1, 30)) AS wanted, CAST(max(n_nationkey) AS BIGINT) AS idx FROM nation GROUP BY 1",
-        "s3_analysis_reader": with_("markers") + ", r AS (SELECT *, row_number() OVER (PARTITION BY film_id ORDER BY start_ms, end_ms, id) AS k FROM markers) SELECT film_id, count(*) AS n_all, count(*) FILTER (k <= 5 AND end_ms - start_ms > 5) AS n_kept, coalesce(max(id) FILTER (k <= 5 AND end_ms - start_ms > 5), -1) AS largest_id FROM r GROUP BY film_id",
+        "s3_analysis_reader": with_("markers") + ", r AS (SELECT *, row_number() OVER (PARTITION BY film_id ORDER BY start_ms, end_ms, id) AS k FROM markers) SELECT film_id, count(*) AS n_all, count(*) FILTER (end_ms - start_ms > 5) AS n_kept, coalesce(max(id) FILTER (end_ms - start_ms > 5), -1) AS largest_id FROM r GROUP BY film_id",
         "s5_edit_lists": with_("markers") + " SELECT film_id, 'all' AS profile, start_ms, end_ms, category FROM markers WHERE status = 'confirmed'",
     }

@@ -101,7 +101,7 @@ def queries():
         "j1_detector_series": _detected,
         "a1_label_or": lambda s, d: S.label_or(_detected(s, d)).drop("weight"),
         "a2_fused_scores": lambda s, d: _fused(s, d).withColumn("fused", F.round("fused", 6)),
-        "w13_resampled_series": lambda s, d: S.resample(A.score_series(s, d), HOUR_MS, HOUR_MS // 2, 200),
+        "w13_resampled_series": lambda s, d: S.resample(A.score_series(s, d), HOUR_MS, HOUR_MS // 2, 2 * FILM_TICKS),
         "w3_threshold_runs": _runs,
         "w2_merged_suggestions": _merged,
         "a3_category_diagnostics": _diagnosed,
@@ -123,7 +123,7 @@ def oracle_sql():
         "a1_label_or": _HEAD + " SELECT film_id, category, CAST(det_ord AS INTEGER) AS det_ord, idx, value FROM ored",
         "a2_fused_scores": _HEAD + " SELECT film_id, category, idx, round(fused, 6) AS fused FROM fused",
         "w13_resampled_series": with_("series") + f"""
-            , lasts AS (SELECT film_id, series_key, max(idx) AS last FROM series GROUP BY ALL), grid AS (SELECT *, unnest(range(200)) AS idx FROM lasts)
+            , lasts AS (SELECT film_id, series_key, max(idx) AS last FROM series GROUP BY ALL), grid AS (SELECT *, unnest(range({2 * FILM_TICKS})) AS idx FROM lasts)
             SELECT g.film_id, g.series_key, CAST(g.idx AS BIGINT) AS idx, coalesce(s.value, 0.0) AS value FROM grid g LEFT JOIN series s ON s.film_id = g.film_id AND s.series_key = g.series_key AND s.idx = least((g.idx * {HOUR_MS // 2}) // {HOUR_MS}, g.last)""",
         "w3_threshold_runs": _HEAD + " SELECT * FROM runs",
         "w2_merged_suggestions": _HEAD + " SELECT * FROM merged",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,6 +23,20 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
     )
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the folder of spark.checkpoint.dir, so that its lineage ends there; a local session without the setting gets a folder of its own."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spanloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/spanloom/{uuid.uuid4().hex}/{label}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; works for a file or a folder in any store Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

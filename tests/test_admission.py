@@ -1,11 +1,13 @@
 """Streaming admission and text functions."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as X
 from spanloom.operators import admission as M
+from spanloom.operators.vectors import shape_error
 from spanloom.streaming import admission as S
 
 
@@ -67,3 +69,47 @@ def test_names_and_keywords(spark):
     seg = spark.createDataFrame([(1, 0, 250, "The Cat's here"), (1, 300, 400, "scatter")], "film_id long, start_ms long, end_ms long, text string")
     got = sorted((r.keyword, r.idx) for r in X.keyword_ticks(seg, ["cat", "cat's", "the"], 100).collect())
     assert got == [("cat", 0), ("cat", 1), ("cat's", 0), ("cat's", 1), ("the", 0), ("the", 1)]
+
+
+def test_missing_values_break_rules(spark):
+    bad = json.dumps({"schema": 1, "category": "A", "score": 0.5})
+    df = M.parsed(spark.createDataFrame([(bad,)], "line string")).select(M.row_error(16384).alias("v"))
+    assert df.first().v == "json"
+    rows = spark.createDataFrame([(None, None, [0.1]), (0.5, "A", None)], "score double, category string, vec array<float>")
+    assert [r.v for r in rows.select(shape_error(F.col("score"), F.col("vec"), F.col("category")).alias("v")).collect()] == ["category", "dimension"]
+    packs = spark.createDataFrame([(None, "f", "a" * 64), ([], None, "a" * 64), ([(1, None)], "f", "a" * 64), ([(1, 2)], "f", "a" * 64)], "cuts array<struct<start_ms:long,end_ms:long>>, film string, author string")
+    assert [r.v for r in packs.select(M.pack_error(F.col("cuts"), F.col("film"), F.col("author"), F.lit("")).alias("v")).collect()] == ["count", "film_id", "range", "ok"]
+
+
+def plain_outcomes(rows, quota):
+    seen, counts, out = set(), {}, {}
+    for seq, peer, day, digest, verdict in sorted(rows):
+        if verdict != "ok":
+            out[seq] = "invalid"
+        elif digest in seen:
+            out[seq] = "duplicate"
+        elif counts.get((peer, day), 0) >= quota:
+            out[seq] = "over_quota"
+        else:
+            out[seq] = "accepted"
+            seen.add(digest)
+            counts[peer, day] = counts.get((peer, day), 0) + 1
+    return out
+
+
+def test_a_refused_row_may_come_again(spark):
+    schema = "seq long, peer string, day int, digest string, verdict string"
+    rows = [(1, "p", 1, "a", "ok"), (2, "p", 1, "b", "ok"), (3, "p", 2, "b", "ok"), (4, "q", 1, "b", "ok"), (5, "q", 1, "c", "size")]
+    assert plain_outcomes(rows, 1)[3] == "accepted"
+    r = random.Random(4)
+    rows2 = [(k, r.choice("pqr"), r.randrange(3), r.choice("abcdefghijklmnop"), r.choice(["ok", "ok", "ok", "json"])) for k in range(150)]
+    for given in (rows, rows2):
+        got = {x.seq: x.outcome for x in M.admit(spark.createDataFrame(given, schema), 1).collect()}
+        assert got == plain_outcomes(given, 1)
+
+
+def test_gate(spark):
+    packs = spark.createDataFrame([("a", True), ("b", True), ("a", False), ("a", None)], "author string, signed boolean")
+    allow = spark.createDataFrame([("a",), (None,)], "author string")
+    assert sorted(r.outcome for r in M.gate(packs, allow).collect()) == ["accepted", "forbidden", "unsigned", "unsigned"]
+    assert sorted(r.outcome for r in M.gate(packs, allow.limit(0)).collect()) == ["accepted", "accepted", "unsigned", "unsigned"]

@@ -75,3 +75,13 @@ def test_peaks_and_spacing(spark):
     assert sorted(r.idx for r in P.peaks(df, "x", 3, 1).collect()) == [1, 4, 6]
     t = spark.createDataFrame([(1, x) for x in (0, 5, 10, 14, 30)], "film_id long, t_ms long")
     assert sorted(r.t_ms for r in P.spaced(t, 10).collect()) == [0, 10, 30]
+
+
+def test_ties_and_the_sign_of_the_trim(spark):
+    a = [10_000 * k for k in range(1, 41)]  # every shift by a step ties but for the ends
+    b = [t + 5_000 for t in a] + [500_000, 500_001]
+    x = verdict(spark, a, b)
+    assert x.offset == -5_000 and x.trim == -5_000
+    shifts = [100, 300] * 20  # an even number: the upper median of long - short, with its sign turned where the first film is the shorter
+    b = [t + s for t, s in zip(a, shifts, strict=True)] + [900_000]
+    assert verdict(spark, a, b).trim == -300 and verdict(spark, b, a).trim == 300
