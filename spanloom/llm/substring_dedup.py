@@ -215,8 +215,12 @@ def _clusters(rows: DataFrame) -> DataFrame:
 
     def texts(wanted: DataFrame, n: int) -> DataFrame:
         spots = units.select("node", "key", "start", "end").join(F.broadcast(wanted) if is_small(n, 48) else wanted, "node")
-        spots = F.broadcast(spots) if is_small(n, 64) else spots
-        return rows.select("key", F.col("text").alias("whole")).join(spots, "key").withColumn("text", F.substring("whole", F.col("start") + 1, F.col("end") - F.col("start"))).drop("whole")
+        whole = rows
+        if is_small(n, 64):
+            spots = F.broadcast(spots)
+        elif is_small(n, 32):  # texts of other rows stay where they are
+            whole = rows.join(F.broadcast(spots.select("key").distinct()), "key", "left_semi")
+        return whole.select("key", F.col("text").alias("whole")).join(spots, "key").withColumn("text", F.substring("whole", F.col("start") + 1, F.col("end") - F.col("start"))).drop("whole")
 
     labels = similar_components(members, reps.select("node", "n"), texts)
     named = reps.join(labels, "node", "left").where("times > 1 OR label IS NOT NULL").select("d1", "d2", F.coalesce("label", "node").alias("cluster"))
