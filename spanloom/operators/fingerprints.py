@@ -190,6 +190,18 @@ def match(pairs: DataFrame, tolerance: int = 2000, most_offset: int = 600_000, l
     return out.withColumn("same", (F.col("fraction") >= share) & (F.col("spread") <= most_spread))
 
 
+def close_hashes(rows: DataFrame, most: int, block: int = 4096) -> DataFrame:
+    """Pairs of one film's hashes (film_id, vec_id, phash) at most `most` bits apart. The rows of a film are dealt in blocks of some `block`, each of which meets the film's rows in a task of its own; pairs farther apart never leave the join."""
+    hi, lo = (F.conv(F.substring("phash", k, 8), 16, 10).cast("long") for k in (1, 9))
+    sizes = rows.groupBy("film_id").agg((F.floor(F.count(F.lit(1)) / block) + 1).alias("blocks"))
+    own = rows.select("film_id", "vec_id", hi.alias("hi"), lo.alias("lo")).join(sizes, "film_id")
+    other = own.select("film_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("vec_id").alias("other_id"), F.col("hi").alias("other_hi"), F.col("lo").alias("other_lo"))
+    own = own.withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks"))
+    bits = F.bit_count(F.col("hi").bitwiseXOR(F.col("other_hi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("other_lo")))
+    same = (own["film_id"] == other["film_id"]) & (own["block"] == other["block"])
+    return own.join(other, same & (F.col("vec_id") < F.col("other_id")) & (bits <= most)).select("vec_id", "other_id", bits.cast("long").alias("bits"))
+
+
 def nearest_time(targets: DataFrame, times: DataFrame) -> DataFrame:
     """Of each target of a film the nearest time, the earlier of equals: last time at or before and first after, by window functions."""
     rows = targets.select("film_id", F.col("target").alias("t"), F.lit(1).alias("is_target")).unionByName(times.select("film_id", F.col("t_ms").alias("t"), F.lit(0).alias("is_target")))

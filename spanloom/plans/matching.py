@@ -67,8 +67,8 @@ def peak_verdicts(s, d):
 def bucket_pairs(s, d):
     """Films that share a rounded minute of duration, half to even."""
     b = _times(s, d).groupBy("film_id").agg(F.max("t_ms").alias("duration")).withColumn("bucket", F.expr("cast(bround(duration / 60000.0) as long)"))
-    o = b.select(F.col("film_id").alias("other_id"), "bucket")
-    return b.join(o, "bucket").where("film_id < other_id").groupBy("bucket").agg(F.count(F.lit(1)).alias("n_pairs"), F.min("film_id").alias("first_film"))
+    n = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("film_id").alias("first_film"))
+    return n.where("n > 1").select("bucket", F.expr("n * (n - 1) div 2").alias("n_pairs"), "first_film")
 
 
 def body_frames(s, d):
@@ -152,9 +152,7 @@ def _most_changed(h):
 
 def hash_neighbours(s, d):
     """Pairs of hashes of one label within 22 bits."""
-    h = _hashes(s, d)
-    o = h.select("film_id", F.col("vec_id").alias("other_id"), F.col("phash").alias("other"))
-    return h.join(o, "film_id").where("vec_id < other_id").select("vec_id", "other_id", P.hamming(F.col("phash"), F.col("other")).cast("long").alias("bits")).where("bits <= 22")
+    return P.close_hashes(_hashes(s, d), 22)
 
 
 def order_statistics(s, d):

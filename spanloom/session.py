@@ -23,6 +23,13 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
     )
 
 
+def small_arrow_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """From now on Arrow batches hold about `size` bytes where the session has Spark's default limit: rows here may be blocks of a megabyte."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit) == str(64 << 20):
+        spark.conf.set(limit, str(size))
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the folder of spark.checkpoint.dir, so that its lineage ends there; a local session without the setting gets a folder of its own."""
     spark = df.sparkSession
