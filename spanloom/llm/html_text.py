@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -35,6 +35,8 @@ BLOCK = frozenset(
 )
 #: Open elements that a start tag closes first, up to the element that bounds them.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+RULES = {"p": ({"p"}, {"button", "table", "object", "td", "th"}), **CLOSES}
+RULED = frozenset().union(*(tags | bounds for tags, bounds in RULES.values()))
 #: Judgements of elements: above nought for content.
 ELEMENT = {"article": 4.0, "main": 4.0, "nav": -8.0, "footer": -8.0, "aside": -8.0, "menu": -6.0, "form": -6.0, "search": -6.0, "header": -6.0, "fieldset": -4.0}
 OUTRIGHT = frozenset(("nav", "footer", "aside"))
@@ -53,21 +55,40 @@ TAG = {"p": 1.0, "pre": 1.0, "blockquote": 1.0, "h1": 1.0, "h2": 0.7, "h3": 0.5,
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "judged", "silent", "link", "border", "number")
+    """An open or closed element. What its ancestors say of it is kept as sums, so that no depth of nesting makes a block dear."""
+
+    __slots__ = ("tag", "parent", "depth", "judged", "silent", "link", "border", "number", "block", "inside", "outright", "nearby", "open")
 
     def __init__(self, tag: str, parent: Element | None, attributes: dict[str, str | None]):
         self.tag, self.parent, self.number = tag, parent, -1
         self.depth = parent.depth + 1 if parent else 0
         self.link = tag == "a" or bool(parent and parent.link)
         self.silent = tag in SILENT or bool(parent and parent.silent) or "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(HIDDEN.search(attributes.get("style") or ""))
+        #: the tag of the nearest block element, whether an article holds this element
+        self.block = tag if tag in BLOCK or not parent else parent.block
+        self.inside = bool(parent and (parent.inside or parent.tag in ("article", "main")))
         self.judged = self._judge(attributes)
         self.border = self.judged != 0.0 or tag == "section"
+        self.outright, self.nearby = (parent.outright, parent.nearby) if parent else (0.0, 0.0)
+        if self.judged:
+            self.nearby *= 0.25
+            if tag in OUTRIGHT:
+                self.outright += self.judged
+            else:
+                self.nearby += self.judged
+        #: of each rule, the outermost open element that it closes
+        self.open: dict[str, Element] = parent.open if parent else {}
+        if parent and tag in RULED:
+            self.open = {k: v for k, v in self.open.items() if tag not in RULES[k][1]}
+            for k, (tags, bounds) in RULES.items():
+                if tag in tags and tag not in bounds:
+                    self.open.setdefault(k, self)
 
     def _judge(self, attributes: dict[str, str | None]) -> float:
         if self.tag in ("html", "body"):
             return 0.0
         by_element = ELEMENT.get(self.tag, 0.0) or ROLE.get((attributes.get("role") or "").lower(), 0.0)
-        if by_element < 0 and self.tag == "header" and self.inside():
+        if by_element < 0 and self.tag == "header" and self.inside:
             return -1.0
         if by_element:
             return by_element
@@ -80,24 +101,9 @@ class Element:
         good, bad = bool(words & FOR), bool(words & AGAINST)
         return 0.0 if good == bad else 2.0 if good else -6.0
 
-    def inside(self) -> bool:
-        """Whether an article holds this element."""
-        e = self.parent
-        while e:
-            if e.tag in ("article", "main"):
-                return True
-            e = e.parent
-        return False
-
     def evidence(self) -> float:
-        """The elements around: the nearest judgement counts in full, those beyond less; menus, footers and sidebars always."""
-        total, share, e = 0.0, 1.0, self
-        while e:
-            if e.judged:
-                total += e.judged * (1.0 if e.tag in OUTRIGHT else share)
-                share *= 0.25
-            e = e.parent
-        return total
+        """The elements around: the nearest judgement counts in full, those beyond a quarter of it each; menus, footers and sidebars always."""
+        return self.outright + self.nearby
 
 
 class Block:
@@ -111,10 +117,7 @@ class Block:
         score = -1.0 + min(3.0, 0.5 * math.log2(1 + words)) - 4.0 * self.linked
         if self.text[-1] in ".!?:;…\"'»”)":
             score += 0.5
-        e = self.element
-        while e and e.tag not in BLOCK:
-            e = e.parent
-        return score + (TAG.get(e.tag, 0.0) if e else 0.0) + self.element.evidence()
+        return score + TAG.get(self.element.block, 0.0) + self.element.evidence()
 
 
 class Page(HTMLParser):
@@ -123,6 +126,7 @@ class Page(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.at = Element("html", None, {})
+        self.opened: Counter[str] = Counter()
         self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.linked = 0
@@ -138,24 +142,23 @@ class Page(HTMLParser):
                 self.blocks.append(Block(self.owner, text, min(1.0, self.linked / len(text))))
             self.parts, self.linked = [], 0
 
-    def open_above(self, tags: set[str], bounds: set[str]) -> Element | None:
-        e, found = self.at, None
-        while e.parent and e.tag not in bounds:
-            if e.tag in tags:
-                found = e
-            e = e.parent
-        return found
+    def leave(self, to: Element) -> None:
+        """Close the elements up to one that stays open."""
+        while self.at is not to:
+            self.opened[self.at.tag] -= 1
+            self.at = self.at.parent or to
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             self.flush()
-            closed = self.open_above({"p"}, {"button", "table", "object", "td", "th"}) or (tag in CLOSES and self.open_above(*CLOSES[tag])) or None
+            closed = self.at.open.get("p") or (tag in CLOSES and self.at.open.get(tag)) or None
             if closed:
-                self.at = closed.parent or self.at
+                self.leave(closed.parent or self.at)
         elif tag == "br":
             self.parts.append(" ")
         if tag not in VOID:
             self.at = Element(tag, self.at, dict(attrs))
+            self.opened[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # a slash closes void elements only
@@ -165,11 +168,11 @@ class Page(HTMLParser):
             self.flush()
         elif tag == "br":
             self.parts.append(" ")
-        e = self.at
-        while e.parent and e.tag != tag:
-            e = e.parent
-        if e.parent:
-            self.at = e.parent
+        if self.opened[tag]:
+            e = self.at
+            while e.parent and e.tag != tag:
+                e = e.parent
+            self.leave(e.parent or e)
 
     def handle_data(self, data: str) -> None:
         if self.at.silent or not self.parts and data.isspace():

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 from spanloom.llm.html_text import extract, least_cut, main_text
 
@@ -44,6 +45,16 @@ def test_comments_inside_the_article_and_hidden_parts():
     assert main_text(html) == LONG
 
 
+def test_cost_grows_with_the_page_not_with_its_depth():
+    def seconds(n):
+        start = time.process_time()
+        main_text("<div>some words of text </b>" * n)
+        return time.process_time() - start
+
+    seconds(100)
+    assert seconds(16000) < 40 * seconds(1000) + 0.5
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 3000 + f"<article><p>{LONG}" + "</div>" * 10
     cases = [None, "", "plain words only", "<", "<p", "<!-- open", "<script>var x", "<p>" * 5000, deep, "&#0;&bogus;&#x110000;", "</p></div>", f"<article><p>{LONG}</p>" * 300]
