@@ -1,7 +1,7 @@
 """Quality rules: plain counts of each text, and a calibrated logistic regression on hashed n-grams (operator 6).
 
-The counts give a base rule. Texts that pass it are judged by a logistic regression on hashed words and hashed runs of four
-bytes, each as its share of the text's words or runs, trained on a bounded sample of rows with a quality label. A second part of
+The counts give a base rule. Texts that pass it are judged by a logistic regression on hashed words, pairs of words and runs of four
+bytes, each as its share of the text's words, pairs or runs, trained on a bounded sample of rows with a quality label. A second part of
 the sample calibrates its margin to a probability (Platt's method); a text is kept when its probability is THRESHOLD or more. Texts are
 counted and scored in Arrow batches, in chunks of about a megabyte; the model is of fixed size.
 
@@ -98,6 +98,10 @@ class Chunk:
     def word_places(self) -> np.ndarray:
         return (self.words >> np.uint64(64 - BITS)).astype(np.int64)
 
+    def pair_places(self) -> np.ndarray:
+        """Places of the pairs of words that begin at each word; that of the last word of a text goes beyond it and is not used."""
+        return (mix64(self.words + mix64(np.append(self.words[1:], np.zeros(min(1, len(self.words)), np.uint64)))) >> np.uint64(64 - BITS)).astype(np.int64)
+
     def run_places(self) -> np.ndarray:
         """Places of the runs of RUN bytes that begin at each byte; the last RUN - 1 of the buffer wrap to nothing."""
         padded = np.concatenate([self.raw, np.zeros(RUN - 1, np.uint8)]).astype(np.uint32)
@@ -115,10 +119,10 @@ def _chunks(column: pa.Array) -> Iterator[Chunk]:
 
 
 class Model:
-    """Weights of words and runs, and the line that makes the margin a probability."""
+    """Weights of words, runs and pairs of words, and the line that makes the margin a probability."""
 
     def __init__(self) -> None:
-        self.words, self.runs = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
+        self.words, self.runs, self.pairs = (np.zeros(1 << BITS, np.float32) for _ in range(3))
         self.bias, self.slope, self.shift, self.trained = 0.0, 1.0, 0.0, False
 
     def margins(self, chunk: Chunk) -> np.ndarray:
@@ -126,7 +130,9 @@ class Model:
         by_words = (total[chunk.word_edges[1:]] - total[chunk.word_edges[:-1]]) / np.maximum(chunk.n_words, 1)
         total = np.concatenate([[0.0], np.cumsum(self.runs[chunk.run_places()], dtype=np.float64)])
         begins, ends = chunk.edges[:-1], np.maximum(chunk.edges[1:] - RUN, chunk.edges[:-1])
-        return by_words + (total[ends] - total[begins]) / np.maximum(ends - begins, 1) + self.bias
+        pair_total = np.concatenate([[0.0], np.cumsum(self.pairs[chunk.pair_places()], dtype=np.float64)])
+        first, last = chunk.word_edges[:-1], np.maximum(chunk.word_edges[1:] - 1, chunk.word_edges[:-1])
+        return by_words + (pair_total[last] - pair_total[first]) / np.maximum(last - first, 1) + (total[ends] - total[begins]) / np.maximum(ends - begins, 1) + self.bias
 
     def probabilities(self, chunk: Chunk) -> np.ndarray:
         if not self.trained:
@@ -135,18 +141,18 @@ class Model:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each sampled text its places (runs after words) and their shares."""
+    """Of each sampled text its places (words, then runs, then pairs of words) and their shares."""
     for batch in batches:
         places, shares = [], []
         for chunk in _chunks(batch.column("text")):
-            words, runs = chunk.word_places(), chunk.run_places()
+            words, runs, pairs = chunk.word_places(), chunk.run_places(), chunk.pair_places()
             for k in range(chunk.n):
                 own = words[chunk.word_edges[k] : chunk.word_edges[k + 1]]
                 other = runs[chunk.edges[k] : max(chunk.edges[k + 1] - RUN, chunk.edges[k])]
-                w, wn = np.unique(own, return_counts=True)
-                r, rn = np.unique(other, return_counts=True)
-                places.append(np.concatenate([w, r + (1 << BITS)]).astype(np.int32).tobytes())
-                shares.append(np.concatenate([wn / max(len(own), 1), rn / max(len(other), 1)]).astype(np.float32).tobytes())
+                two = pairs[chunk.word_edges[k] : max(chunk.word_edges[k + 1] - 1, chunk.word_edges[k])]
+                kinds = [(np.unique(x, return_counts=True), max(len(x), 1)) for x in (own, other, two)]
+                places.append(np.concatenate([place + (j << BITS) for j, ((place, _), _) in enumerate(kinds)]).astype(np.int32).tobytes())
+                shares.append(np.concatenate([times / n for (_, times), n in kinds]).astype(np.float32).tobytes())
         yield pa.record_batch([batch.column("order"), batch.column("quality"), pa.array(places, pa.binary()), pa.array(shares, pa.binary())], names=["order", "quality", "places", "shares"])
 
 
@@ -169,7 +175,7 @@ def learn(docs: DataFrame, labels: DataFrame, learn_rows: int = LEARN_ROWS, step
     weights, bias = _logistic(places, shares, y, trains, steps)
     margins = np.array([float(weights[p] @ s) for p, s in zip(places, shares, strict=True)]) + bias
     held = ~trains if (~trains).any() else trains
-    model.words, model.runs = weights[: 1 << BITS].astype(np.float32), weights[1 << BITS :].astype(np.float32)
+    model.words, model.runs, model.pairs = (x.astype(np.float32) for x in np.split(weights, 3))
     model.bias, model.trained = bias, True
     model.slope, model.shift = _platt(margins[held], y[held])
     return model
@@ -182,11 +188,11 @@ def _logistic(places: list[np.ndarray], shares: list[np.ndarray], y: np.ndarray,
     place, share = np.concatenate([places[k] for k in rows]), np.concatenate([shares[k] for k in rows]).astype(np.float64)
     y = y[rows]
     balance = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(rows)
-    weights, seen, bias, seen_bias = np.zeros(2 << BITS), np.full(2 << BITS, 1e-12), 0.0, 1e-12
+    weights, seen, bias, seen_bias = np.zeros(3 << BITS), np.full(3 << BITS, 1e-12), 0.0, 1e-12
     for _ in range(steps):
         margin = np.bincount(owner, weights[place] * share, len(rows)) + bias
         off = (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - y) * balance
-        slope = np.bincount(place, share * off[owner], 2 << BITS) + 1e-7 * weights
+        slope = np.bincount(place, share * off[owner], 3 << BITS) + 1e-7 * weights
         seen += slope * slope
         weights -= slope / np.sqrt(seen)
         seen_bias += off.sum() ** 2
