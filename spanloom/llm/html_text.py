@@ -1,7 +1,7 @@
 """Main text of web pages by minimum-cut labelling (operator 8).
 
-A page becomes blocks of text in page order. A linear classifier with fixed weights judges each block by its tag, words, links
-and the elements around it; the judgement is the capacity of an edge from the source (content) or to the sink (boilerplate).
+A page becomes blocks of text in page order. A logistic classifier judges each block by its tag, words and links; what the elements
+around it say is added, and the sum is the capacity of an edge from the source (content) or to the sink (boilerplate).
 Neighbouring blocks are tied by edges that weaken with their distance in the DOM, and every block is tied to its parent element
 and that to its own, weakly across the borders of sections. The minimum cut, found by maximum flow, labels all blocks at once:
 a short line among paragraphs goes with them, a long one in a menu with the menu.
@@ -9,6 +9,10 @@ a short line among paragraphs goes with them, a long one in a menu with the menu
 White space inside a block becomes one space; blocks that are content are joined by an empty line. Scripts, styles, comments of the
 markup, hidden elements and form controls are never text. Markup that is not closed ends where HTML ends it, or with the page.
 
+The classifier is trained (`trained`) on blocks whose surrounding elements tell what they are: those of articles against those of menus, footers,
+sidebars, notices and forms, of at most LEARN_PAGES pages and LEARN_BLOCKS blocks, each class with half of the weight. Its weights have a normal prior around PRIOR, so
+that tables with few or no such blocks stay near it. A classifier's word is bounded by BOUNDS, so that it weighs less than plain markup.
+
 Nulls: a null html is empty and gives an empty text; page_id and url pass as they are. Pages without content give an empty text. Repeated rows
 give equal rows. An empty table gives an empty result. Extra columns play no part. Each page is one row of an Arrow batch: no page needs another.
 """
@@ -21,8 +25,10 @@ from collections import Counter, deque
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import small_arrow_batches
 
@@ -52,6 +58,13 @@ WORDS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 TAG = {"p": 1.0, "pre": 1.0, "blockquote": 1.0, "h1": 1.0, "h2": 0.7, "h3": 0.5, "h4": 0.3, "li": -0.5, "legend": -4.0, "address": -1.0}
+#: Weights that the classifier starts from: constant, binary logarithm of 1 + words (6 at most), share of linked text, end of a sentence, then the tags.
+PRIOR = np.array([-1.0, 0.5, -4.0, 0.5, *TAG.values()])
+SENTENCE_ENDS = ".!?:;…\"'»”)"
+#: Inverse variance of the prior; least and most that a classifier says of a block; judgement of the elements from which a block counts as labelled.
+PRECISION, BOUNDS, LABELLED = 20.0, (-6.0, 3.0), 2.0
+#: Bounds of the sample of labelled blocks.
+LEARN_PAGES, LEARN_BLOCKS = 400, 20_000
 
 
 class Element:
@@ -112,12 +125,12 @@ class Block:
     def __init__(self, element: Element, text: str, linked: float):
         self.element, self.text, self.linked = element, text, linked
 
-    def judge(self) -> float:
+    def features(self) -> list[float]:
         words = self.text.count(" ") + 1
-        score = -1.0 + min(3.0, 0.5 * math.log2(1 + words)) - 4.0 * self.linked
-        if self.text[-1] in ".!?:;…\"'»”)":
-            score += 0.5
-        return score + TAG.get(self.element.block, 0.0) + self.element.evidence()
+        return [1.0, min(6.0, math.log2(1 + words)), self.linked, float(self.text[-1] in SENTENCE_ENDS), *(float(self.element.block == t) for t in TAG)]
+
+    def judge(self, weights: np.ndarray) -> float:
+        return min(BOUNDS[1], max(BOUNDS[0], float(weights @ self.features()))) + self.element.evidence()
 
 
 class Page(HTMLParser):
@@ -255,12 +268,55 @@ def _distance(a: Element, b: Element) -> float:
     return 1.5 / (1 + steps / 2) * 0.1**borders
 
 
-def main_text(html: str | None) -> str:
+def fitted(features: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """The most likely weights under the prior, by Newton's method; PRIOR itself where a class has no rows."""
+    weights = PRIOR.copy()
+    if content.all() or not content.any():
+        return weights
+    share = np.where(content, 0.5 / content.sum(), 0.5 / (~content).sum()) * len(content)
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(features @ weights, -30, 30)))
+        slope = features.T @ (share * (content - p)) - PRECISION * (weights - PRIOR)
+        curve = (features * (share * p * (1 - p))[:, None]).T @ features + PRECISION * np.eye(len(weights))
+        step = np.linalg.solve(curve, slope)
+        weights += step * min(1.0, 2.0 / max(1e-9, float(np.abs(step).max())))
+        if np.abs(step).max() < 1e-6:
+            break
+    return weights
+
+
+def trained(pages: DataFrame, learn_pages: int = LEARN_PAGES, learn_blocks: int = LEARN_BLOCKS) -> np.ndarray:
+    """Weights of the classifier from a bounded sample of labelled blocks: pages with the smallest hashes of page_id and url, of each an even spread of its blocks.
+
+    Only hashes and features of the sample reach the driver. Pages that share a hash may exceed learn_pages; learn_blocks bounds them too."""
+    each = max(1, learn_blocks // learn_pages)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, rows = [], []
+            for h, html in zip(batch.column("h").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                blocks = [b for b in Page(html or "").blocks if abs(b.element.evidence()) >= LABELLED]
+                for k in range(min(each, len(blocks))):
+                    b = blocks[k * len(blocks) // min(each, len(blocks))]
+                    hashes.append(h)
+                    rows.append([float(b.element.evidence() > 0), *b.features()])
+            yield pa.record_batch([pa.array(hashes, pa.int64()), pa.array(rows, pa.list_(pa.float64()))], names=["h", "row"])
+
+    keyed = pages.select(F.xxhash64("page_id", "url").alias("h"), "html")
+    smallest = keyed.select("h").distinct().orderBy("h").limit(learn_pages).agg(F.max("h")).first()[0]
+    if smallest is None:
+        return PRIOR.copy()
+    sample = keyed.where(F.col("h") <= smallest).mapInArrow(run, "h long, row array<double>").orderBy("h", "row").limit(learn_blocks)
+    rows = np.array([x.row for x in sample.collect()]).reshape(-1, 1 + len(PRIOR))
+    return fitted(rows[:, 1:], rows[:, 0] > 0)
+
+
+def main_text(html: str | None, weights: np.ndarray = PRIOR) -> str:
     """The content blocks of a page, joined by empty lines."""
     blocks = Page(html or "").blocks
     if not blocks:
         return ""
-    terminals = [round(100 * b.judge()) for b in blocks]
+    terminals = [round(100 * b.judge(weights)) for b in blocks]
     edges = [(k, k + 1, round(100 * _distance(blocks[k].element, blocks[k + 1].element))) for k in range(len(blocks) - 1)]
     for k, b in enumerate(blocks):
         node, weight, e = k, 100.0, b.element
@@ -286,9 +342,10 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x) for x in batch.column("html").to_pylist()]
+            texts = [main_text(x, weights) for x in batch.column("html").to_pylist()]
             yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     small_arrow_batches(pages.sparkSession)
+    weights = trained(pages)
     rows = pages.select("page_id", "url", "html")
     return rows.mapInArrow(run, f"page_id {dict(rows.dtypes)['page_id']}, url string, text string, n_chars long")

@@ -4,7 +4,9 @@ import itertools
 import random
 import time
 
-from spanloom.llm.html_text import extract, least_cut, main_text
+import numpy as np
+
+from spanloom.llm.html_text import PRECISION, PRIOR, extract, fitted, least_cut, main_text, trained
 
 LONG = "This is a paragraph of some length that says what the page is about, in words."
 
@@ -67,3 +69,30 @@ def test_odd_pages(spark):
     assert by_id[11].text == "\n\n".join([LONG] * 300)
     assert all(x.n_chars == len(x.text) for x in got)
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_classifier_learns_from_labelled_blocks_and_stays_near_its_prior_without_them(spark):
+    r = random.Random(5)
+    rows = np.array([[1.0, r.uniform(1, 6), r.random(), float(r.random() < 0.5), *[0.0] * (len(PRIOR) - 4)] for _ in range(2000)])
+    content = rows[:, 2] + 0.1 * rows[:, 1] < 0.8
+    weights = fitted(rows, content)
+    share = np.where(content, 0.5 / content.sum(), 0.5 / (~content).sum()) * len(content)
+
+    def loss(w):
+        return (share * np.logaddexp(0, np.where(content, -1, 1) * (rows @ w))).sum() + PRECISION / 2 * ((w - PRIOR) ** 2).sum()
+
+    least = loss(weights)
+    assert all(least <= loss(weights + 0.01 * np.array([r.gauss(0, 1) for _ in PRIOR])) for _ in range(300))
+    assert (((rows @ weights) > 0) == content).mean() > (((rows @ PRIOR) > 0) == content).mean()
+    assert (fitted(rows, np.zeros(2000, bool)) == PRIOR).all()
+    assert (trained(spark.createDataFrame([], "page_id long, url string, html string")) == PRIOR).all()
+    plain = spark.createDataFrame([(1, None, f"<p>{LONG}</p>"), (None, None, None)], "page_id long, url string, html string")
+    assert (trained(plain) == PRIOR).all()
+
+
+def test_training_is_bounded_and_agrees_on_reruns(spark):
+    html = f"<article><h1>T</h1>{f'<p>{LONG}</p>' * 30}</article><nav>{'<li><a href=a>A</a>' * 30}</nav>"
+    pages = spark.createDataFrame([(k % 7, "u", html) for k in range(40)], "page_id long, url string, html string")
+    first = trained(pages, learn_pages=4, learn_blocks=40)
+    assert (first == trained(pages.repartition(5), learn_pages=4, learn_blocks=40)).all()
+    assert (first != PRIOR).any()
