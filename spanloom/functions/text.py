@@ -66,7 +66,7 @@ def output_name(path: Column, age: Column) -> Column:
 
 def uri_path(uri: Column) -> Column:
     """The path of a file:// URI, percent escapes decoded; others pass."""
-    return F.when(uri.startswith("file://"), F.try_url_decode(F.replace(F.expr("substring(" + "uri" + ", 8)"), F.lit("+"), F.lit("%2B")))).otherwise(uri)
+    return F.when(uri.startswith("file://"), F.try_url_decode(F.replace(F.substr(uri, F.lit(8)), F.lit("+"), F.lit("%2B")))).otherwise(uri)
 
 
 def quoted(name: Column) -> Column:
@@ -76,5 +76,5 @@ def quoted(name: Column) -> Column:
 
 def content_key(size: Column, content: Column, head: int) -> Column:
     """SHA-1 over size, head and, where there is more, tail of a content."""
-    tail = F.when(F.length(content) > 2 * head, F.expr(f"right(text, {head})")).otherwise("")
+    tail = F.when(F.length(content) > 2 * head, F.right(content, F.lit(head))).otherwise("")
     return F.sha1(F.concat(size.cast("string"), F.substring(content, 1, head), tail))
