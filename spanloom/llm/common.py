@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +24,10 @@ BROADCAST_BYTES = 16 << 20
 LEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 #: Spark's limit of an Arrow batch, its default, and ours for texts.
 BATCH_LIMIT, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20), 4 << 20
-_scopes: list[list[str]] = []
+#: The scopes that are open in this thread or task of work, outermost first; each lists its tables.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scratch_scopes", default=())
+#: Folders of local sessions that name none, by application.
+_own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,8 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spanloom-"))
-    return spark.conf.get("spark.checkpoint.dir")
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = tempfile.mkdtemp(prefix="spanloom-")
+    return _own_dirs[app]
 
 
 def small_arrow_batches(spark: SparkSession) -> None:
@@ -60,11 +66,11 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """Tables stored inside are deleted at the end, but for those stored with keep; these belong to the scope around."""
     paths: list[str] = []
-    _scopes.append(paths)
+    token = _scopes.set((*_scopes.get(), paths))
     try:
         yield
     finally:
-        _scopes.pop()
+        _scopes.reset(token)
         for path in paths:
             drop_scratch(spark, path)
 
@@ -72,7 +78,7 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
 def scratch_path(spark: SparkSession, label: str, keep: bool = False) -> str:
     """A fresh path for a table of this run in the shared folder."""
     path = f"{shared_dir(spark)}/spanloom/{uuid.uuid4().hex}/{label}"
-    scopes = _scopes[:-1] if keep else _scopes
+    scopes = _scopes.get()[:-1] if keep else _scopes.get()
     if scopes:
         scopes[-1].append(path)
     return path
@@ -80,9 +86,15 @@ def scratch_path(spark: SparkSession, label: str, keep: bool = False) -> str:
 
 def drop_scratch(spark: SparkSession, path: str) -> None:
     """Delete a table written to scratch_path once nothing reads it any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    target, files = _of_path(spark, path)
+    files.delete(target, True)
+    files.cancelDeleteOnExit(target)
+
+
+def _of_path(spark: SparkSession, path: str):
+    """Hadoop's path and file system of a path."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def stored(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
@@ -91,6 +103,8 @@ def stored(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     path = scratch_path(spark, label, keep)
     with settings(spark, LEAN):
         df.write.parquet(path)
+    target, files = _of_path(spark, path)
+    files.deleteOnExit(target)  # a result that its caller still reads goes with the session
     return spark.read.schema(df.schema).parquet(path)
 
 

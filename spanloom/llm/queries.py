@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import quality, toxicity
+from .common import scratch_scope, stored
 from .exact_dedup import exact_groups
 from .html_text import extract
 from .language_id import identify, learn
+from .lexical_search import search, search_sql
 from .licenses import scan, scan_sql
 from .mixing import mix
 from .ngram_join import link
 from .packing import pack_documents
+from .periodic_runs import run_report
 from .pii import report
 from .substring_dedup import repeated_passages
 
@@ -76,6 +79,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_documents(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every row of documents."""
+    return run_report(_documents(spark, sf_dir))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely every row of documents is toxic, learnt from confirmed rows and unlabelled texts."""
+    docs = _documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 50 of all documents for every row of benchmark."""
+    with scratch_scope(spark):
+        return stored(search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "best", keep=True)
+
+
 OP7_SQL = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS n_cp, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents
@@ -101,6 +121,9 @@ def queries() -> dict[str, Query]:
         "op8_html_extraction": op8_html_extraction,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_toxicity": op12_toxicity,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
@@ -108,4 +131,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_license_scan": scan_sql(),
         "op7_exact_dedup": OP7_SQL,
+        "op13_ranked_search": search_sql(),
     }
