@@ -126,7 +126,10 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     zeros = spread.where("NOT toxic").orderBy("spread", "doc_id").limit(checked)
     picked = drawn.unionByName(zeros).select("doc_id", "toxic")
     known = short.join(F.broadcast(picked), "doc_id").select(F.col("toxic").cast("int").alias("kind"), "spread", "text").orderBy("spread", F.xxhash64("text")).limit(2 * (positives + 2 * checked))
-    other = short.select(F.lit(2).alias("kind"), "spread", "text").orderBy("spread", F.xxhash64("text")).limit(unlabelled)
+    # Of many rows only those with the lowest hashes, about twice as many as are wanted, are put in order.
+    share = min(1.0, 2 * unlabelled / max(docs.count(), 1))
+    low = F.col("spread") <= int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else F.lit(True)
+    other = short.where(low).select(F.lit(2).alias("kind"), "spread", "text").orderBy("spread", F.xxhash64("text")).limit(unlabelled)
     rows = known.unionByName(other).mapInArrow(_sampled, "kind int, spread long, features binary").collect()
     rows.sort(key=lambda r: (r["spread"], r["features"]))
     of_kind = {k: [np.frombuffer(r["features"], np.uint64) for r in rows if r["kind"] == k] for k in (0, 1, 2)}
