@@ -112,8 +112,14 @@ def prompt_scores(frames: DataFrame, prompts: DataFrame) -> DataFrame:
 
 
 def quantised_digest(vec: Column) -> Column:
-    """SHA-256 of the vector rounded to five decimals, as comma-joined integers: equal for vectors that differ by less than the rounding."""
-    return F.sha2(F.array_join(F.transform(vec, lambda x: F.round(x.cast("double") * 100000).cast("long").cast("string")), ","), 256)
+    """SHA-256, as hex, of the vector's values times 10,000, rounded and written as 32-bit integers, least byte first: equal for vectors that differ by less than the rounding."""
+
+    def four_bytes(x: Column) -> Column:
+        q = F.round(x.cast("float") * F.lit(10000.0).cast("float")).cast("long")
+        turned = F.shiftleft(q.bitwiseAND(0xFF), 24) + F.shiftleft(F.shiftright(q, 8).bitwiseAND(0xFF), 16) + F.shiftleft(F.shiftright(q, 16).bitwiseAND(0xFF), 8) + F.shiftright(q, 24).bitwiseAND(0xFF)
+        return F.lpad(F.hex(turned), 8, "0")
+
+    return F.sha2(F.unhex(F.array_join(F.transform(vec, four_bytes), "")), 256)
 
 
 def shape_error(score: Column, vec: Column, category: Column, dims: tuple[int, ...] = (64, 512, 768, 1024)) -> Column:

@@ -62,7 +62,7 @@ def weighted_feedback(s, d):
 
 def digest_dedup(s, d):
     """Rows of vectors, each sent twice with a little noise: the first of each digest stays, whatever its decision."""
-    v = table(s, d, "embeddings").select("vec_id", V.quantised_digest(F.transform("embedding", lambda x: F.round(x.cast("double"), 3))).alias("digest"))
+    v = table(s, d, "embeddings").select("vec_id", V.quantised_digest(F.col("embedding")).alias("digest"))
     twice = v.withColumn("arrival", F.explode(F.array(F.col("vec_id") * 2, F.col("vec_id") * 2 + 7)))
     return twice.groupBy("digest").agg(F.min("arrival").alias("arrival"), F.count(F.lit(1)).alias("n_seen"))
 
@@ -114,13 +114,6 @@ def flattened(s, d):
     return last.select("peer", F.explode(F.sequence(F.lit(1), (F.col("arrival") % 3 + 1).cast("int"))).alias("k"), "arrival", "score").select(F.col("peer").alias("author"), (F.col("arrival") + F.col("k")).alias("target"), "score")
 
 
-def endorsement_checks(s, d):
-    """Batches with the first rule that each breaks: size, day, score, own target twice."""
-    b = _batches(s, d).withColumn("entries", (F.col("arrival") % 70).cast("long"))
-    verdict = F.coalesce(F.when(F.col("entries") > 50, "entries"), F.when(~(F.lit(20240101) + F.col("day") * 300).between(20240101, 20241231), "day"), F.when(~F.col("score").between(0, 1.9), "score"), F.when(F.col("entries") % 10 == 9, "target"), F.lit("ok"))
-    return b.select("arrival", verdict.alias("verdict"))
-
-
 def proposals(s, d):
     """Proposed categories by name without case: rows and peers, letters and digits only, most wanted first."""
     o = table(s, d, "orders").select(F.col("o_custkey").alias("peer"), F.expr("CASE o_orderkey % 4 WHEN 0 THEN upper(substr(o_orderpriority, 3)) WHEN 1 THEN substr(o_orderpriority, 3) ELSE concat('Cat', o_orderkey % 9) END").alias("name"))
@@ -148,7 +141,6 @@ def queries():
         "o6_evicted_endorsements": lambda s, d: T.evict(A.endorsements(s, d), _seeds(s, d).select("author", F.col("score").alias("weight")), 100),
         "s12_latest_batches": lambda s, d: T.latest(_batches(s, d), ["peer", "day"], ["arrival"]),
         "j21_endorsement_edges": flattened,
-        "p13_endorsement_checks": endorsement_checks,
         "a7_proposals": proposals,
     }
 
@@ -164,7 +156,7 @@ def oracle_sql():
         "j2_frames_in_suggestions": _FEED + ", " + _RANGES + " SELECT t, author, min(sugg) AS sugg FROM frames JOIN ranges ON t >= start_ms AND t < end_ms GROUP BY t, author",
         "j3_contributing_authors": _FEED + ", " + _RANGES + ", n AS (SELECT sugg, author, count(*) AS frames, min(t) AS first FROM frames JOIN ranges ON t >= start_ms AND t < end_ms GROUP BY ALL) SELECT sugg, author, frames, row_number() OVER (PARTITION BY sugg ORDER BY frames DESC, first) AS nth FROM n QUALIFY nth <= 10",
         "j5_weighted_feedback": _DIRECT + ", rows_ AS (SELECT row_id, accepted, CAST(author * 7 + row_id % 5 AS BIGINT) AS author FROM feedback) SELECT row_id, accepted, CAST(NULL AS BIGINT) AS author, CAST(1.0 AS DOUBLE) AS weight FROM rows_ WHERE row_id % 10 = 1 UNION ALL SELECT row_id, accepted, r.author, coalesce(score, 0.1) FROM rows_ r LEFT JOIN direct d ON d.author = r.author WHERE row_id % 10 <> 1 AND coalesce(score, 0.1) >= 0.05",
-        "u3_digest_dedup": "WITH v AS (SELECT vec_id, sha256(array_to_string(list_transform(embedding, lambda x: CAST(CAST(round(round(CAST(x AS DOUBLE), 3) * 100000) AS BIGINT) AS VARCHAR)), ',')) AS digest FROM embeddings), twice AS (SELECT digest, unnest([vec_id * 2, vec_id * 2 + 7]) AS arrival FROM v) SELECT digest, min(arrival) AS arrival, count(*) AS n_seen FROM twice GROUP BY digest",
+        "u3_digest_dedup": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: (CAST(round(CAST(x AS FLOAT) * CAST(10000 AS FLOAT)) AS BIGINT) + 4294967296) % 4294967296) AS u FROM embeddings), h AS (SELECT vec_id, sha256(unhex(array_to_string(list_transform(u, lambda x: printf('%02x%02x%02x%02x', x % 256, x // 256 % 256, x // 65536 % 256, x // 16777216)), ''))) AS digest FROM v), twice AS (SELECT digest, unnest([vec_id * 2, vec_id * 2 + 7]) AS arrival FROM h) SELECT digest, min(arrival) AS arrival, count(*) AS n_seen FROM twice GROUP BY digest",
         "p9_row_shapes": """WITH r AS (SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN '<b>' WHEN vec_id % 13 = 0 THEN '' ELSE 'Cruelty' END AS category, CASE WHEN vec_id % 7 = 0 THEN 1.5 ELSE 0.85 END AS score,
               CASE WHEN vec_id % 5 = 0 THEN embedding[1:3] WHEN vec_id % 17 = 0 THEN list_transform(embedding, lambda x: CAST(x * 20 AS FLOAT)) WHEN vec_id % 19 = 0 THEN list_transform(embedding, lambda x: CAST(x * 0.5 AS FLOAT)) ELSE embedding END AS vec FROM embeddings)
             SELECT vec_id, CASE WHEN NOT regexp_full_match(category, '[A-Za-z0-9 /.-]{1,64}') THEN 'category' WHEN NOT score BETWEEN 0 AND 1 THEN 'score' WHEN len(vec) NOT IN (64, 512, 768, 1024) THEN 'dimension'
@@ -176,6 +168,5 @@ def oracle_sql():
         "o6_evicted_endorsements": with_("endorsements") + _SEEDS + ", sizes AS (SELECT e.author, count(*) AS n, coalesce(any_value(s.score), 0.1) AS weight FROM endorsements e LEFT JOIN seeds s USING (author) GROUP BY e.author), kept AS (SELECT author FROM sizes QUALIFY sum(n) OVER (ORDER BY weight DESC, author ROWS UNBOUNDED PRECEDING) <= 100) SELECT * FROM endorsements WHERE author IN (SELECT author FROM kept)",
         "s12_latest_batches": f"WITH {_BATCHES} SELECT * FROM batches QUALIFY row_number() OVER (PARTITION BY peer, day ORDER BY arrival DESC) = 1",
         "j21_endorsement_edges": f"WITH {_BATCHES}, l AS (SELECT * FROM batches QUALIFY row_number() OVER (PARTITION BY peer, day ORDER BY arrival DESC) = 1), m AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY peer ORDER BY day DESC) = 1), x AS (SELECT peer, arrival, score, unnest(range(1, arrival % 3 + 2)) AS k FROM m) SELECT peer AS author, arrival + k AS target, score FROM x",
-        "p13_endorsement_checks": f"WITH {_BATCHES} SELECT arrival, CASE WHEN arrival % 70 > 50 THEN 'entries' WHEN NOT 20240101 + day * 300 BETWEEN 20240101 AND 20241231 THEN 'day' WHEN NOT score BETWEEN 0 AND 1.9 THEN 'score' WHEN (arrival % 70) % 10 = 9 THEN 'target' ELSE 'ok' END AS verdict FROM batches",
         "a7_proposals": "WITH n AS (SELECT o_custkey AS peer, lower(CASE o_orderkey % 4 WHEN 0 THEN upper(substr(o_orderpriority, 3)) WHEN 1 THEN substr(o_orderpriority, 3) ELSE 'Cat' || (o_orderkey % 9) END) AS name FROM orders) SELECT name, count(*) AS n_rows, count(DISTINCT peer) AS n_peers FROM n WHERE regexp_full_match(name, '[a-z0-9]+') AND name NOT IN ('urgent', 'cat3', 'cat5') GROUP BY name",
     }

@@ -46,48 +46,6 @@ def content_keys(s, d):
     return table(s, d, "documents").select("doc_id", X.content_key(F.length("text"), F.col("text"), HEAD).alias("key"))
 
 
-def _lines(s, d):
-    """Lines as peers send them: JSON rows of orders, some broken on purpose."""
-    o = table(s, d, "orders")
-    good = F.format_string('{"schema":1,"category":"%s","decision":"accept","score":0.%d}', F.substring("o_orderpriority", 3, 20), F.col("o_orderkey") % 10)
-    line = F.expr("""CASE o_orderkey % 12 WHEN 0 THEN '{"schema":2,"category":"A","decision":"accept","score":0.5}' WHEN 1 THEN '{"schema":1,"category":"<b>","decision":"accept","score":0.5}'
-        WHEN 2 THEN '{"schema":1,"category":"A","decision":"accept","score":1.5}' WHEN 3 THEN '{"schema":1,"category":"A","decision":"accept","score":0.5,"more":1}' WHEN 4 THEN 'not json' WHEN 5 THEN repeat('x', 300) WHEN 6 THEN '{"schema":1,"category":"A","decision":"maybe","score":0.5}' WHEN 7 THEN '{"schema":1,"category":"A","score":0.5}' END""")
-    return o.select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("peer"), (F.col("o_orderkey") % 4).alias("day"), F.coalesce(line, good).alias("line"), "o_custkey", "o_orderkey")
-
-
-_LINES = """lines AS (SELECT o_orderkey AS seq, o_custkey AS peer, o_orderkey % 4 AS day, CASE o_orderkey % 12 WHEN 0 THEN '{"schema":2,"category":"A","decision":"accept","score":0.5}' WHEN 1 THEN '{"schema":1,"category":"<b>","decision":"accept","score":0.5}'
-    WHEN 2 THEN '{"schema":1,"category":"A","decision":"accept","score":1.5}' WHEN 3 THEN '{"schema":1,"category":"A","decision":"accept","score":0.5,"more":1}' WHEN 4 THEN 'not json' WHEN 5 THEN repeat('x', 300) WHEN 6 THEN '{"schema":1,"category":"A","decision":"maybe","score":0.5}' WHEN 7 THEN '{"schema":1,"category":"A","score":0.5}'
-    ELSE format('{{"schema":1,"category":"{}","decision":"accept","score":0.{}}}', substr(o_orderpriority, 3, 20), o_orderkey % 10) END AS line FROM orders),
-  verdicts AS (SELECT seq, peer, day, line, CASE o WHEN 0 THEN 'schema' WHEN 1 THEN 'category' WHEN 2 THEN 'score' WHEN 3 THEN 'json' WHEN 4 THEN 'json' WHEN 5 THEN 'size' WHEN 6 THEN 'decision' WHEN 7 THEN 'json' ELSE 'ok' END AS verdict FROM (SELECT *, seq % 12 AS o FROM lines)),
-  digests AS (SELECT *, sha256(line || CAST(peer // 3 AS VARCHAR)) AS digest FROM verdicts)"""
-
-
-def _verdicts(s, d):
-    return M.parsed(_lines(s, d)).select("seq", "peer", "day", "line", M.row_error(256).alias("verdict"))
-
-
-def _admitted(s, d, quota=2):
-    rows = _verdicts(s, d).withColumn("digest", F.sha2(F.concat("line", F.expr("cast(peer div 3 as string)")), 256))
-    return M.admit(rows, quota)
-
-
-def pack_errors(s, d):
-    """Packs of orders: one per customer, cuts from its orders, some broken."""
-    m = A.markers(s, d)
-    cuts = F.collect_list(F.struct((F.col("start_ms") - F.when(F.col("film_id") % 7 == 0, 100000).otherwise(0)).alias("start_ms"), "end_ms"))
-    packs = m.groupBy("film_id").agg(cuts.alias("cuts"))
-    film = F.when(F.col("film_id") % 5 == 0, F.concat(F.lit("../"), F.col("film_id").cast("string"))).otherwise(F.concat(F.lit("film_"), F.col("film_id").cast("string")))
-    author = F.when(F.col("film_id") % 11 == 0, "abc").otherwise(F.sha2(F.col("film_id").cast("string"), 256))
-    comment = F.repeat(F.lit("c"), F.when(F.col("film_id") % 13 == 0, 5000).otherwise(3))
-    return packs.select("film_id", M.pack_error(F.col("cuts"), film, author, comment).alias("verdict"))
-
-
-def fingerprint_errors(s, d):
-    t = A.keyframes(s, d).groupBy("film_id").agg(F.array_sort(F.collect_list("t_ms")).alias("times"))
-    bad = F.when(F.col("film_id") % 4 == 0, F.reverse("times")).when(F.col("film_id") % 4 == 1, F.transform("times", lambda x: x - 5)).otherwise(F.col("times"))
-    return t.select("film_id", M.fingerprint_error(bad, F.array_max("times"), 75).alias("verdict"))
-
-
 def truncated(s, d):
     rows = table(s, d, "conversations").select(F.col("conv_id").cast("long").alias("file"), F.col("turn").cast("long").alias("seq"), F.col("text").alias("line"))
     return M.newest_within(rows, 2000).select("file", "seq")
@@ -157,12 +115,6 @@ def queries():
         "p_output_names": names,
         "p_clock_times": clocks,
         "s4_content_keys": content_keys,
-        "p9_row_verdicts": lambda s, d: _verdicts(s, d).select("seq", "verdict"),
-        "a9_admission": _admitted,
-        "a9_accept_stats": lambda s, d: _admitted(s, d).groupBy("outcome").agg(F.count(F.lit(1)).alias("n")),
-        "a19_peer_day_counts": lambda s, d: _lines(s, d).groupBy("peer", "day").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("line") + 1).alias("bytes")),
-        "p11_pack_errors": pack_errors,
-        "p12_fingerprint_errors": fingerprint_errors,
         "s11_truncated_tail": truncated,
         "s15_allow_list": allowed,
         "p14_signature_gate": signature_gate,
@@ -179,19 +131,6 @@ def _clock(t: str) -> str:
     return f"format('{{:02d}}:{{:02d}}:{{:02d}},{{:03d}}', {t} // 3600000, {t} // 60000 % 60, {t} // 1000 % 60, {t} % 1000)"
 
 
-def _outcomes(rounds: int, quota: int = 2) -> str:
-    """Outcomes in order of seq: a row's digest counts only if the row was accepted, a refused row may come again. Written as so many rounds over the refused rows."""
-    parts = ["r0 AS (SELECT CAST(NULL AS BIGINT) AS seq WHERE FALSE)"]
-    for k in range(1, rounds + 1):
-        parts.append(
-            f"""t{k} AS (SELECT d.*, min(d.seq) FILTER (r.seq IS NULL) OVER (PARTITION BY digest) AS first FROM digests d LEFT JOIN r{k - 1} r ON r.seq = d.seq WHERE verdict = 'ok'),
-            h{k} AS (SELECT *, coalesce(sum(CAST(coalesce(seq = first, FALSE) AS INTEGER)) OVER (PARTITION BY peer, day ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had FROM t{k}),
-            o{k} AS (SELECT *, CASE WHEN seq > coalesce(first, seq) THEN 'duplicate' WHEN had >= {quota} THEN 'over_quota' ELSE 'accepted' END AS outcome FROM h{k}),
-            r{k} AS (SELECT seq FROM o{k} WHERE outcome = 'over_quota')"""
-        )
-    return ", ".join(parts) + f", outcomes AS (SELECT d.seq, d.peer, d.day, coalesce(o.outcome, 'invalid') AS outcome FROM digests d LEFT JOIN o{rounds} o ON o.seq = d.seq)"
-
-
 def oracle_sql():
     srt = with_("subtitles") + f", n AS (SELECT *, row_number() OVER (PARTITION BY film_id ORDER BY start_ms, end_ms, ord) AS k FROM subtitles)"
     word = lambda k: f"regexp_matches(text, '(?i){k}')" if " " in k else f"regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{N}}_]){k}($|[^\\p{{L}}\\p{{N}}_])')"
@@ -203,12 +142,6 @@ def oracle_sql():
         "p_output_names": "WITH p AS (SELECT p_partkey, '/films/' || replace(p_brand, '#', '''') || '.' || p_size || '.mkv' AS path, p_size FROM part) SELECT p_partkey, path[:-5] || ' CUT' || CASE WHEN p_size % 3 > 0 THEN '-' || (p_size % 3) ELSE '' END || '.mkv' AS output, '''' || replace(path, '''', '''\\''''') || '''' AS quoted, CASE WHEN p_partkey % 2 = 0 THEN '/a b+' || p_partkey ELSE path END AS decoded FROM p",
         "p_clock_times": with_("keyframes") + f" SELECT film_id, t_ms, {_clock('t_ms')} AS srt, format('{{:d}}:{{:02d}}:{{:02d}}', t_ms // 3600000, t_ms // 60000 % 60, t_ms // 1000 % 60) AS clock FROM keyframes",
         "s4_content_keys": "SELECT doc_id, sha1(length(text) || text[1:1048576] || CASE WHEN length(text) > 2097152 THEN right(text, 1048576) ELSE '' END) AS key FROM documents",
-        "p9_row_verdicts": f"WITH {_LINES} SELECT seq, verdict FROM verdicts",
-        "a9_admission": f"WITH {_LINES}, {_outcomes(6)} SELECT seq, peer, day, outcome FROM outcomes",
-        "a9_accept_stats": f"WITH {_LINES}, {_outcomes(6)} SELECT outcome, count(*) AS n FROM outcomes GROUP BY ALL",
-        "a19_peer_day_counts": f"WITH {_LINES} SELECT peer, day, count(*) AS n, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes FROM lines GROUP BY ALL",
-        "p11_pack_errors": with_("markers") + " SELECT film_id, CASE WHEN film_id % 5 = 0 THEN 'film_id' WHEN film_id % 11 = 0 THEN 'author' WHEN count(*) > 500 THEN 'count' WHEN NOT bool_and(start_ms - CASE WHEN film_id % 7 = 0 THEN 100000 ELSE 0 END >= 0 AND end_ms > start_ms) THEN 'range' WHEN film_id % 13 = 0 THEN 'comment' ELSE 'ok' END AS verdict FROM markers GROUP BY film_id",
-        "p12_fingerprint_errors": with_("keyframes") + " SELECT film_id, CASE WHEN count(*) > 75 THEN 'count' WHEN film_id % 4 = 0 THEN 'order' WHEN film_id % 4 = 1 THEN 'range' ELSE 'ok' END AS verdict FROM keyframes GROUP BY film_id",
         "s11_truncated_tail": "SELECT CAST(conv_id AS BIGINT) AS file, CAST(turn AS BIGINT) AS seq FROM conversations QUALIFY sum(strlen(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) <= 2000",
         "s15_allow_list": "SELECT CASE c_custkey % 4 WHEN 2 THEN 'tooshort' ELSE sha256(c_name) END AS key, c_custkey % 4 <> 2 AS valid FROM customer WHERE c_custkey % 4 <> 1",
         "p14_signature_gate": "SELECT 'list' AS gate, CASE WHEN c_custkey IS NULL THEN 'forbidden' WHEN o_orderkey % 9 = 0 THEN 'unsigned' ELSE 'accepted' END AS outcome, count(*) AS n FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 5000 GROUP BY ALL UNION ALL SELECT 'open', CASE WHEN o_orderkey % 9 = 0 THEN 'unsigned' ELSE 'accepted' END, count(*) FROM orders GROUP BY ALL",

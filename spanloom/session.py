@@ -30,17 +30,36 @@ def small_arrow_batches(spark: SparkSession, size: int = 4 << 20) -> None:
         spark.conf.set(limit, str(size))
 
 
+#: Folders of local sessions that name none, by application.
+_own_dirs: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session without the setting gets a folder of its own; a cluster must set it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = tempfile.mkdtemp(prefix="spanloom-")
+    return _own_dirs[app]
+
+
+def files_of(spark: SparkSession, path: str):
+    """Hadoop's path and file system of a path."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir, so that its lineage ends there; a local session without the setting gets a folder of its own."""
+    """df as a table in the shared folder, so that its lineage ends there; the table goes with the session, as its readers may live as long."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="spanloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/spanloom/{uuid.uuid4().hex}/{label}"
+    path = f"{shared_dir(spark)}/spanloom/{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
+    target, files = files_of(spark, path)
+    files.deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
