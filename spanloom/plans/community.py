@@ -91,6 +91,18 @@ _WALK = _SEEDS + """
   SELECT s.author, e.target, s.score * e.score, 1, [s.author] FROM seeds s JOIN endorsements e ON e.author = s.author
   UNION ALL SELECT w.target, e.target, w.value * e.score, w.depth + 1, list_append(w.seen, w.target) FROM walk w JOIN endorsements e ON e.author = w.target WHERE w.depth < 4 AND NOT list_contains(w.seen, w.target)),
 boot AS (SELECT target AS author, CAST(sum(CAST(value * power(0.5, depth) AS DECIMAL(28,15))) AS DOUBLE) AS bootstrap FROM walk GROUP BY target)"""
+#: One author after the other; an author's weight is that of the paths that no author who is gone leads.
+_EVICTION = """
+, parts AS MATERIALIZED (SELECT target AS author, seen AS via, CAST(value * power(0.5, depth) AS DECIMAL(28,15)) AS part FROM walk),
+sizes AS MATERIALIZED (SELECT e.author, count(*) AS n, any_value(s.score) AS fixed FROM endorsements e LEFT JOIN seeds s USING (author) GROUP BY e.author),
+gone AS (
+  SELECT CAST([] AS BIGINT[]) AS out_, (SELECT CAST(sum(n) AS BIGINT) FROM sizes) AS total
+  UNION ALL
+  SELECT list_append(out_, author), total - n FROM (
+    SELECT g.out_, g.total, s.author, s.n, round(coalesce(s.fixed, least(greatest(0.1 + coalesce(CAST(sum(p.part) FILTER (NOT list_has_any(p.via, g.out_)) AS DOUBLE), 0), 0.1), 0.4)), 9) AS weight
+    FROM gone g JOIN sizes s ON NOT list_contains(g.out_, s.author) LEFT JOIN parts p ON p.author = s.author
+    WHERE g.total > (SELECT sum(n) FROM sizes) * 2 // 3 GROUP BY g.out_, g.total, s.author, s.n, s.fixed)
+  QUALIFY row_number() OVER (ORDER BY weight, author) = 1)"""
 _FOLD = """, fold AS (SELECT author, seq, least(greatest(0.1 + CASE WHEN accepted THEN 0.05 ELSE -0.08 END, 0.0), 2.0) AS score FROM dec WHERE seq = 1
   UNION ALL SELECT f.author, d.seq, least(greatest(f.score + CASE WHEN d.accepted THEN 0.05 ELSE -0.08 END, 0.0), 2.0) FROM fold f JOIN dec d ON d.author = f.author AND d.seq = f.seq + 1),
 direct AS (SELECT author, round(arg_max(score, seq), 6) AS score, count(*) AS n FROM fold GROUP BY author)"""
@@ -102,6 +114,12 @@ def effective_weights(s, d):
     return T.effective(authors, _seeds(s, d), T.bootstrap(_seeds(s, d), A.endorsements(s, d)))
 
 
+def evicted(s, d):
+    """Endorsements that stay when two thirds of them may."""
+    edges = A.endorsements(s, d)
+    return T.evict(edges, _seeds(s, d), 2 * edges.count() // 3)
+
+
 def _batches(s, d):
     """Endorsement batches that authors sent on some days, several times."""
     o = table(s, d, "orders")
@@ -138,7 +156,7 @@ def queries():
         "g1_bootstrap": lambda s, d: T.bootstrap(_seeds(s, d), A.endorsements(s, d)).withColumn("bootstrap", F.round("bootstrap", 6)),
         "g2_effective_weight": effective_weights,
         "o5_outbound_endorsements": lambda s, d: T.outbound(_direct(s, d).withColumn("score", F.round(F.col("score") * 4, 6))),
-        "o6_evicted_endorsements": lambda s, d: T.evict(A.endorsements(s, d), _seeds(s, d).select("author", F.col("score").alias("weight")), 100),
+        "o6_evicted_endorsements": evicted,
         "s12_latest_batches": lambda s, d: T.latest(_batches(s, d), ["peer", "day"], ["arrival"]),
         "j21_endorsement_edges": flattened,
         "a7_proposals": proposals,
@@ -165,7 +183,7 @@ def oracle_sql():
         "g1_bootstrap": with_("endorsements", recursive=True) + _WALK + " SELECT author, round(bootstrap, 6) AS bootstrap FROM boot",
         "g2_effective_weight": with_("endorsements", recursive=True) + _WALK + ", authors AS (SELECT author FROM endorsements UNION SELECT target FROM endorsements) SELECT a.author, round(coalesce(s.score, least(greatest(0.1 + coalesce(b.bootstrap, 0), 0.1), 0.4)), 6) AS weight FROM authors a LEFT JOIN seeds s USING (author) LEFT JOIN boot b ON b.author = a.author",
         "o5_outbound_endorsements": _DIRECT + " SELECT author AS target, round(score * 4, 6) AS score FROM direct WHERE round(score * 4, 6) >= 0.8 ORDER BY 2 DESC, 1 LIMIT 50",
-        "o6_evicted_endorsements": with_("endorsements") + _SEEDS + ", sizes AS (SELECT e.author, count(*) AS n, coalesce(any_value(s.score), 0.1) AS weight FROM endorsements e LEFT JOIN seeds s USING (author) GROUP BY e.author), kept AS (SELECT author FROM sizes QUALIFY sum(n) OVER (ORDER BY weight DESC, author ROWS UNBOUNDED PRECEDING) <= 100) SELECT * FROM endorsements WHERE author IN (SELECT author FROM kept)",
+        "o6_evicted_endorsements": with_("endorsements", recursive=True) + _WALK + _EVICTION + " SELECT * FROM endorsements WHERE NOT list_contains((SELECT arg_max(out_, len(out_)) FROM gone), author)",
         "s12_latest_batches": f"WITH {_BATCHES} SELECT * FROM batches QUALIFY row_number() OVER (PARTITION BY peer, day ORDER BY arrival DESC) = 1",
         "j21_endorsement_edges": f"WITH {_BATCHES}, l AS (SELECT * FROM batches QUALIFY row_number() OVER (PARTITION BY peer, day ORDER BY arrival DESC) = 1), m AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY peer ORDER BY day DESC) = 1), x AS (SELECT peer, arrival, score, unnest(range(1, arrival % 3 + 2)) AS k FROM m) SELECT peer AS author, arrival + k AS target, score FROM x",
         "a7_proposals": "WITH n AS (SELECT o_custkey AS peer, lower(CASE o_orderkey % 4 WHEN 0 THEN upper(substr(o_orderpriority, 3)) WHEN 1 THEN substr(o_orderpriority, 3) ELSE 'Cat' || (o_orderkey % 9) END) AS name FROM orders) SELECT name, count(*) AS n_rows, count(DISTINCT peer) AS n_peers FROM n WHERE regexp_full_match(name, '[a-z0-9]+') AND name NOT IN ('urgent', 'cat3', 'cat5') GROUP BY name",

@@ -1,5 +1,7 @@
 """Trust folds and walks on hand-made ledgers."""
 
+import random
+
 import pytest
 
 from spanloom.operators import trust as T
@@ -44,3 +46,49 @@ def test_promotion_starts_from_the_graph(spark):
     d = spark.createDataFrame([("A", 0, True), ("B", 0, False)], "author string, seq long, accepted boolean")
     b = spark.createDataFrame([("A", 5.0), ("B", 5.0)], "author string, bootstrap double")
     assert {r.author: r.score for r in T.fold(d, b).collect()} == {"A": 0.45, "B": 0.32}
+
+
+def plain_evict(edges, direct, most):
+    """One author after the other, all weights taken anew each time by a search of all paths."""
+    held = {}
+    for a, t, x in edges:
+        held.setdefault(a, {})[t] = x
+
+    def given(target):
+        total, stack = 0.0, [(a, s, 1, {a}) for a, s, n in direct if n > 0 and s >= 0.8]
+        while stack:
+            node, value, depth, seen = stack.pop()
+            for nxt, x in held.get(node, {}).items():
+                if nxt == target:
+                    total += 0.5**depth * value * x
+                if depth < 4 and nxt not in seen and nxt in held:
+                    stack.append((nxt, value * x, depth + 1, seen | {nxt}))
+        return total
+
+    fixed = {a: s for a, s, n in direct if n > 0}
+    while sum(map(len, held.values())) > most:
+        weight = {a: round(fixed[a] if a in fixed else min(max(0.1 + given(a), 0.1), 0.4), 9) for a in held}
+        del held[min(held, key=lambda a: (weight[a], a))]
+    return {(a, t) for a, e in held.items() for t in e}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_eviction_takes_weights_anew(spark, seed):
+    r = random.Random(seed)
+    names = [f"a{k}" for k in range(9)]
+    edges = [(a, t, round(r.random(), 3)) for a in names for t in r.sample(names, r.randrange(0, 5)) if a != t]
+    direct = [(a, round(r.choice([0.05, 0.3, 0.9, 1.7]), 3), r.choice([0, 1, 3])) for a in r.sample(names, 4)]
+    e = spark.createDataFrame(edges, "author string, target string, score double")
+    d = spark.createDataFrame(direct, "author string, score double, n long")
+    for most, small in [(len(edges) // 3, 0)] + [(n, 10_000) for n in (len(edges) // 3, len(edges) // 2)]:
+        assert {(x.author, x.target) for x in T.evict(e, d, most, small).collect()} == plain_evict(edges, direct, most)
+
+
+def test_running_sum(spark):
+    rows = [(k * 7 % 101, k) for k in range(101)]
+    got = {x.k: x.upto for x in T.running_sum(spark.createDataFrame(rows, "k long, v long"), ["k"], "v", "upto").collect()}
+    total, want = 0, {}
+    for k, v in sorted(rows):
+        total += v
+        want[k] = total
+    assert got == want
