@@ -81,9 +81,8 @@ def hamming(a: Column, b: Column) -> Column:
 def block_hash(block: Column) -> Column:
     """16 hex digits of an 8 x 8 block of coefficients: of all but the first, a bit each for those over their median, in order."""
     rest = F.slice(block, 2, 63)
-    median = F.element_at(F.array_sort(rest), 32)
-    bits = F.concat(F.lit("0"), F.array_join(F.transform(rest, lambda x: F.when(x > median, "1").otherwise("0")), ""))
-    return F.lower(F.concat(F.lpad(F.conv(F.substring(bits, 1, 32), 2, 16), 8, "0"), F.lpad(F.conv(F.substring(bits, 33, 32), 2, 16), 8, "0")))
+    bits = let(F.element_at(F.array_sort(rest), 32), lambda median: F.concat(F.lit("0"), F.array_join(F.transform(rest, lambda x: F.when(x > median, "1").otherwise("0")), "")))
+    return let(bits, lambda b: F.lower(F.concat(F.lpad(F.conv(F.substring(b, 1, 32), 2, 16), 8, "0"), F.lpad(F.conv(F.substring(b, 33, 32), 2, 16), 8, "0"))))
 
 
 def majority_hash(hashes: DataFrame) -> DataFrame:

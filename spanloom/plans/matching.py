@@ -199,7 +199,8 @@ def _bits(a: str, b: str) -> str:
     return f"CAST(list_sum(list_transform(list_zip(string_split({a}, ''), string_split({b}, '')), lambda p: CASE WHEN p[1] = p[2] THEN 0 ELSE 1 END)) AS BIGINT)"
 
 
-def oracle_sql():
+def match_sql():
+    """From sides (pair_id, a_short, short, long) to o, what `fingerprints.match` gives but for the verdict."""
     fold = """, tried AS (SELECT pair_id, short, long, a_short, off, row_number() OVER (PARTITION BY pair_id ORDER BY first_ord) AS ord FROM (SELECT pair_id, any_value(short) AS short, any_value(long) AS long, any_value(a_short) AS a_short, off, min(o) AS first_ord FROM (
             SELECT pair_id, short, long, a_short, unnest(list_concat(list_transform(long[1:50], lambda y: y - short[1]), list_transform(list_reverse(long[greatest(1, len(long) - 49):]), lambda y: y - short[-1]))) AS off, unnest(range(least(50, len(long)) * 2)) AS o FROM sides WHERE len(short) >= 30) WHERE abs(off) <= 600000 GROUP BY pair_id, off)),
           f(pair_id, ord, i, j, n, diffs) AS (SELECT pair_id, ord, 0, 0, 0, CAST([] AS BIGINT[]) FROM tried
@@ -210,6 +211,11 @@ def oracle_sql():
           best AS (SELECT f.pair_id, arg_max({'off': t.off, 'n': f.n, 'diffs': f.diffs, 'a_short': t.a_short, 'size': len(t.short)}, (f.n, -f.ord)) AS b FROM f JOIN tried t ON t.pair_id = f.pair_id AND t.ord = f.ord WHERE f.i = len(t.short) GROUP BY f.pair_id),
           o AS (SELECT pair_id, CASE WHEN b.a_short THEN -b.off ELSE b.off END AS "offset", CAST(b.n AS BIGINT) AS matched, round(b.n / CAST(b.size AS DOUBLE), 6) AS fraction, coalesce(list_median(list_transform(b.diffs, lambda x: abs(x - list_median(b.diffs)))), 0.0) AS spread, CASE WHEN b.a_short THEN -1 ELSE 1 END * list_sort(b.diffs)[len(b.diffs) // 2 + 1] AS trim FROM best)"""
     fold = fold.replace("list_median(list_transform(b.diffs, lambda x: abs(x - list_median(b.diffs))))", "list_aggregate(list_transform(b.diffs, lambda x: abs(x - list_aggregate(b.diffs, 'median'))), 'median')")
+    return fold
+
+
+def oracle_sql():
+    fold = match_sql()
     lists = ", lists AS (SELECT film_id, list(t_ms ORDER BY t_ms) AS times FROM kf GROUP BY film_id)"
     anchors = lambda k: f", anchors AS (SELECT film_id, t_ms, gap FROM gaps WHERE gap IS NOT NULL QUALIFY row_number() OVER (PARTITION BY film_id ORDER BY gap DESC, t_ms) <= {k})"
     return {
