@@ -235,3 +235,20 @@ def endorsement_error(column: str) -> Column:
         F.get(first, F.lit(0)),
         F.lit("ok"),
     )
+
+
+LEAST_WEIGHT, UNSEEN_WEIGHT = 0.05, 0.1
+
+
+def stored_feedback(rows: DataFrame) -> DataFrame:
+    """Stored rows (stored, peer) as decisions for the next analysis: row_id, author, accepted, vec. Lines that are no rows are left out; row_id is a hash of the line and its author."""
+    r = F.from_json("stored", "decision string, vec array<float>")
+    read = rows.select(F.xxhash64("peer", "stored").alias("row_id"), F.col("peer").alias("author"), r.alias("r")).where("r.decision IN ('accept', 'reject') AND r.vec IS NOT NULL")
+    return read.select("row_id", "author", (F.col("r.decision") == "accept").alias("accepted"), F.col("r.vec").alias("vec"))
+
+
+def feedback_weights(decided: DataFrame, trust: DataFrame) -> DataFrame:
+    """row_id and weight of decisions: 1 for one's own (a null author), the author's trust (author, score, n) after a decision on it, UNSEEN_WEIGHT without; rows under LEAST_WEIGHT are left out."""
+    known = trust.where("n > 0").select("author", "score")
+    weight = F.when(F.col("author").isNull(), 1.0).otherwise(F.coalesce("score", F.lit(UNSEEN_WEIGHT)))
+    return decided.join(known, "author", "left").select("row_id", weight.alias("weight")).where(F.col("weight") >= LEAST_WEIGHT)

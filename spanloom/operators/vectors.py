@@ -91,13 +91,20 @@ def nearest(frames: DataFrame, decided: DataFrame) -> DataFrame:
 
 
 def factors(best: DataFrame, trigger: float, weight: float = 1.0, reject: float = 0.5, accept: float = 1.15) -> DataFrame:
-    """The factor of each frame: 1 + w (target - 1) for each side whose best row is at or over the trigger."""
-    w = min(max(weight, 0.0), 1.0)
+    """The factor of each frame: 1 + w (target - 1) for each side whose best row is at or over the trigger; w is that row's weight where best has one, else `weight`, between 0 and 1."""
+    w = F.least(F.greatest(F.col("weight") if "weight" in best.columns else F.lit(weight), F.lit(0.0)), F.lit(1.0))
     one = F.when(F.col("sim") >= trigger, 1 + w * (F.when(F.col("accepted"), accept).otherwise(reject) - 1)).otherwise(1.0)
     sides = best.withColumn("f", one).groupBy("t").agg(F.max(F.when(F.col("accepted"), F.col("f"))).alias("a"), F.max(F.when(~F.col("accepted"), F.col("f"))).alias("r"))
     return sides.select("t", F.round(F.coalesce("a", F.lit(1.0)) * F.coalesce("r", F.lit(1.0)), 6).alias("factor"))
 
 
+def weighted_scores(scores: DataFrame, frames: DataFrame, decided: DataFrame, weights: DataFrame, trigger: float) -> DataFrame:
+    """Scores (t, prompt, score) times their frame's factor, between 0 and 1. A side's factor is moved by the weight (row_id, weight) of the one row that is most similar; rows without a weight play no part."""
+    best = nearest(frames, decided.join(weights.select("row_id"), "row_id", "left_semi")).join(weights.select("row_id", "weight"), "row_id")
+    by_frame = factors(best, trigger)
+    return scores.join(by_frame, "t", "left").select("t", "prompt", F.round(F.least(F.greatest(F.col("score") * F.coalesce("factor", F.lit(1.0)), F.lit(0.0)), F.lit(1.0)), 6).alias("score"))
+
+
 def prompt_scores(frames: DataFrame, prompts: DataFrame) -> DataFrame:
     """Similarity of every frame and prompt as a score: (cosine - 0.15) / 0.2, between 0 and 1. Only vectors of equal length are compared."""
 
