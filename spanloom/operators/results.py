@@ -38,7 +38,7 @@ _INTEGER, _NUMBER, _TEXT = ("BIGINT",), ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
 
 
 def recipes(docs: DataFrame) -> DataFrame:
-    """Rows of recipe documents: name, error, position, category, enabled, threshold, pads and longest run, det_ord, det_id, weight, label.
+    """Rows of recipe documents: name, error, position, category, enabled, threshold, pads and longest run, det_ord, det_id, weight, label_ord, label.
 
     A document is {"categories": [...]} or a bare list; else it is one row with its error, `json` or `shape`. Categories are enabled unless they say false; a detector without labels has one row with a null label, a category without detectors one with nulls.
     An empty list gives no row."""
@@ -52,10 +52,25 @@ def recipes(docs: DataFrame) -> DataFrame:
     return dets.select(
         "name", "error", F.col("position").cast("long").alias("position"), F.col("c.name").alias("category"), F.when(F.col("c").isNotNull(), F.coalesce("c.enabled", F.lit(True))).alias("enabled"), F.col("c.threshold").alias("threshold"),
         F.col("c.padBeforeMs").alias("pad_before_ms"), F.col("c.padAfterMs").alias("pad_after_ms"), F.col("c.maxDurationMs").alias("max_duration_ms"),
-        F.col("det_ord").cast("long").alias("det_ord"), F.col("d.id").alias("det_id"), F.col("d.weight").alias("weight"), F.explode_outer("d.params.labels").alias("label"),
+        F.col("det_ord").cast("long").alias("det_ord"), F.col("d.id").alias("det_id"), F.col("d.weight").alias("weight"), F.posexplode_outer("d.params.labels").alias("label_ord", "label"),
     )
 
 
+def required_labels(rows: DataFrame, det_id: str) -> DataFrame:
+    """Labels that the enabled categories of each document need of a detector, with their place by first use, from 0."""
+    used = rows.where((F.col("det_id") == det_id) & F.col("enabled") & F.col("label").isNotNull())
+    first = used.groupBy("name", "label").agg(F.min(F.struct("position", "det_ord", "label_ord")).alias("first"))
+    return first.select("name", "label", (F.row_number().over(W.partitionBy("name").orderBy("first")) - 1).cast("long").alias("place"))
+
+
+def scaled_thresholds(rows: DataFrame, sensitivities: list[float]) -> DataFrame:
+    """Thresholds of each document's categories under sensitivities: the multiplier, one over it, is kept in [0.25, 4], the threshold in [0, 1]."""
+    rules = rows.where("category IS NOT NULL AND threshold IS NOT NULL").select("name", "position", "category", "threshold").distinct()
+    each = rules.withColumn("sensitivity", F.explode(F.array(*map(F.lit, sensitivities))))
+    mul = F.least(F.greatest(1 / F.col("sensitivity"), F.lit(0.25)), F.lit(4.0))
+    return each.withColumn("threshold", F.round(F.least(F.greatest(F.col("threshold") * mul, F.lit(0.0)), F.lit(1.0)), 6))
+
+
 def results(docs: DataFrame) -> DataFrame:
     """Analysis results (name, raw): name, error, schema_version, duration_ms, kind, keyframes, peaks, suggestions.
 

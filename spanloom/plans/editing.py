@@ -12,9 +12,8 @@ from ..sources.adapters import DAYS, with_
 WIDTH = 64
 SUB_DURATION = 60_000
 
-#: profile id, label, min_age, threshold_mul, and the categories it overrides: name, enabled, pad factor
-PROFILES = [("age-3", "Small", 3, 0.5), ("age-7", "Child", 7, 0.8), ("age-12", "Youth", 12, 1.0), ("all", "Everyone", 0, 0.4), ("age-16", "Grown", 16, 1.3)]
-_PROFILES = "profiles(id, label, min_age, mul) AS (VALUES " + ", ".join(f"('{a}', '{b}', {c}, CAST({d} AS DOUBLE))" for a, b, c, d in PROFILES) + ")"
+#: The profiles of each film: those of the ages that its orders name, with the shares that they scale thresholds by.
+_PROFILES = "profiles AS (SELECT DISTINCT film_id, 'age-' || (id % 17) AS id, id % 17 AS min_age, 0.5 + (id % 17) / 20 AS mul FROM markers)"
 
 _MERGED = f"""
 , conf AS (SELECT * FROM markers WHERE status = 'confirmed' AND end_ms > start_ms),
@@ -35,8 +34,9 @@ def _keeps(s, d):
     return I.complement(_cuts(s, d), DAYS)
 
 
-def _profiles(s):
-    return s.createDataFrame(PROFILES, "id string, label string, min_age int, mul double")
+def _profiles(s, d):
+    """film_id, id, min_age, mul."""
+    return A.markers(s, d).select("film_id", (F.col("id") % 17).alias("min_age")).distinct().select("film_id", F.concat(F.lit("age-"), F.col("min_age").cast("string")).alias("id"), "min_age", (0.5 + F.col("min_age") / 20).alias("mul"))
 
 
 def _sub_keeps(s, d):
@@ -75,31 +75,31 @@ def applied_pack(s, d):
 
 
 def profile_for_age(s, d):
-    """The profile of each age from 0 to 20: the largest least age not above it."""
-    ages = s.range(0, 21).withColumnRenamed("id", "age")
-    best = ages.join(F.broadcast(_profiles(s)), F.col("min_age") <= F.col("age")).groupBy("age").agg(F.max_by("id", "min_age").alias("profile"))
-    name = F.when(F.col("age") > 0, F.concat(F.lit("age-"), F.col("age").cast("string"))).otherwise("all")
-    return best.select("age", "profile", name.alias("own_id"))
+    """Of each film and of the ages 0, 7, 14 and 21 the profile of the largest least age not above it, or the youngest one; and the id of the age's own profile."""
+    p = _profiles(s, d).withColumn("age", F.explode(F.array(*(F.lit(x).cast("long") for x in (0, 7, 14, 21)))))
+    fits = F.col("min_age") <= F.col("age")
+    best = p.groupBy("film_id", "age").agg(F.coalesce(F.max_by("id", F.when(fits, F.col("min_age"))), F.min_by("id", "min_age")).alias("profile"))
+    return best.select("film_id", "age", "profile", F.when(F.col("age") > 0, F.concat(F.lit("age-"), F.col("age").cast("string"))).otherwise("all").alias("own_id"))
 
 
 def profile_pick(s, d):
-    """The profile for a request: the requested one, else the default, else the strictest."""
-    asked = s.createDataFrame([("age-7", "age-12"), ("AGE-16", "all"), ("none", "age-12"), ("none", "gone"), (None, None)], "requested string, fallback string")
-    p = F.broadcast(_profiles(s))
-    rank = F.when(F.lower("id") == F.lower("requested"), 0).when(F.lower("id") == F.lower("fallback"), 1).otherwise(2)
-    rows = asked.crossJoin(p).groupBy("requested", "fallback").agg(F.min(F.struct(rank.alias("r"), "min_age", "id")).alias("best"))
-    return rows.select("requested", "fallback", F.col("best.id").alias("picked"))
+    """The profile of each film that is asked for, in any case, else the film's default, else the strictest."""
+    p = _profiles(s, d)
+    asked, fallback = F.concat(F.lit("AGE-"), (F.col("film_id") % 23).cast("string")), F.concat(F.lit("age-"), (F.col("film_id") % 13).cast("string"))
+    rank = F.when(F.lower("id") == F.lower(asked), 0).when(F.lower("id") == F.lower(fallback), 1).otherwise(2)
+    return p.groupBy("film_id").agg(F.min_by("id", F.struct(rank, "min_age", "id")).alias("picked"))
 
 
 def profile_order(s, d):
-    w = W.orderBy("min_age", "id")
-    return _profiles(s).select("id", F.row_number().over(w).cast("long").alias("place"))
+    """The place of each profile in its film, by least age."""
+    w = W.partitionBy("film_id").orderBy("min_age", "id")
+    return _profiles(s, d).select("film_id", "id", F.row_number().over(w).cast("long").alias("place"))
 
 
 def profile_layer(s, d):
-    """Thresholds of the recipes under every profile."""
-    rules = A.recipes(s).where("enabled").select("category", "threshold", "pad_before_ms").distinct()
-    return rules.crossJoin(F.broadcast(_profiles(s))).select("category", F.col("id").alias("profile"), F.round(F.least(F.lit(1.0), F.col("threshold") * F.col("mul")), 6).alias("threshold"))
+    """Thresholds of a film's categories under each of its profiles, at most 1."""
+    rules = A.markers(s, d).groupBy("film_id", "category").agg((F.floor(F.max("confidence") * 1000) / 1000).alias("threshold"))
+    return rules.join(_profiles(s, d), "film_id").select("film_id", "category", F.col("id").alias("profile"), F.round(F.least(F.lit(1.0), F.col("threshold") * F.col("mul")), 6).alias("threshold"))
 
 
 def profile_upsert(s, d):
@@ -177,10 +177,10 @@ def oracle_sql():
             SELECT film_id, from_ms, to_ms FROM fold WHERE from_ms IS NOT NULL""",
         "w14_next_pending": with_("markers") + " SELECT film_id, arg_min(id, (start_ms, id)) FILTER (start_ms > 1000) AS next_id, arg_max(id, (start_ms, -id)) FILTER (start_ms < 1000) AS previous_id FROM markers WHERE status = 'pending' GROUP BY film_id",
         "p21_applied_pack": with_("markers") + " SELECT film_id, id, greatest(start_ms - 30, 0) AS start_ms, end_ms - 30 AS end_ms, 'suggested' AS source, 'pending' AS status, CAST(round(CAST(round(CASE WHEN confidence * 1.5 BETWEEN 0 AND 1 THEN confidence * 1.5 ELSE 0.5 END, 9) AS DECIMAL(20,9)), 6) AS DOUBLE) AS confidence FROM markers WHERE end_ms - 30 > greatest(start_ms - 30, 0)",
-        "p6_profile_for_age": f"WITH {_PROFILES} SELECT age, arg_max(id, min_age) AS profile, CASE WHEN age > 0 THEN 'age-' || age ELSE 'all' END AS own_id FROM range(21) r(age) JOIN profiles ON min_age <= age GROUP BY age",
-        "p7_profile_pick": f"WITH {_PROFILES}, asked(requested, fallback) AS (VALUES ('age-7', 'age-12'), ('AGE-16', 'all'), ('none', 'age-12'), ('none', 'gone'), (NULL, NULL)) SELECT requested, fallback, arg_min(id, (CASE WHEN lower(id) = lower(requested) THEN 0 WHEN lower(id) = lower(fallback) THEN 1 ELSE 2 END, min_age, id)) AS picked FROM asked CROSS JOIN profiles GROUP BY ALL",
-        "o9_profile_order": f"WITH {_PROFILES} SELECT id, row_number() OVER (ORDER BY min_age, id) AS place FROM profiles",
-        "p4_profile_layer": with_("recipes") + f", {_PROFILES} SELECT category, id AS profile, round(least(1.0, threshold * mul), 6) AS threshold FROM (SELECT DISTINCT category, threshold FROM recipes WHERE enabled) CROSS JOIN profiles",
+        "p6_profile_for_age": with_("markers") + f", {_PROFILES}, asked AS (SELECT *, unnest([0, 7, 14, 21]) AS age FROM profiles) SELECT film_id, CAST(age AS BIGINT) AS age, coalesce(arg_max(id, min_age) FILTER (min_age <= age), arg_min(id, min_age)) AS profile, CASE WHEN age > 0 THEN 'age-' || age ELSE 'all' END AS own_id FROM asked GROUP BY film_id, age",
+        "p7_profile_pick": with_("markers") + f", {_PROFILES} SELECT film_id, arg_min(id, (CASE WHEN lower(id) = 'age-' || (film_id % 23) THEN 0 WHEN id = 'age-' || (film_id % 13) THEN 1 ELSE 2 END, min_age, id)) AS picked FROM profiles GROUP BY film_id",
+        "o9_profile_order": with_("markers") + f", {_PROFILES} SELECT film_id, id, row_number() OVER (PARTITION BY film_id ORDER BY min_age, id) AS place FROM profiles",
+        "p4_profile_layer": with_("markers") + f", {_PROFILES}, rules AS (SELECT film_id, category, floor(max(confidence) * 1000) / 1000 AS threshold FROM markers GROUP BY ALL) SELECT film_id, category, id AS profile, round(least(1.0, threshold * mul), 6) AS threshold FROM rules JOIN profiles USING (film_id)",
         "j19_profile_upsert": with_("markers") + ", rows AS (SELECT film_id, id % 5 AS profile, CASE status WHEN 'pending' THEN 1 ELSE 0 END AS new, id % 3 AS source, id FROM markers WHERE status IN ('confirmed', 'pending')), src AS (SELECT film_id, arg_max(source, id) AS now FROM rows WHERE new = 1 GROUP BY film_id) SELECT r.film_id, r.profile, arg_max(r.id, (r.new, r.id)) AS id FROM rows r LEFT JOIN src USING (film_id) WHERE new = 1 OR now IS NULL OR source = now GROUP BY ALL",
         "u6_marker_updates": with_("markers") + " SELECT film_id, id, start_ms, CASE WHEN id % 7 = 1 AND id % 3 > 0 THEN start_ms + id % 3 ELSE end_ms END AS end_ms, status FROM markers WHERE id % 7 <> 0",
         "u7_unsaved_changes": with_("markers") + " SELECT film_id, count(*) * 2 AS differences FROM markers WHERE id % 50 = 0 GROUP BY film_id",

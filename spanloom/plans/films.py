@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..operators import films as V
 from ..operators import fingerprints as P
-from ..session import table
+from ..session import table, written
 from ..sources import adapters as A
+from ..sources import container_index as C
 from ..sources.adapters import with_
 from .matching import _lists, _times, match_sql
 
@@ -62,8 +63,38 @@ def pulled_packs(s, d):
     return V.pulled(films, packs, block=64, least=10)
 
 
+def _u32(x):
+    return F.lpad(F.hex(x.cast("long")), 8, "0")
+
+
+def _box(kind: str, *parts):
+    """A box of MP4 in hex."""
+    return P.let(F.concat(*parts), lambda body: F.concat(_u32(F.length(body) / 2 + 8), F.lit(kind.encode().hex()), body))
+
+
+def _element(name: int, *parts):
+    """An element of Matroska in hex, its length in eight bytes."""
+    return P.let(F.concat(*parts), lambda body: F.concat(F.lit(f"{name:x}"), F.lit("01"), F.lpad(F.hex((F.length(body) / 2).cast("long")), 14, "0"), body))
+
+
+def container_keyframes(s, d):
+    """Orders as media files, their lines as runs of samples or as cues; every fifth sample is a keyframe, and cues of odd lines are of another track."""
+    lines = table(s, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.struct("l_linenumber", "l_suppkey", "l_partkey", F.col("l_quantity").cast("long").alias("n"), (F.col("l_partkey") % 97).alias("delta")).alias("x"))
+    o = lines.groupBy("k").agg(F.array_sort(F.collect_list("x")).alias("x")).withColumn("total", F.aggregate("x", F.lit(0).cast("long"), lambda a, x: a + x["n"]))
+    stts = _box("stts", F.lit("00" * 4), _u32(F.size("x")), F.array_join(F.transform("x", lambda x: F.concat(_u32(x["n"]), _u32(x["delta"]))), ""))
+    syncs = F.sequence(F.lit(1).cast("long"), F.col("total"), F.lit(5).cast("long"))
+    stss = _box("stss", F.lit("00" * 4), _u32(F.size(syncs)), F.array_join(F.transform(syncs, _u32), ""))
+    media = _box("mdia", _box("mdhd", F.lit("00" * 12), _u32(F.lit(90)), F.lit("00" * 12)), _box("hdlr", F.lit("00" * 8 + b"vide".hex())), _box("minf", _box("stbl", stts, stss)))
+    movie = F.concat(_box("ftyp", F.lit(b"isom".hex())), _box("mdat", F.repeat(F.lit("00"), F.lit(500))), _box("moov", _box("trak", media)))
+    cue = lambda x: _element(C.CUE, _element(C.CUE_TIME, _u32(x["n"] * 100 + x["delta"])), _element(C.CUE_PLACE, _element(C.CUE_TRACK, F.lpad(F.hex(x["l_linenumber"] % 2 + 1), 2, "0"))))
+    head = F.concat(_element(C.INFO, _element(C.SCALE, _u32(F.lit(500_000)))), _element(C.TRACKS, _element(C.TRACK, _element(C.TRACK_NUMBER, F.lit("01")), _element(C.TRACK_TYPE, F.lit("01")))), _element(C.CUES, F.array_join(F.transform("x", cue), "")))
+    matroska = F.concat(_element(C.EBML, F.lit("42868101")), _element(C.SEGMENT, head, _element(C.CLUSTER, F.repeat(F.lit("00"), F.lit(500)))))
+    raw = F.unhex(F.when(F.col("k") % 2 == 0, movie).otherwise(matroska))
+    return C.keyframe_times(written(C.index_of(o.select(F.col("k").cast("string").alias("path"), raw.alias("content"))), "index"))
+
+
 def queries():
-    return {"p_pixel_hashes": pixel_hashes, "fp_v9_verdicts": peak_verdicts, "fp_dispatch": dispatched, "j16_pulled_packs": pulled_packs}
+    return {"s17_container_keyframes": container_keyframes, "p_pixel_hashes": pixel_hashes, "fp_v9_verdicts": peak_verdicts, "fp_dispatch": dispatched, "j16_pulled_packs": pulled_packs}
 
 
 _KF = with_("keyframes", recursive=True) + ", kf AS (SELECT DISTINCT film_id, t_ms // 1000 AS t_ms FROM keyframes), gaps AS (SELECT film_id, t_ms, t_ms - lag(t_ms) OVER (PARTITION BY film_id ORDER BY t_ms) AS gap FROM kf), lists AS (SELECT film_id, list(t_ms ORDER BY t_ms) AS times FROM kf GROUP BY film_id)"
@@ -103,6 +134,11 @@ def oracle_sql():
     verdict = "fraction >= 0.55 AND round(spread, 6) <= 250"
     return {
         "p_pixel_hashes": _PIXELS,
+        "s17_container_keyframes": """WITH x AS (SELECT l_orderkey AS k, l_linenumber, CAST(l_quantity AS BIGINT) AS n, l_partkey % 97 AS delta, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity, l_partkey % 97) AS i FROM lineitem),
+          runs AS (SELECT *, sum(n) OVER w - n AS first, sum(n * delta) OVER w - n * delta AS ticks FROM x WHERE k % 2 = 0 WINDOW w AS (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING)),
+          samples AS (SELECT k, first + j AS nth, ticks + j * delta AS ticks FROM (SELECT *, unnest(range(n)) AS j FROM runs))
+          SELECT CAST(k AS VARCHAR) AS path, CAST(ticks * 1000 // 90 AS BIGINT) AS t_ms FROM samples WHERE nth % 5 = 0
+          UNION ALL SELECT CAST(k AS VARCHAR), (n * 100 + delta) * 500000 // 1000000 FROM x WHERE k % 2 = 1 AND l_linenumber % 2 = 0""",
         "fp_v9_verdicts": _KF + _PQ + " SELECT film_id AS pair_id, outcome, gaps, gaps_same, hashes, hashes_same, trim, same FROM peaks",
         "fp_dispatch": _KF
         + _PQ

@@ -15,14 +15,18 @@ from . import scoring
 from .community import _DIRECT, _DOT, TRIGGER, _prompts, weighted_feedback
 
 
-def recipe_documents(s, d):
+def _recipes(s, d):
     """Recipes as documents: the parts of a brand as categories. Some are bare lists, some broken."""
     p = table(s, d, "part").withColumn("k", F.col("p_partkey") % 5)
     det = F.struct(F.concat(F.lit("det"), (F.col("p_size") % 3).cast("string")).alias("id"), F.lit(0.5).alias("weight"), F.struct(F.expr("CASE WHEN k = 1 THEN array(p_type, p_name) WHEN k = 2 THEN cast(array() as array<string>) END").alias("labels")).alias("params"))
     cat = F.struct("p_partkey", F.struct(F.col("p_name").alias("name"), F.expr("CASE k WHEN 3 THEN false WHEN 4 THEN true END").alias("enabled"), (F.col("p_size") / 64).alias("threshold"), F.col("p_size").cast("long").alias("padBeforeMs"), F.when(F.col("k") == 0, F.array(det, det)).when(F.col("k") < 4, F.array(det)).alias("detectors")).alias("c"))
     docs = p.groupBy("p_brand").agg(F.to_json(F.transform(F.array_sort(F.collect_list(cat)), lambda x: x["c"])).alias("list"), F.min("p_partkey").alias("n"))
     raw = F.expr("CASE n % 6 WHEN 0 THEN list WHEN 1 THEN concat('{\"version\":1,\"categories\":', list, '}') WHEN 2 THEN concat('{\"categories\":', list) WHEN 3 THEN concat('{\"cats\":', list, '}') WHEN 4 THEN '{\"categories\":{\"a\":1}}' ELSE concat(' {\"categories\":', list, '} ') END")
-    return R.recipes(docs.select(F.col("p_brand").alias("name"), raw.alias("raw"))).drop("max_duration_ms", "pad_after_ms", "weight")
+    return R.recipes(docs.select(F.col("p_brand").alias("name"), raw.alias("raw")))
+
+
+def recipe_rows(s, d):
+    return _recipes(s, d).drop("max_duration_ms", "pad_after_ms", "weight", "label_ord")
 
 
 def result_documents(s, d):
@@ -103,7 +107,9 @@ def closest_when_strict(s, d):
 
 def queries():
     return {
-        "s1_recipe_documents": recipe_documents,
+        "s1_recipe_rows": recipe_rows,
+        "p3_required_labels": lambda s, d: R.required_labels(_recipes(s, d), "det1"),
+        "p4_scaled_thresholds": lambda s, d: R.scaled_thresholds(_recipes(s, d), [0.1, 1.0, 2.5]),
         "s3_result_documents": result_documents,
         "s19_loudness_log": loudness_log,
         "w2_merged_reasons": merged_reasons,
@@ -146,7 +152,9 @@ _WEIGHTED = f""", rows_ AS (SELECT row_id, accepted, vec, CAST(author * 7 + row_
 def oracle_sql():
     strict = scoring._HEAD.replace(DUCK["recipes"], DUCK["recipes"].split(" AS (VALUES")[0] + " AS (VALUES " + A._values(STRICT) + ")")
     return {
-        "s1_recipe_documents": _RECIPES,
+        "s1_recipe_rows": _RECIPES,
+        "p3_required_labels": f"WITH r AS ({_RECIPES}), u AS (SELECT name, label, position * 10 + CASE WHEN label = category THEN 1 ELSE 0 END AS ord FROM r WHERE det_id = 'det1' AND enabled AND label IS NOT NULL), m AS (SELECT name, label, min(ord) AS first FROM u GROUP BY ALL) SELECT name, label, row_number() OVER (PARTITION BY name ORDER BY first) - 1 AS place FROM m",
+        "p4_scaled_thresholds": f"WITH r AS ({_RECIPES}), u AS (SELECT DISTINCT name, position, category, threshold FROM r WHERE error IS NULL) SELECT name, position, category, CAST(sensitivity AS DOUBLE) AS sensitivity, round(least(greatest(threshold * least(greatest(1 / CAST(sensitivity AS DOUBLE), 0.25), 4.0), 0.0), 1.0), 6) AS threshold FROM u CROSS JOIN (VALUES (0.1), (1.0), (2.5)) v(sensitivity)",
         "s3_result_documents": with_("markers") + ", " + _RESULTS,
         "s19_loudness_log": "WITH e AS (SELECT user_id AS file, event_id AS seq, round(floor(value * 10) / 10 - 120, 1) AS m, event_id % 11 AS k FROM events WHERE event_id % 11 NOT IN (0, 3)) SELECT file, row_number() OVER (PARTITION BY file ORDER BY seq) - 1 AS idx, CAST(CASE WHEN k IN (1, 2) OR m < -120 THEN -120 ELSE m END AS DOUBLE) AS momentary, CAST(-120 AS DOUBLE) AS short_term FROM e",
         "w2_merged_reasons": _REASONED + " SELECT film_id, category, start_ms, end_ms, score, array_to_string(reasons, '|') AS reasons, place FROM placed",

@@ -57,20 +57,6 @@ def _diagnosed(spark, d):
     return S.diagnostics(_fused(spark, d), A.recipes(spark), _merged(spark, d))
 
 
-def required_labels(spark, d):
-    """Labels that enabled categories need of the detector `event`, in order of first use."""
-    rows = A.recipes(spark).where("enabled AND det_id = 'event' AND label IS NOT NULL")
-    return rows.groupBy("label").agg(F.min("category").alias("first_category"), F.count(F.lit(1)).alias("uses"))
-
-
-def scaled_thresholds(spark, d):
-    """Thresholds under three sensitivities: the multiplier is kept in [0.25, 4], the threshold in [0, 1]."""
-    rules = A.recipes(spark).select("category", "threshold").distinct()
-    rows = rules.withColumn("sensitivity", F.explode(F.array(F.lit(0.1), F.lit(1.0), F.lit(2.5))))
-    mul = F.least(F.greatest(1 / F.col("sensitivity"), F.lit(0.25)), F.lit(4.0))
-    return rows.select("category", "sensitivity", F.round(F.least(F.greatest(F.col("threshold") * mul, F.lit(0.0)), F.lit(1.0)), 6).alias("threshold"))
-
-
 def needed_series(spark, d):
     """Which series some enabled detector reads, and how many rows pruning saves."""
     keys = A.recipes(spark).where("enabled").select(F.explode(F.array("det_id", F.concat_ws(".", "det_id", "label"))).alias("series_key")).distinct().withColumn("needed", F.lit(True))
@@ -97,7 +83,6 @@ def coverage(spark, d):
 
 def queries():
     return {
-        "s1_recipe_rows": lambda s, d: A.recipes(s),
         "j1_detector_series": _detected,
         "a1_label_or": lambda s, d: S.label_or(_detected(s, d)).drop("weight"),
         "a2_fused_scores": lambda s, d: _fused(s, d).withColumn("fused", F.round("fused", 6)),
@@ -107,8 +92,6 @@ def queries():
         "a3_category_diagnostics": _diagnosed,
         "o3_closest_categories": lambda s, d: S.closest(_diagnosed(s, d)),
         "a5_suggestion_coverage": coverage,
-        "p3_required_labels": required_labels,
-        "p4_scaled_thresholds": scaled_thresholds,
         "p5_needed_series": needed_series,
         "s2_rounded_series": rounded_series,
         "s2_packed_series": packed_series,
@@ -118,7 +101,6 @@ def queries():
 
 def oracle_sql():
     return {
-        "s1_recipe_rows": with_("recipes") + " SELECT category, enabled, threshold, CAST(pad_before_ms AS BIGINT) AS pad_before_ms, CAST(pad_after_ms AS BIGINT) AS pad_after_ms, CAST(max_duration_ms AS BIGINT) AS max_duration_ms, CAST(det_ord AS INTEGER) AS det_ord, det_id, weight, label FROM recipes",
         "j1_detector_series": _HEAD + " SELECT film_id, category, CAST(det_ord AS INTEGER) AS det_ord, weight, label, idx, value FROM det",
         "a1_label_or": _HEAD + " SELECT film_id, category, CAST(det_ord AS INTEGER) AS det_ord, idx, value FROM ored",
         "a2_fused_scores": _HEAD + " SELECT film_id, category, idx, round(fused, 6) AS fused FROM fused",
@@ -130,8 +112,6 @@ def oracle_sql():
         "a3_category_diagnostics": _HEAD + " SELECT * FROM diag",
         "o3_closest_categories": _HEAD + ", quiet AS (SELECT * FROM diag QUALIFY sum(suggestions) OVER (PARTITION BY film_id) = 0) SELECT film_id, row_number() OVER (PARTITION BY film_id ORDER BY round(peak - threshold, 6) DESC, category) AS nth, category, round(peak - threshold, 6) AS margin FROM quiet QUALIFY nth <= 3",
         "a5_suggestion_coverage": _HEAD + f" SELECT film_id, round(CAST(sum(end_ms - start_ms) AS BIGINT) * 100.0 / {FILM_TICKS * HOUR_MS}, 6) AS coverage_pct FROM merged GROUP BY film_id",
-        "p3_required_labels": with_("recipes") + " SELECT label, min(category) AS first_category, count(*) AS uses FROM recipes WHERE enabled AND det_id = 'event' AND label IS NOT NULL GROUP BY label",
-        "p4_scaled_thresholds": with_("recipes") + " SELECT category, CAST(sensitivity AS DOUBLE) AS sensitivity, round(least(greatest(threshold * least(greatest(1 / CAST(sensitivity AS DOUBLE), 0.25), 4.0), 0.0), 1.0), 6) AS threshold FROM (SELECT DISTINCT category, threshold FROM recipes) CROSS JOIN (VALUES (0.1), (1.0), (2.5)) v(sensitivity)",
         "p5_needed_series": with_("recipes", "series") + ", keys AS (SELECT det_id AS k FROM recipes WHERE enabled UNION SELECT det_id || coalesce('.' || label, '') FROM recipes WHERE enabled) SELECT series_key, count(*) AS n_ticks, series_key IN (SELECT k FROM keys) AS needed FROM series GROUP BY series_key",
         "s2_rounded_series": _HEAD + " SELECT film_id, category, idx, " + _ROUND3.format("fused") + " AS value FROM fused",
         "s2_packed_series": with_("series") + " SELECT film_id, series_key, count(*) AS n, string_agg(idx || ':' || CAST(round(CAST(round(CAST(round(value, 9) AS DECIMAL(20,9)), 3) AS DOUBLE) * 1000) AS BIGINT), ',' ORDER BY idx) AS packed FROM series GROUP BY ALL",

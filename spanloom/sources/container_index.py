@@ -244,8 +244,9 @@ def index_of(files: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                yield index_rows(path, BytesIO(content or b""))
+            parts = [index_rows(path, BytesIO(content or b"")) for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)]
+            if parts:
+                yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
 
     return files.select("path", "content").mapInArrow(work, SCHEMA)
 
