@@ -78,3 +78,8 @@ def content_key(size: Column, content: Column, head: int) -> Column:
     """SHA-1 over size, head and, where there is more, tail of a content."""
     tail = F.when(F.length(content) > 2 * head, F.right(content, F.lit(head))).otherwise("")
     return F.sha1(F.concat(size.cast("string"), F.substring(content, 1, head), tail))
+
+
+def utc_day(time: Column) -> Column:
+    """The day of a time in UTC as a number, such as 20240131; the session's zone must be UTC, as it is for all tables here."""
+    return F.date_format(time.cast("timestamp"), "yyyyMMdd").cast("int")

@@ -101,3 +101,14 @@ def jump_scores(loudness: DataFrame, rise: float = 12.0, quiet: float = -30.0, c
     fired = lists.select("film_id", "n", F.explode(kept).alias("h")).select("film_id", "n", F.col("h.idx").alias("at"), F.col("h.score").alias("score"))
     painted = fired.withColumn("idx", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("at") - 20), F.least(F.col("n"), F.col("at") + 15) - 1)))
     return painted.groupBy("film_id", "idx").agg(F.max("score").alias("score"))
+
+
+def label_columns(matrix: DataFrame, classes: DataFrame, wanted: DataFrame, prefix: str) -> DataFrame:
+    """Series of the wanted names from rows of class scores (film_id, idx, scores): film_id, series_key, idx, value.
+
+    A name is looked up in classes (idx, name) whatever its case; of classes of one name the last counts, names without a class and classes beyond a row's scores give nothing. The columns that are wanted are few by nature (there are
+    no more than classes); each row of scores is read once and gives just those."""
+    by_name = classes.groupBy(F.lower("name").alias("key")).agg(F.max("idx").alias("at"))
+    picked = wanted.select("name").distinct().join(by_name, F.lower("name") == F.col("key")).agg(F.array_sort(F.collect_list(F.struct("at", "name"))).alias("picked"))
+    rows = matrix.join(F.broadcast(picked))  # one row
+    return rows.select("film_id", "idx", "scores", F.explode("picked").alias("p")).where("p.at < size(scores)").select("film_id", F.concat(F.lit(prefix), F.col("p.name")).alias("series_key"), "idx", F.get("scores", F.col("p.at").cast("int")).cast("double").alias("value"))

@@ -103,11 +103,11 @@ def profile_layer(s, d):
 
 
 def profile_upsert(s, d):
-    """Two lists of profiles by source: those of the new list replace the old ones of the same id, if the sources agree."""
+    """Two lists of profiles by source: those of the new list replace the old ones of the same id, if the sources agree; source 0 stands for an unknown one, which agrees with all."""
     old = A.markers(s, d).where("status = 'confirmed'").select("film_id", (F.col("id") % 5).alias("profile"), F.lit(0).alias("new"), (F.col("id") % 3).alias("source"), "id")
     new = A.markers(s, d).where("status = 'pending'").select("film_id", (F.col("id") % 5).alias("profile"), F.lit(1).alias("new"), (F.col("id") % 3).alias("source"), "id")
     source = new.groupBy("film_id").agg(F.max_by("source", "id").alias("now"))
-    rows = old.unionByName(new).join(source, "film_id", "left").where("new = 1 OR now IS NULL OR source = now")
+    rows = old.unionByName(new).join(source, "film_id", "left").where("new = 1 OR now IS NULL OR source = now OR source = 0 OR now = 0")
     return rows.groupBy("film_id", "profile").agg(F.max_by("id", F.struct("new", "id")).alias("id"))
 
 
@@ -181,7 +181,7 @@ def oracle_sql():
         "p7_profile_pick": with_("markers") + f", {_PROFILES} SELECT film_id, arg_min(id, (CASE WHEN lower(id) = 'age-' || (film_id % 23) THEN 0 WHEN id = 'age-' || (film_id % 13) THEN 1 ELSE 2 END, min_age, id)) AS picked FROM profiles GROUP BY film_id",
         "o9_profile_order": with_("markers") + f", {_PROFILES} SELECT film_id, id, row_number() OVER (PARTITION BY film_id ORDER BY min_age, id) AS place FROM profiles",
         "p4_profile_layer": with_("markers") + f", {_PROFILES}, rules AS (SELECT film_id, category, floor(max(confidence) * 1000) / 1000 AS threshold FROM markers GROUP BY ALL) SELECT film_id, category, id AS profile, round(least(1.0, threshold * mul), 6) AS threshold FROM rules JOIN profiles USING (film_id)",
-        "j19_profile_upsert": with_("markers") + ", rows AS (SELECT film_id, id % 5 AS profile, CASE status WHEN 'pending' THEN 1 ELSE 0 END AS new, id % 3 AS source, id FROM markers WHERE status IN ('confirmed', 'pending')), src AS (SELECT film_id, arg_max(source, id) AS now FROM rows WHERE new = 1 GROUP BY film_id) SELECT r.film_id, r.profile, arg_max(r.id, (r.new, r.id)) AS id FROM rows r LEFT JOIN src USING (film_id) WHERE new = 1 OR now IS NULL OR source = now GROUP BY ALL",
+        "j19_profile_upsert": with_("markers") + ", rows AS (SELECT film_id, id % 5 AS profile, CASE status WHEN 'pending' THEN 1 ELSE 0 END AS new, id % 3 AS source, id FROM markers WHERE status IN ('confirmed', 'pending')), src AS (SELECT film_id, arg_max(source, id) AS now FROM rows WHERE new = 1 GROUP BY film_id) SELECT r.film_id, r.profile, arg_max(r.id, (r.new, r.id)) AS id FROM rows r LEFT JOIN src USING (film_id) WHERE new = 1 OR now IS NULL OR source = now OR source = 0 OR now = 0 GROUP BY ALL",
         "u6_marker_updates": with_("markers") + " SELECT film_id, id, start_ms, CASE WHEN id % 7 = 1 AND id % 3 > 0 THEN start_ms + id % 3 ELSE end_ms END AS end_ms, status FROM markers WHERE id % 7 <> 0",
         "u7_unsaved_changes": with_("markers") + " SELECT film_id, count(*) * 2 AS differences FROM markers WHERE id % 50 = 0 GROUP BY film_id",
     }

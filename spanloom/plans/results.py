@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import intervals as I
 from ..operators import results as R
 from ..operators import series as S
@@ -93,6 +94,20 @@ def suggestion_authors(s, d):
     return n.withColumn("nth", nth.cast("long")).where("nth <= 10").select("film_id", "place", "author", "frames", "nth")
 
 
+def label_columns(s, d):
+    """Vectors as rows of class scores; nations are the classes, of which the fifth ones share the name of the one before; customers' nations are wanted, and one name that no class has."""
+    e = table(s, d, "embeddings").select(F.col("label").cast("long").alias("film_id"), F.col("vec_id").alias("idx"), F.col("embedding").alias("scores"))
+    n = table(s, d, "nation")
+    name = F.when(F.col("n_nationkey") % 5 == 4, F.concat(F.lit("Class "), (F.col("n_nationkey") - 1).cast("string"))).otherwise(F.concat(F.lit("Class "), F.col("n_nationkey").cast("string")))
+    wanted = table(s, d, "customer").where("c_nationkey % 3 = 0").select(F.concat(F.lit("CLASS "), F.col("c_nationkey").cast("string")).alias("name")).distinct().unionByName(n.where("n_nationkey = 0").select(F.lit("no class").alias("name")))
+    return S.label_columns(e, n.select((F.col("n_nationkey") * 3).cast("long").alias("idx"), name.alias("name")), wanted, "audio.")
+
+
+def utc_days(s, d):
+    """Events of each day in UTC."""
+    return table(s, d, "events").groupBy(X.utc_day(F.col("ts")).alias("day_utc")).agg(F.count(F.lit(1)).alias("n"))
+
+
 #: Recipes of little sensitivity: half of the films and more get no suggestion.
 STRICT = [(*r[:2], 0.99, *r[3:]) for r in RECIPES]
 
@@ -119,6 +134,8 @@ def queries():
         "j2_frames_of_suggestions": frames_of_suggestions,
         "j3_suggestion_authors": suggestion_authors,
         "o3_closest_when_strict": closest_when_strict,
+        "p24_label_columns": label_columns,
+        "f_utc_days": utc_days,
     }
 
 
@@ -156,6 +173,8 @@ def oracle_sql():
         "p3_required_labels": f"WITH r AS ({_RECIPES}), u AS (SELECT name, label, position * 10 + CASE WHEN label = category THEN 1 ELSE 0 END AS ord FROM r WHERE det_id = 'det1' AND enabled AND label IS NOT NULL), m AS (SELECT name, label, min(ord) AS first FROM u GROUP BY ALL) SELECT name, label, row_number() OVER (PARTITION BY name ORDER BY first) - 1 AS place FROM m",
         "p4_scaled_thresholds": f"WITH r AS ({_RECIPES}), u AS (SELECT DISTINCT name, position, category, threshold FROM r WHERE error IS NULL) SELECT name, position, category, CAST(sensitivity AS DOUBLE) AS sensitivity, round(least(greatest(threshold * least(greatest(1 / CAST(sensitivity AS DOUBLE), 0.25), 4.0), 0.0), 1.0), 6) AS threshold FROM u CROSS JOIN (VALUES (0.1), (1.0), (2.5)) v(sensitivity)",
         "s3_result_documents": with_("markers") + ", " + _RESULTS,
+        "p24_label_columns": "WITH c AS (SELECT n_nationkey * 3 AS idx, 'class ' || CASE WHEN n_nationkey % 5 = 4 THEN n_nationkey - 1 ELSE n_nationkey END AS name FROM nation), w AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_nationkey % 3 = 0), p AS (SELECT 'CLASS ' || k AS name, max(idx) AS place FROM w JOIN c ON c.name = 'class ' || k GROUP BY 1) SELECT CAST(label AS BIGINT) AS film_id, 'audio.' || name AS series_key, vec_id AS idx, CAST(embedding[place + 1] AS DOUBLE) AS value FROM embeddings CROSS JOIN p WHERE place < len(embedding)",
+        "f_utc_days": "SELECT CAST(strftime(ts, '%Y%m%d') AS INTEGER) AS day_utc, count(*) AS n FROM events GROUP BY 1",
         "s19_loudness_log": "WITH e AS (SELECT user_id AS file, event_id AS seq, round(floor(value * 10) / 10 - 120, 1) AS m, event_id % 11 AS k FROM events WHERE event_id % 11 NOT IN (0, 3)) SELECT file, row_number() OVER (PARTITION BY file ORDER BY seq) - 1 AS idx, CAST(CASE WHEN k IN (1, 2) OR m < -120 THEN -120 ELSE m END AS DOUBLE) AS momentary, CAST(-120 AS DOUBLE) AS short_term FROM e",
         "w2_merged_reasons": _REASONED + " SELECT film_id, category, start_ms, end_ms, score, array_to_string(reasons, '|') AS reasons, place FROM placed",
         "p22_pending_markers": _REASONED + " SELECT film_id, place, start_ms, end_ms, category, array_to_string(reasons, ' · ') AS note, 'suggested' AS source, 'pending' AS status, score AS confidence FROM placed",

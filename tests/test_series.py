@@ -80,3 +80,11 @@ def test_jump_scores(spark):
 def test_resample_holds_the_last_value(spark):
     got = S.resample(series(spark, x=[0.1, 0.2]), 100, 50, 6).orderBy("idx").select(F.collect_list("value")).first()[0]
     assert got == [0.1, 0.1, 0.2, 0.2, 0.2, 0.2]
+
+
+def test_label_columns(spark):
+    matrix = spark.createDataFrame([(1, 0, [0.5, 0.25, 1.0]), (1, 1, [0.125]), (2, 0, None)], "film_id int, idx long, scores array<float>")
+    classes = spark.createDataFrame([(0, "Dog"), (1, "cat"), (2, "dog")], "idx long, name string")
+    wanted = spark.createDataFrame([("DOG",), ("Cat",), ("bird",), ("Cat",)], "name string")
+    got = sorted(tuple(r) for r in S.label_columns(matrix, classes, wanted, "a.").collect())
+    assert got == [(1, "a.Cat", 0, 0.25), (1, "a.DOG", 0, 1.0)]
