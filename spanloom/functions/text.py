@@ -59,9 +59,9 @@ def keyword_ticks(segments: DataFrame, keywords: list[str], tick_ms: int) -> Dat
 
 
 def output_name(path: Column, age: Column) -> Column:
-    """`stem CUT-age.ext`, split at the last dot; no age, no suffix."""
+    """`stem CENSORED-age.ext`, split at the last dot; no age, no suffix."""
     suffix = F.when(age > 0, F.concat(F.lit("-"), age.cast("string"))).otherwise("")
-    return F.concat(F.regexp_extract(path, r"^(.*?)(\.[^.]*)?$", 1), F.lit(" CUT"), suffix, F.regexp_extract(path, r"^(.*?)(\.[^.]*)?$", 2))
+    return F.concat(F.regexp_extract(path, r"^(.*?)(\.[^.]*)?$", 1), F.lit(" CENSORED"), suffix, F.regexp_extract(path, r"^(.*?)(\.[^.]*)?$", 2))
 
 
 def uri_path(uri: Column) -> Column:
@@ -83,3 +83,29 @@ def content_key(size: Column, content: Column, head: int) -> Column:
 def utc_day(time: Column) -> Column:
     """The day of a time in UTC as a number, such as 20240131; the session's zone must be UTC, as it is for all tables here."""
     return F.date_format(time.cast("timestamp"), "yyyyMMdd").cast("int")
+
+
+def bare_name(name: Column) -> Column:
+    """Whether a name may stand in a concat list: not empty and no path."""
+    return F.coalesce((name != "") & ~name.contains("/") & ~name.contains("\\") & ~name.rlike("^[A-Za-z]:"), F.lit(False))
+
+
+def seconds(ms: Column) -> Column:
+    """Milliseconds as seconds with the decimals they need, three at most."""
+    return F.regexp_replace(F.format_string("%d.%03d", F.floor(ms / 1000), ms % 1000), r"\.?0+$", "")
+
+
+def concat_scripts(plan: DataFrame, media: DataFrame) -> DataFrame:
+    """film_id, script, error: concat lists of plans (film_id, kind, start_ms, end_ms; times are not negative) over media (film_id, name): rendered entries name a file of their own, `<start>-<end>.ts`, others are ranges of the film's.
+
+    Entries that don't last are left out; a film whose name is no bare name has the error `name` and no script, one without entries has only the head."""
+    rendered = F.col("kind") == "rendered"
+    file = F.when(rendered, F.concat(F.col("start_ms").cast("string"), F.lit("-"), F.col("end_ms").cast("string"), F.lit(".ts"))).otherwise(F.col("name"))
+    line = lambda key, ms: F.concat(F.lit(f"{key} "), seconds(ms), F.lit("\n"))
+    ends = F.when(rendered, "").otherwise(F.concat(line("inpoint", F.col("start_ms")), line("outpoint", F.col("end_ms"))))
+    block = F.concat(F.lit("file "), quoted(file), F.lit("\n"), ends, line("duration", F.col("end_ms") - F.col("start_ms")))
+    blocks = plan.where("end_ms > start_ms").join(media, "film_id").select("film_id", "start_ms", "end_ms", block.alias("block"))
+    lists = blocks.groupBy("film_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "block"))), lambda x: x["block"]), "").alias("body"))
+    good = bare_name(F.col("name"))
+    script = F.when(good, F.concat(F.lit("ffconcat version 1.0\n"), F.coalesce("body", F.lit(""))))
+    return media.join(lists, "film_id", "left").select("film_id", script.alias("script"), F.when(~good, "name").alias("error"))

@@ -153,7 +153,11 @@ class PackStore:
         new = judged.groupBy(F.col("p.film_id").alias("bucket"), F.col("p.author_pubkey").alias("author")).agg(F.max_by(F.struct(F.col("p.created_utc").alias("created_utc"), "raw"), "arrival").alias("b"))
         new = new.select("author", "b.created_utc", "b.raw", "bucket")
         kept = self.raw().join(new.select("bucket", "author"), ["bucket", "author"], "left_anti").select(*new.columns)
-        whole, failed = kept.unionByName(new), None
+        return self._write(kept.unionByName(new))
+
+    def _write(self, whole: DataFrame) -> tuple[str, bool]:
+        """A new version of all rows in the first place that takes it."""
+        failed = None
         for folder in filter(None, (self.folder, self.fallback)):
             version = f"v-{uuid.uuid4().hex}"
             try:
@@ -177,3 +181,13 @@ class PackStore:
         options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
         options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(aside, target, options)
+
+
+def repository_report(packs: DataFrame) -> DataFrame:
+    """What a check of a repository reports of packs (film_id, malformed, signed, allowed): a row with a null film_id for all, with total, malformed, unsigned, not_allowed and films, and one for each film with its packs as total.
+
+    Malformed packs belong to no film and are neither unsigned nor out of the list; flags that are null count as false."""
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    rows = packs.select(F.when(~flag("malformed"), F.col("film_id")).alias("film_id"), flag("malformed").alias("malformed"), *((~flag("malformed") & ~flag(c)).alias(c) for c in ("signed", "allowed")))
+    out = rows.rollup("film_id").agg(F.grouping("film_id").alias("all"), F.count(F.lit(1)).alias("total"), F.count_if("malformed").alias("malformed"), F.count_if("signed").alias("unsigned"), F.count_if("allowed").alias("not_allowed"), F.count_distinct("film_id").alias("films"))
+    return out.where("all = 1 OR film_id IS NOT NULL").drop("all")

@@ -139,7 +139,7 @@ def oracle_sql():
         "s7_srt_write": srt + f" SELECT film_id, string_agg(k || chr(13) || chr(10) || {_clock('start_ms')} || ' --> ' || {_clock('end_ms')} || chr(13) || chr(10) || regexp_replace(text, '\\r?\\n', chr(13) || chr(10), 'g') || chr(13) || chr(10) || chr(13) || chr(10), '' ORDER BY k) AS srt FROM n GROUP BY film_id",
         "s6_srt_round_trip": with_("subtitles") + " SELECT film_id, start_ms, end_ms, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS n FROM subtitles WHERE end_ms > start_ms",
         "j20_keyword_ticks": with_("subtitles") + f", h AS ({ticks}) SELECT DISTINCT film_id, keyword, CAST(idx AS BIGINT) AS idx FROM (SELECT film_id, keyword, unnest(range(start_ms // 1000, end_ms // 1000)) AS idx FROM h)",
-        "p_output_names": "WITH p AS (SELECT p_partkey, '/films/' || replace(p_brand, '#', '''') || '.' || p_size || '.mkv' AS path, p_size FROM part) SELECT p_partkey, path[:-5] || ' CUT' || CASE WHEN p_size % 3 > 0 THEN '-' || (p_size % 3) ELSE '' END || '.mkv' AS output, '''' || replace(path, '''', '''\\''''') || '''' AS quoted, CASE WHEN p_partkey % 2 = 0 THEN '/a b+' || p_partkey ELSE path END AS decoded FROM p",
+        "p_output_names": "WITH p AS (SELECT p_partkey, '/films/' || replace(p_brand, '#', '''') || '.' || p_size || '.mkv' AS path, p_size FROM part) SELECT p_partkey, path[:-5] || ' CENSORED' || CASE WHEN p_size % 3 > 0 THEN '-' || (p_size % 3) ELSE '' END || '.mkv' AS output, '''' || replace(path, '''', '''\\''''') || '''' AS quoted, CASE WHEN p_partkey % 2 = 0 THEN '/a b+' || p_partkey ELSE path END AS decoded FROM p",
         "p_clock_times": with_("keyframes") + f" SELECT film_id, t_ms, {_clock('t_ms')} AS srt, format('{{:d}}:{{:02d}}:{{:02d}}', t_ms // 3600000, t_ms // 60000 % 60, t_ms // 1000 % 60) AS clock FROM keyframes",
         "s4_content_keys": "SELECT doc_id, sha1(length(text) || text[1:1048576] || CASE WHEN length(text) > 2097152 THEN right(text, 1048576) ELSE '' END) AS key FROM documents",
         "s11_truncated_tail": "SELECT CAST(conv_id AS BIGINT) AS file, CAST(turn AS BIGINT) AS seq FROM conversations QUALIFY sum(strlen(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) <= 2000",

@@ -310,7 +310,7 @@ def test_srt(spark):
 
 def test_names_and_keywords(spark):
     df = spark.createDataFrame([("a.b/film.one.mkv", 7), ("plain", 0)], "p string, age int").select(X.output_name(F.col("p"), F.col("age")).alias("o"))
-    assert [r.o for r in df.collect()] == ["a.b/film.one CUT-7.mkv", "plain CUT"]
+    assert [r.o for r in df.collect()] == ["a.b/film.one CENSORED-7.mkv", "plain CENSORED"]
     seg = spark.createDataFrame([(1, 0, 250, "The Cat's here"), (1, 300, 400, "scatter")], "film_id long, start_ms long, end_ms long, text string")
     got = sorted((r.keyword, r.idx) for r in X.keyword_ticks(seg, ["cat", "cat's", "the"], 100).collect())
     assert got == [("cat", 0), ("cat", 1), ("cat's", 0), ("cat's", 1), ("the", 0), ("the", 1)]
