@@ -77,6 +77,26 @@ def _element(name: int, *parts):
     return P.let(F.concat(*parts), lambda body: F.concat(F.lit(f"{name:x}"), F.lit("01"), F.lpad(F.hex((F.length(body) / 2).cast("long")), 14, "0"), body))
 
 
+def _chunk(name: str, *parts):
+    """A chunk of AVI in hex; bodies here are of even length."""
+    return P.let(F.concat(*parts), lambda body: F.concat(F.lit(name.encode().hex()), _little(F.length(body) / 2), body))
+
+
+def _little(x):
+    """A number in hex, its lowest byte first."""
+    return P.let(_u32(x), lambda h: F.concat(*(F.substring(h, k, 2) for k in (7, 5, 3, 1))))
+
+
+def container_keyframes_avi(s, d):
+    """Orders as AVI files: a chunk for each line, of sound where its part is divisible by four, else of video, a keyframe where its supplier is even; frames last as many 1,200ths of a second as the order has lines, and 40 more."""
+    o = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey"))).alias("x"))
+    entry = lambda x: F.concat(F.when(x["l_partkey"] % 4 == 0, b"01wb".hex()).otherwise(b"00dc".hex()), _little((1 - x["l_suppkey"] % 2) * C.KEYFRAME_FLAG), F.lit("00" * 8))
+    stream = _chunk("LIST", F.lit(b"strl".hex()), _chunk("strh", F.lit((b"vids" + bytes(16)).hex()), _little(F.size("x") + 40), _little(F.lit(1200)), F.lit("00" * 20)))
+    whole = F.concat(_chunk("LIST", F.lit(b"hdrl".hex()), stream), _chunk("LIST", F.lit(b"movi".hex()), F.repeat(F.lit("00"), F.lit(500))), _chunk("idx1", F.array_join(F.transform("x", entry), "")))
+    raw = F.unhex(F.concat(F.lit(b"RIFF".hex()), F.lit("00" * 4), F.lit(b"AVI ".hex()), whole))
+    return C.keyframe_times(written(C.index_of(o.select(F.col("k").cast("string").alias("path"), raw.alias("content"))), "index"))
+
+
 def container_keyframes(s, d):
     """Orders as media files, their lines as runs of samples or as cues; every fifth sample is a keyframe, and cues of odd lines are of another track."""
     lines = table(s, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.struct("l_linenumber", "l_suppkey", "l_partkey", F.col("l_quantity").cast("long").alias("n"), (F.col("l_partkey") % 97).alias("delta")).alias("x"))
@@ -94,7 +114,7 @@ def container_keyframes(s, d):
 
 
 def queries():
-    return {"s17_container_keyframes": container_keyframes, "p_pixel_hashes": pixel_hashes, "fp_v9_verdicts": peak_verdicts, "fp_dispatch": dispatched, "j16_pulled_packs": pulled_packs}
+    return {"s17_container_keyframes": container_keyframes, "s17_avi_keyframes": container_keyframes_avi, "p_pixel_hashes": pixel_hashes, "fp_v9_verdicts": peak_verdicts, "fp_dispatch": dispatched, "j16_pulled_packs": pulled_packs}
 
 
 _KF = with_("keyframes", recursive=True) + ", kf AS (SELECT DISTINCT film_id, t_ms // 1000 AS t_ms FROM keyframes), gaps AS (SELECT film_id, t_ms, t_ms - lag(t_ms) OVER (PARTITION BY film_id ORDER BY t_ms) AS gap FROM kf), lists AS (SELECT film_id, list(t_ms ORDER BY t_ms) AS times FROM kf GROUP BY film_id)"
@@ -139,6 +159,9 @@ def oracle_sql():
           samples AS (SELECT k, first + j AS nth, ticks + j * delta AS ticks FROM (SELECT *, unnest(range(n)) AS j FROM runs))
           SELECT CAST(k AS VARCHAR) AS path, CAST(ticks * 1000 // 90 AS BIGINT) AS t_ms FROM samples WHERE nth % 5 = 0
           UNION ALL SELECT CAST(k AS VARCHAR), (n * 100 + delta) * 500000 // 1000000 FROM x WHERE k % 2 = 1 AND l_linenumber % 2 = 0""",
+        "s17_avi_keyframes": """WITH v AS (SELECT l_orderkey AS k, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+          f AS (SELECT k, n, l_suppkey, row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS frame FROM v WHERE l_partkey % 4 <> 0)
+          SELECT CAST(k AS VARCHAR) AS path, CAST(frame * 1000 * (n + 40) // 1200 AS BIGINT) AS t_ms FROM f WHERE l_suppkey % 2 = 0""",
         "fp_v9_verdicts": _KF + _PQ + " SELECT film_id AS pair_id, outcome, gaps, gaps_same, hashes, hashes_same, trim, same FROM peaks",
         "fp_dispatch": _KF
         + _PQ

@@ -1,7 +1,7 @@
 """Where keyframes lie, from the indexes of media containers: a data source that reads nothing but the index, and the times it gives.
 
 The source flattens an index to rows; what they mean is left to joins and windows. MP4: the video track's `scale`, its `run`s of sample durations (a samples of b ticks) and its `sync` samples (a, from 1). Matroska: `scale` (nanoseconds a tick)
-and the `cue`s of the video track (a ticks; all cues where no track is told to be video). A file that is neither, is cut short or has no index gives one row `none`. `read` is the number of bytes that were read.
+and the `cue`s of the video track (a ticks; all cues where no track is told to be video). AVI: the first video stream's `rate` (a frames in b seconds) and the `frame`s that the index flags as keyframes (a, from 0, of all video chunks). A file that is none of them, is cut short or has no index gives one row `none`. `read` is the number of bytes that were read.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ SCHEMA = "path string, container string, kind string, ord long, a long, b long,
 EBML, SEGMENT, SEEK_HEAD, SEEK, SEEK_ID, SEEK_AT = 0x1A45DFA3, 0x18538067, 0x114D9B74, 0x4DBB, 0x53AB, 0x53AC
 INFO, SCALE, TRACKS, TRACK, TRACK_NUMBER, TRACK_TYPE, VIDEO = 0x1549A966, 0x2AD7B1, 0x1654AE6B, 0xAE, 0xD7, 0x83, 1
 CUES, CUE, CUE_TIME, CUE_PLACE, CUE_TRACK, CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0x1F43B675
+#: Fixed values of AVI: the flag of a keyframe, the chunks that are video, the most frames a second that are believed.
+KEYFRAME_FLAG, VIDEO_CHUNKS, MOST_RATE = 0x10, (b"dc", b"db"), 1000
 MOST_INDEX = 256 << 20
 
 
@@ -183,6 +185,37 @@ def _matroska(file: _Counted) -> list[tuple[str, np.ndarray]]:
     return [("scale", np.array([[int.from_bytes(scale, "big") if scale else 1_000_000, 0]])), ("cue", np.array(times, np.int64).reshape(-1, 2))]
 
 
+def _riff(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """Chunks of a body, as name and body, a list by the name of its type; what is cut short ends it."""
+    at = 0
+    while at + 8 <= len(data):
+        name, size = struct.unpack_from("<4sI", data, at)
+        body = data[at + 8 : at + 8 + size]
+        yield (body[:4], body[4:]) if name == b"LIST" else (name, body)
+        at += 8 + size + size % 2
+
+
+def _avi(file: _Counted) -> list[tuple[str, np.ndarray]]:
+    """Rows of the stream headers and the index: chunk after chunk is skipped by its length until both are there."""
+    at, rate, index = 12, None, None
+    while (rate is None or index is None) and len(head := file.at(at, 12)) >= 8:
+        name, size = struct.unpack_from("<4sI", head)
+        if name == b"LIST" and head[8:] == b"hdrl":
+            headers = (body for kind, stream in _riff(file.at(at + 12, size - 4)) if kind == b"strl" for k, body in _riff(stream) if k == b"strh" and len(body) >= 32)
+            rate = next((struct.unpack_from("<II", h, 20) for h in headers if h[:4] == b"vids"), rate)
+        elif name == b"idx1":
+            index = file.at(at + 8, size)
+        at += 8 + size + size % 2
+    if rate is None or index is None:
+        return []
+    scale, per = rate
+    if not 0 < per <= MOST_RATE * scale:
+        return []
+    entries = np.frombuffer(index, [("stream", "S2"), ("kind", "S2"), ("flags", "<u4"), ("place", "<u4"), ("size", "<u4")], len(index) // 16)
+    video = entries[np.isin(entries["kind"], VIDEO_CHUNKS)]
+    return [("rate", np.array([[per, scale]])), ("frame", np.pad(np.flatnonzero(video["flags"] & KEYFRAME_FLAG)[:, None], ((0, 0), (0, 1))))]
+
+
 def index_rows(path: str, file: BinaryIO) -> pa.RecordBatch:
     """The rows of one file's index."""
     counted, container, parts = _Counted(file), "unknown", []
@@ -192,6 +225,8 @@ def index_rows(path: str, file: BinaryIO) -> pa.RecordBatch:
             container, parts = "matroska", _matroska(counted)
         elif head[4:8] in (b"ftyp", b"moov", b"free", b"skip", b"mdat"):
             container, parts = "mp4", _mp4(counted)
+        elif head[:4] == b"RIFF" and head[8:12] == b"AVI ":
+            container, parts = "avi", _avi(counted)
     except (ValueError, IndexError, struct.error):
         parts = []
     parts = parts or [("none", np.zeros((1, 2), np.int64))]
@@ -264,4 +299,6 @@ def keyframe_times(index: DataFrame) -> DataFrame:
     placed = both.withColumn("run", F.last("run", ignorenulls=True).over(W.partitionBy("path").orderBy("at", "sync"))).where("sync = 1 AND at < run.first + run.a")
     mp4 = placed.select("path", (F.col("run.ticks") + (F.col("at") - F.col("run.first")) * F.col("run.b")).alias("ticks")).join(scale, "path").select("path", F.expr("(ticks * 1000) div scale").alias("t_ms"))
     cues = index.where("kind = 'cue'").select("path", F.col("a").alias("ticks")).join(scale, "path").select("path", F.expr("(ticks * scale) div 1000000").alias("t_ms"))
-    return mp4.unionByName(cues)
+    rate = index.where("kind = 'rate'").select("path", F.col("a").alias("rate"), F.col("b").alias("scale"))
+    frames = index.where("kind = 'frame'").select("path", "a").join(rate, "path").select("path", F.expr("(a * 1000 * scale) div rate").alias("t_ms"))
+    return mp4.unionByName(cues).unionByName(frames)

@@ -42,6 +42,20 @@ def matroska(body, cues, scale=1_000_000, tracks=((1, 2), (2, 1)), seek=True):
     return element(C.EBML, b"\x42\x86\x81\x01") + element(C.SEGMENT, head(front) + info + kinds + cluster + index)
 
 
+def chunk(name, *parts):
+    body = b"".join(parts)
+    return struct.pack("<4sI", name, len(body)) + body + bytes(len(body) % 2)
+
+
+def avi(body, streams, entries, index=True):
+    """streams: (type, scale, rate); entries: (name, is a keyframe)."""
+    lists = [chunk(b"LIST", b"strl", chunk(b"strn", b"odd"), chunk(b"strh", kind, bytes(16), struct.pack("<II", scale, rate), bytes(20))) for kind, scale, rate in streams]
+    whole = chunk(b"LIST", b"hdrl", chunk(b"avih", bytes(56)), *lists) + chunk(b"LIST", b"movi", bytes(body))
+    if index:
+        whole += chunk(b"idx1", *(struct.pack("<4sIII", n, 0x10 if key else 0, 4, 9) for n, key in entries))
+    return b"RIFF" + struct.pack("<I", len(whole) + 4) + b"AVI " + whole
+
+
 def plain(runs, syncs, scale):
     starts, now = [], 0
     for n, d in runs:
@@ -57,21 +71,24 @@ def test_planted_files(spark, tmp_path):
     total = sum(n for n, _ in runs)
     syncs = sorted(r.sample(range(1, total + 1), 50)) + [total + 5]
     sound, film = track(b"soun", 48_000, [(5, 1)], [1, 2]), track(b"vide", 90_000, runs, syncs)
+    chunks = [(r.choice([b"00dc", b"00db", b"01wb", b"ix00", b"02dc"]), r.random() < 0.3) for _ in range(150)]
+    video = [key for name, key in chunks if name[2:] in (b"dc", b"db")]
     files = {
         "a.mp4": mp4(1 << 20, sound, film), "wide.mp4": mp4(1 << 20, film, wide=True), "v1.mp4": mp4(10, track(b"vide", 600, [(3, 20)], [1, 3], 1)), "sound.mp4": mp4(10, sound), "cut.mp4": mp4(1 << 20, film)[:-9000],
-        "b.mkv": matroska(1 << 20, [(5, [2]), (7, [1]), (9, [1, 2])], 2_000_000), "none.mkv": matroska(10, [(5, [1]), (3, [7])], tracks=[(1, 2)]), "noseek.mkv": matroska(100, [(5, [2])], seek=False), "text": b"no container at all", "empty": b"",
+        "b.mkv": matroska(1 << 20, [(5, [2]), (7, [1]), (9, [1, 2])], 2_000_000), "none.mkv": matroska(10, [(5, [1]), (3, [7])], tracks=[(1, 2)]), "noseek.mkv": matroska(100, [(5, [2])], seek=False), "c.avi": avi((1 << 20) + 1, [(b"auds", 1, 8), (b"vids", 1001, 30_000)], chunks), "noindex.avi": avi(99, [(b"vids", 1, 25)], [], False), "sound.avi": avi(9, [(b"auds", 1, 25)], chunks), "fast.avi": avi(9, [(b"vids", 1, 1001)], chunks), "still.avi": avi(9, [(b"vids", 1, 0)], chunks), "cut.avi": avi(9, [(b"vids", 1, 25)], [(b"00dc", True)] * 2)[:-7],
+        "text": b"no container at all", "empty": b"",
     }
     for name, content in files.items():
         (tmp_path / name).write_bytes(content)
     spark.dataSource.register(C.ContainerIndex)
     index = spark.read.format("container_index").option("filesPerPartition", "3").load(str(tmp_path))
     rows = index.collect()
-    assert index.rdd.getNumPartitions() == 4
+    assert index.rdd.getNumPartitions() == 6
     at = {name: sorted(x.t_ms for x in C.keyframe_times(index).collect() if x.path.endswith(f"/{name}")) for name in files}
     want = plain(runs, syncs, 90_000)
-    assert at == {"a.mp4": want, "wide.mp4": want, "v1.mp4": [0, 66], "sound.mp4": [], "cut.mp4": [], "b.mkv": [10, 18], "none.mkv": [3, 5], "noseek.mkv": [], "text": [], "empty": []}
+    assert at == {"a.mp4": want, "wide.mp4": want, "v1.mp4": [0, 66], "sound.mp4": [], "cut.mp4": [], "b.mkv": [10, 18], "none.mkv": [3, 5], "noseek.mkv": [], "c.avi": [k * 1000 * 1001 // 30_000 for k, key in enumerate(video) if key], "noindex.avi": [], "sound.avi": [], "fast.avi": [], "still.avi": [], "cut.avi": [0], "text": [], "empty": []}
     read = {x.path.rsplit("/", 1)[1]: x.read for x in rows}
-    assert all(read[n] < 4000 for n in ("a.mp4", "wide.mp4", "b.mkv"))
-    assert {x.path.rsplit("/", 1)[1] for x in rows if x.kind == "none"} == {"sound.mp4", "cut.mp4", "noseek.mkv", "text", "empty"}
+    assert all(read[n] < 4000 for n in ("a.mp4", "wide.mp4", "b.mkv", "c.avi"))
+    assert {x.path.rsplit("/", 1)[1] for x in rows if x.kind == "none"} == {"sound.mp4", "cut.mp4", "noseek.mkv", "noindex.avi", "sound.avi", "fast.avi", "still.avi", "text", "empty"}
     again = C.index_of(spark.createDataFrame([(n, bytearray(c)) for n, c in files.items()] + [("null", None)], "path string, content binary"))
     assert sorted((x.kind, x.ord, x.a, x.b) for x in again.where("path <> 'null'").collect()) == sorted((x.kind, x.ord, x.a, x.b) for x in rows)
