@@ -150,6 +150,9 @@ def _subset(short: pd.Series, long: pd.Series) -> pd.DataFrame:
     """The offset under which most of the short list is found in order in the long one; offsets as the first time's to the first PROBES, and where there are any, the last time's to the last PROBES. None within MOST_TRIM: 0, 0."""
     out = []
     for a, b in zip(short, long, strict=True):
+        if a is None:
+            out.append((0, 0))
+            continue
         starts = [o for o in (b[:PROBES] - a[0]).tolist() if abs(o) <= MOST_TRIM]
         ends = [o for o in (b[::-1][:PROBES] - a[-1]).tolist() if abs(o) <= MOST_TRIM] if starts else []
         offsets = np.array(list(dict.fromkeys(starts + ends)), np.int64)
@@ -163,6 +166,9 @@ def _slid(short: pd.Series, long: pd.Series) -> pd.DataFrame:
     """The place in the long list at which most gaps of the short one agree, the first of equals, and the offset of the times there."""
     out = []
     for a, b in zip(short, long, strict=True):
+        if a is None:
+            out.append((0, 0, 0))
+            continue
         gaps, others = np.diff(a), np.diff(b)
         agree = np.array([np.count_nonzero(np.abs(gaps - others[k : k + len(gaps)]) <= GAP_OFF) for k in range(len(others) - len(gaps) + 1)])
         k = int(agree.argmax())
@@ -170,10 +176,10 @@ def _slid(short: pd.Series, long: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["shift", "matched", "offset"])
 
 
-def _aligned(by_gaps: bool) -> Column:
-    """matched and offset of short and long; not deterministic for the optimizer, so that filters don't evaluate it again."""
+def _aligned(by_gaps: bool, ready: Column) -> Column:
+    """matched and offset of short and long where they are ready, else zeros; not deterministic for the optimizer, so that filters don't evaluate it again."""
     work, fields = (_slid, "shift long, matched long, offset long") if by_gaps else (_subset, "offset long, matched long")
-    return F.pandas_udf(work, fields).asNondeterministic()("short", "long")
+    return F.pandas_udf(work, fields).asNondeterministic()(F.when(ready, F.col("short")), F.when(ready, F.col("long")))
 
 
 def _hashes(offset: Column) -> Column:
@@ -192,11 +198,11 @@ def subset_verdicts(pairs: DataFrame) -> DataFrame:
     """pair_id, outcome, matched, fraction, trim (b's time less a's), same of pairs (pair_id, a, b) of struct<times, ...> (version 12): the shorter list must stand in the longer one, in order, after one shift.
 
     Fewer than 30 times on a side are insufficient; null lists count as empty."""
-    rows = _sides(pairs)
-    enough = rows.where(F.size("short") >= LEAST_TIMES).withColumn("x", _aligned(False))
-    out = enough.select("pair_id", "x.matched", F.round(F.col("x.matched") / F.size("short"), 6).alias("fraction"), F.when(F.col("a_short"), F.col("x.offset")).otherwise(-F.col("x.offset")).alias("trim"))
-    few = rows.where(F.size("short") < LEAST_TIMES).select("pair_id", F.lit("insufficient").alias("outcome"), F.lit(0).cast("long").alias("matched"), F.lit(0.0).alias("fraction"), F.lit(0).cast("long").alias("trim"), F.lit(False).alias("same"))
-    return out.select("pair_id", F.lit("compared").alias("outcome"), "matched", "fraction", "trim", (F.col("fraction") >= SUBSET_SHARE).alias("same")).unionByName(few)
+    ready = F.size("short") >= LEAST_TIMES
+    out = _sides(pairs).withColumn("x", _aligned(False, ready))
+    fraction = F.when(ready, F.round(F.col("x.matched") / F.size("short"), 6)).otherwise(0.0)
+    trim = F.when(F.col("a_short"), F.col("x.offset")).otherwise(-F.col("x.offset"))
+    return out.select("pair_id", F.when(ready, "compared").otherwise("insufficient").alias("outcome"), "x.matched", fraction.alias("fraction"), trim.alias("trim"), (fraction >= SUBSET_SHARE).alias("same"))
 
 
 def hashed_verdicts(pairs: DataFrame, by_gaps: bool) -> DataFrame:
@@ -204,18 +210,15 @@ def hashed_verdicts(pairs: DataFrame, by_gaps: bool) -> DataFrame:
 
     First times are put in line: as a subset in order (version 13; trim is b's time less a's), or by_gaps, by the gaps of the shorter list slid along the longer one's (version 14, of times without cadence; trim is a's time less
     b's). Where 0.55 of them agree, anchors are met after the shift, and 0.40 of those that meet must have close hashes. Null lists count as empty, null or empty hashes are not compared, ones that are not 16 hex digits are not close."""
-    rows = _sides(pairs)
-    ready = (F.size("short") >= LEAST_TIMES) & (F.coalesce(F.size("a.anchors"), F.lit(0)) > 0) & (F.coalesce(F.size("b.anchors"), F.lit(0)) > 0)
-    timed = rows.where(ready).withColumn("x", _aligned(by_gaps))
+    some = lambda side: F.coalesce(F.size(f"{side}.anchors"), F.lit(0)) > 0
+    ready = (F.size("short") >= LEAST_TIMES) & some("a") & some("b")
     n = F.size("short") - (1 if by_gaps else 0)
-    timed = timed.withColumn("forth", F.when(F.col("a_short"), F.col("x.offset")).otherwise(-F.col("x.offset"))).withColumn("fraction", F.round(F.col("x.matched") / n, 6))
+    timed = _sides(pairs).withColumn("x", _aligned(by_gaps, ready)).withColumn("fraction", F.when(ready, F.round(F.col("x.matched") / n, 6)).otherwise(0.0))
+    timed = timed.withColumn("forth", F.when(F.col("a_short"), F.col("x.offset")).otherwise(-F.col("x.offset")))
     on_time = F.col("fraction") >= TIMING_SHARE
     timed = timed.withColumn("h", F.when(on_time, _hashes(F.col("forth"))))
-    zero = F.lit(0).cast("long")
-    close, compared = F.coalesce("h.close", zero), F.coalesce("h.compared", zero)
-    out = timed.select(
-        "pair_id", F.when(on_time, "compared").otherwise("timing").alias("outcome"), "x.matched", "fraction", compared.alias("compared"), close.alias("close"),
+    close, compared = (F.coalesce(c, F.lit(0).cast("long")) for c in ("h.close", "h.compared"))
+    return timed.select(
+        "pair_id", F.when(on_time, "compared").when(ready, "timing").otherwise("insufficient").alias("outcome"), "x.matched", "fraction", compared.alias("compared"), close.alias("close"),
         (-F.col("forth") if by_gaps else F.col("forth")).alias("trim"), (on_time & (compared > 0) & (close >= HASH_SHARE * compared)).alias("same"),
     )
-    few = rows.where(~ready).select("pair_id", F.lit("insufficient").alias("outcome"), zero.alias("matched"), F.lit(0.0).alias("fraction"), zero.alias("compared"), zero.alias("close"), zero.alias("trim"), F.lit(False).alias("same"))
-    return out.unionByName(few)
