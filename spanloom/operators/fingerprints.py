@@ -211,6 +211,14 @@ def nearest_time(targets: DataFrame, times: DataFrame) -> DataFrame:
     return rows.where("is_target = 1").select("film_id", F.col("t").alias("target"), pick.alias("nearest"))
 
 
+def ladder(rungs: DataFrame, least: int = 10) -> DataFrame:
+    """film_id, rung, t_ms of the one rung (film_id, rung, t_ms) of each film that counts: the first with `least` times or more, else the longest, the first of equals. The numbers of rows choose it, so that no list is gathered."""
+    enough = F.col("n") >= least
+    sizes = rungs.groupBy("film_id", "rung").agg(F.count(F.lit(1)).alias("n"))
+    best = sizes.groupBy("film_id").agg(F.min_by("rung", F.struct(F.when(enough, 0).otherwise(1).alias("short"), F.when(enough, 0).otherwise(-F.col("n")).alias("m"), "rung")).alias("rung"))
+    return rungs.join(best, ["film_id", "rung"]).select("film_id", "rung", "t_ms")
+
+
 def slide(pairs: DataFrame, tolerance: int) -> DataFrame:
     """The shift at which most gaps of the shorter list agree with the longer's; the first of equals. Columns short, long: gap lists."""
     shifts = F.sequence(F.lit(0), F.size("long") - F.size("short"))

@@ -64,8 +64,15 @@ def _pairs(times):
     return rows.select(F.col("film_id").alias("pair_id"), F.when(odd, F.col("g")).otherwise(F.col("f")).alias("a"), F.when(odd, F.col("f")).otherwise(F.col("g")).alias("b"))
 
 
+def ladder_times(s, d):
+    """Events of a film as keyframes that were found in several ways: a way for each first letter of their types."""
+    rows = table(s, d, "events").select(F.col("user_id").alias("film_id"), F.ascii("event_type").cast("long").alias("rung"), F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("t_ms"))
+    return P.ladder(rows, 15)
+
+
 def queries():
     return {
+        "s18_ladder_times": ladder_times,
         **{f"fp_v{v}_digests": _digests(v) for v in (3, 5, 6, 7, 8)},
         "fp_v4_anchor_pairs": anchor_pairs,
         "fp_v11_end_anchors": end_anchors,
@@ -120,6 +127,8 @@ _HASHED = """, m AS (SELECT pair_id, ta, arg_min({'h': ha, 'g': y.phash, 'off':
 def oracle_sql():
     subset = _KF + ", tt AS (SELECT * FROM kf)" + _PAIRS + match_sql()
     return {
+        "s18_ladder_times": """WITH r AS (SELECT user_id AS film_id, CAST(ascii(event_type) AS BIGINT) AS rung, epoch_us(ts) // 1000 AS t_ms FROM events), c AS (SELECT film_id, rung, count(*) AS n FROM r GROUP BY ALL),
+          b AS (SELECT film_id, arg_min(rung, (CASE WHEN n >= 15 THEN 0 ELSE 1 END, CASE WHEN n >= 15 THEN 0 ELSE -n END, rung)) AS rung FROM c GROUP BY film_id) SELECT film_id, rung, t_ms FROM r JOIN b USING (film_id, rung)""",
         **{f"fp_v{v}_digests": _digest_sql(v) for v in (3, 5, 6, 7, 8)},
         "fp_v4_anchor_pairs": _FRAMES
         + _BODY

@@ -85,3 +85,9 @@ def test_ties_and_the_sign_of_the_trim(spark):
     shifts = [100, 300] * 20  # an even number: the upper median of long - short, with its sign turned where the first film is the shorter
     b = [t + s for t, s in zip(a, shifts, strict=True)] + [900_000]
     assert verdict(spark, a, b).trim == -300 and verdict(spark, b, a).trim == 300
+
+
+def test_ladder(spark):
+    rungs = [(1, 0, t) for t in range(3)] + [(1, 1, t) for t in range(10)] + [(1, 2, t) for t in range(30)] + [(2, 0, t) for t in range(2)] + [(2, 1, t) for t in range(5)] + [(2, 3, t) for t in range(5)]
+    got = sorted(tuple(x) for x in P.ladder(spark.createDataFrame(rungs, "film_id int, rung int, t_ms long")).collect())
+    assert got == [(1, 1, t) for t in range(10)] + [(2, 1, t) for t in range(5)]
