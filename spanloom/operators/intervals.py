@@ -38,8 +38,10 @@ def complement(cuts: DataFrame, duration: int) -> DataFrame:
 
 
 def bucketed(ranges: DataFrame, start: str, end: str, width: int) -> DataFrame:
-    """The ranges once for each bucket of the time axis that they touch, as column bucket."""
-    return ranges.withColumn("bucket", F.explode(F.sequence(F.expr(f"{start} div {width}"), F.expr(f"greatest({start}, {end} - 1) div {width}"))))
+    """The ranges once for each bucket of the time axis that they touch, as column bucket.
+
+    Joins with them are merge joins: Spark takes an exploded side for as small as its lists and would broadcast it."""
+    return ranges.withColumn("bucket", F.explode(F.sequence(F.expr(f"{start} div {width}"), F.expr(f"greatest({start}, {end} - 1) div {width}")))).hint("merge")
 
 
 def overlap_join(a: DataFrame, b: DataFrame, width: int) -> DataFrame:

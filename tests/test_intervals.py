@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from spanloom.operators import intervals as I
 
 
@@ -79,3 +81,13 @@ def test_overlap_join_reports_each_pair_once(spark):
 def test_skip_replay(spark):
     jumps = I.skip_replay(frame(spark, [(100, 200), (205, 300), (900, 950)]), 0, 40, 10, 1000).collect()
     assert sorted((r.from_ms, r.to_ms) for r in jumps) == [(100, 200), (240, 300), (900, 950)]
+
+
+def test_exploded_sides_are_not_broadcast(spark):
+    """Keyframes and positions are exploded from few rows, so that Spark takes them for small."""
+    films = spark.range(1, 50).select(F.col("id").alias("film_id"))
+    points = films.select("film_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(600).cast("long"))).alias("t_ms"))
+    ranges = films.select("film_id", F.lit(10).cast("long").alias("start_ms"), F.lit(500).cast("long").alias("end_ms"))
+    for df in (I.point_join(points, ranges, "t_ms", 64), I.overlap_join(ranges, ranges, 64)):
+        assert df.count() == (49 * 490 if "t_ms" in df.columns else 49)
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
