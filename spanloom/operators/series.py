@@ -34,12 +34,18 @@ def fuse(rows: DataFrame) -> DataFrame:
 
 
 def resample(series: DataFrame, src_ms: int, dst_ms: int, ticks: int) -> DataFrame:
-    """The series on another grid: tick i reads the source's tick floor(i * dst / src), the last one beyond its end."""
-    last = series.groupBy("film_id", "series_key").agg(F.max("idx").alias("last"))
-    grid = last.withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ticks - 1).cast("long"))))
-    grid = grid.withColumn("src", F.least(F.expr(f"(idx * {dst_ms}) div {src_ms}"), F.col("last")))
-    source = series.select("film_id", "series_key", F.col("idx").alias("src"), "value")
-    return grid.join(source, ["film_id", "series_key", "src"], "left").select("film_id", "series_key", "idx", F.coalesce("value", F.lit(0.0)).alias("value"))
+    """The series on another grid: tick i reads the source's tick floor(i * dst / src), the last one beyond its end.
+
+    Each row gives the ticks from its own to the next row's, the first also those before it and the last those after it, so that what is shuffled is the series and not the grid."""
+    w = W.partitionBy("film_id", "series_key").orderBy("idx")
+    rows = series.select("film_id", "series_key", F.col("idx").alias("src"), "value", (F.row_number().over(w) == 1).alias("first"), F.lead("idx").over(w).alias("next"))
+    from_ = lambda c: F.expr(f"greatest(0L, ({c} * {src_ms} + {dst_ms - 1}) div {dst_ms})")
+    begin = F.when(F.col("first"), F.lit(0).cast("long")).otherwise(from_("src"))
+    end = F.least(F.when(F.col("next").isNotNull(), from_("next")), F.lit(ticks).cast("long"))
+    each = rows.withColumn("end", end).withColumn("begin", begin).where("begin < end").withColumn("idx", F.explode(F.sequence(F.col("begin"), F.col("end") - 1)))
+    at = F.expr(f"(idx * {dst_ms}) div {src_ms}")
+    held = (at == F.col("src")) | (F.col("next").isNull() & (at > F.col("src")))
+    return each.select("film_id", "series_key", "idx", F.when(held & F.col("film_id").isNotNull() & F.col("series_key").isNotNull(), F.coalesce("value", F.lit(0.0))).otherwise(0.0).alias("value"))
 
 
 def runs(fused: DataFrame, recipes: DataFrame, period_ms: int, ticks: int) -> DataFrame:

@@ -82,6 +82,19 @@ def test_resample_holds_the_last_value(spark):
     assert got == [0.1, 0.1, 0.2, 0.2, 0.2, 0.2]
 
 
+def test_resample_shuffles_no_grid(spark):
+    """Gaps, rows before the beginning and after the end, both finer and coarser grids, against the plain rule; the grid is made after the last exchange."""
+    held = {("x", 2): 0.5, ("x", 3): 0.25, ("x", 7): 0.75, ("y", -3): 0.5, ("y", -1): 0.125, ("z", 90): 1.0}
+    rows = spark.createDataFrame([(1, k, i, v) for (k, i), v in held.items()], "film_id long, series_key string, idx long, value double")
+    for src, dst in ((100, 50), (100, 30), (50, 100), (70, 70)):
+        df = S.resample(rows, src, dst, 20)
+        got = {(r.series_key, r.idx): r.value for r in df.collect()}
+        last = {"x": 7, "y": -1, "z": 90}
+        assert got == {(k, i): held.get((k, min(i * dst // src, last[k])), 0.0) for k in last for i in range(20)}
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan[: plan.index("Generate")] and "Join" not in plan
+
+
 def test_label_columns(spark):
     matrix = spark.createDataFrame([(1, 0, [0.5, 0.25, 1.0]), (1, 1, [0.125]), (2, 0, None)], "film_id int, idx long, scores array<float>")
     classes = spark.createDataFrame([(0, "Dog"), (1, "cat"), (2, "dog")], "idx long, name string")
