@@ -129,9 +129,9 @@ def ladder(s, d):
 
 
 def run_lengths(s, d):
-    """Sample durations as runs: lineitems of an order."""
+    """Sample durations as runs: lineitems of an order. Lines alike in number, supplier and duration are put in order by their count, so that reruns agree."""
     r = table(s, d, "lineitem").select(F.col("l_orderkey").alias("film_id"), F.col("l_linenumber").cast("long").alias("ord"), F.col("l_quantity").cast("long").alias("n"), (F.col("l_partkey") % 97 + 1).alias("delta"), "l_suppkey")
-    w = W.partitionBy("film_id").orderBy("ord", "l_suppkey", "delta")
+    w = W.partitionBy("film_id").orderBy("ord", "l_suppkey", "delta", "n")
     return P.sample_times(r.withColumn("ord", F.row_number().over(w).cast("long")), 90)
 
 

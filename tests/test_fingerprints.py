@@ -91,3 +91,15 @@ def test_ladder(spark):
     rungs = [(1, 0, t) for t in range(3)] + [(1, 1, t) for t in range(10)] + [(1, 2, t) for t in range(30)] + [(2, 0, t) for t in range(2)] + [(2, 1, t) for t in range(5)] + [(2, 3, t) for t in range(5)]
     got = sorted(tuple(x) for x in P.ladder(spark.createDataFrame(rungs, "film_id int, rung int, t_ms long")).collect())
     assert got == [(1, 1, t) for t in range(10)] + [(2, 1, t) for t in range(5)]
+
+
+def test_runs_alike_are_in_a_fixed_order(spark, tmp_path):
+    """Lines that tie in number, supplier and duration give the same times however they come."""
+    from spanloom.plans.matching import run_lengths
+
+    rows = [(1, 5, 7, 1, float(q)) for q in (9, 3, 6)]
+    got = []
+    for k, part in enumerate((rows, rows[::-1])):
+        spark.createDataFrame(part, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").coalesce(1).write.parquet(str(tmp_path / f"{k}" / "lineitem.parquet"))
+        got.append(sorted(tuple(r) for r in run_lengths(spark, str(tmp_path / f"{k}")).collect()))
+    assert got[0] == got[1] == [(1, 1, 0, 0), (1, 2, 18, 200), (1, 3, 54, 600)]
