@@ -8,7 +8,7 @@
    alone; frequent ones are dealt to subclasses, in which any two make a signature, so that a subclass of x survives x - 2 losses. The
    number of subclasses depends on the set's size; partners' sizes are within 3 : 4, so each set is indexed at its own
    level of size and the next.
-3. Documents with a common signature are candidates; see similar_groups for how they are verified.
+3. Documents with a common signature are candidates; see similar_groups for how they are verified. Sketches of the sets rule out most pairs that cannot link before a text moves.
 
 Hash collisions (64 bits a shingle within a pair, 128 a class) are the only inexactness.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .arrow_text import small_batches, text_bytes
 from .common import bitmap, in_bitmap, is_small, keyed, scratch_scope, small_arrow_batches, stored
-from .shingles import mix64, sets_of
+from .shingles import mix64, parities, sets_of
 from .similar_groups import PERCENT, members_of, similar_components
 
 #: A shingle is frequent if parts of about SEEN shingles that have it at least LOCAL times have it FREQUENT times in all.
@@ -98,7 +98,7 @@ def _as_long(x: np.ndarray) -> pa.Array:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each node its set's size and digest; and rows without a node: shingles frequent among SEEN of them, with their counts in n."""
+    """Of each node its set's size, digest and sketch; and rows without a node: shingles frequent among SEEN of them, with their counts in n."""
     parts, held = [], 0
     for batch in small_batches(batches):
         values, offsets = sets_of(*text_bytes(batch.column("text")))
@@ -113,13 +113,15 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _described(nodes: pa.Array, values: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-    """Size and digest of each node's set."""
+    """Size, digest and sketch of each node's set."""
     n = np.diff(offsets)
     digests = []
     for seed in (1, 2):
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(values + np.uint64(seed)), dtype=np.uint64)])
         digests.append(_as_long(mix64(total[offsets[1:]] - total[offsets[:-1]] + n.astype(np.uint64))))
-    return pa.record_batch([nodes, pa.array(n), *digests], names=["node", "n", "d1", "d2"])
+    words, ends = parities(values, offsets)
+    sketches = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _as_long(words))
+    return pa.record_batch([nodes, pa.array(n), *digests, sketches], names=["node", "n", "d1", "d2", "sketch"])
 
 
 def _often(values: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -131,7 +133,7 @@ def _often(values: np.ndarray) -> Iterator[pa.RecordBatch]:
     if often.any():
         tokens = ordered[edges[:-1][often]]
         none = pa.nulls(len(tokens), pa.int64())
-        yield pa.record_batch([none, pa.array(counts[often]), _as_long(tokens), none], names=["node", "n", "d1", "d2"])
+        yield pa.record_batch([none, pa.array(counts[often]), _as_long(tokens), none, pa.nulls(len(tokens), pa.list_(pa.int64()))], names=["node", "n", "d1", "d2", "sketch"])
 
 
 def _frequent_bitmap(profile: DataFrame) -> np.ndarray:
@@ -167,7 +169,7 @@ def link(docs: DataFrame) -> DataFrame:
 def _link(docs: DataFrame) -> DataFrame:
     nodes, plain = keyed(docs)
     nodes = nodes.withColumnRenamed("key", "node")
-    profile = stored(nodes.select("node", "text").mapInArrow(_profile, "node long, n long, d1 long, d2 long"), "profile")
+    profile = stored(nodes.select("node", "text").mapInArrow(_profile, "node long, n long, d1 long, d2 long, sketch array<bigint>"), "profile")
     sets = profile.where("node IS NOT NULL")
     first = sets.where("n > 0").groupBy("d1", "d2").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("times")).where("times > 1")
     classes = stored(sets.join(first, ["d1", "d2"]).where("node <> rep").select("node", "rep"), "classes")
@@ -179,7 +181,7 @@ def _link(docs: DataFrame) -> DataFrame:
     def texts(rows: DataFrame, n: int) -> DataFrame:
         return reps.join(F.broadcast(rows) if is_small(n, 48) else rows, "node")
 
-    labels = similar_components(members, sets.select("node", "n"), texts)
+    labels = similar_components(members, sets.select("node", "n"), texts, sets.select("node", "n", "sketch"))
 
     out = sets.join(classes.withColumnRenamed("rep", "_rep"), "node", "left").withColumn("_rep", F.coalesce("_rep", "node"))
     out = out.join(labels.select(F.col("node").alias("_rep"), "label"), "_rep", "left").select("node", F.col("n").alias("n_shingles"), F.coalesce("label", "_rep").alias("component_id"))

@@ -121,3 +121,16 @@ def _sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(out), bool)
     new[1:] = (out[1:] != out[:-1]) | (owner[1:] != owner[:-1])
     return out[new], np.bincount(owner[new], minlength=len(texts))
+
+
+def parities(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set the parities of how many of its hashes fall into each of as many cells as it has hashes, rounded up to a power of two (64 at least), as words of 64 bits, and the offsets of the sets in them.
+
+    Sets that differ in d hashes differ in d cells at most. The upper half of the words over the lower half, by exclusive or, is the sketch of half as many cells."""
+    n = np.diff(offsets)
+    cells = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    ends = np.concatenate([[0], np.cumsum(cells)])
+    owner = np.repeat(np.arange(len(n)), n)
+    at = (values & (cells[owner] - 1).astype(np.uint64)).astype(np.int64) + ends[owner]
+    odd = (np.bincount(at, minlength=int(ends[-1])) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<u8"), ends // 64

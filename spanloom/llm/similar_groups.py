@@ -63,6 +63,24 @@ def likely_pairs(members: DataFrame) -> DataFrame:
     return found.where((F.col("least") < 0) | (F.col("common") >= needed)).select("pivot", "node")
 
 
+def not_ruled_out(pairs: DataFrame, sketches: DataFrame | None) -> DataFrame:
+    """pairs (pivot, node), whose sizes are within 3 : 4, without those that cannot link by their sketches (node, n, sketch; see shingles.parities).
+
+    Of sets of a and b shingles that link, (a + b) / 7 at most are not common, and as many cells at most of their sketches, of which a longer one is folded, are unlike."""
+    if sketches is None:
+        return pairs
+    a = sketches.select(F.col("node").alias("pivot"), F.col("n").alias("_a"), F.col("sketch").alias("_x"))
+    b = sketches.select("node", F.col("n").alias("_b"), F.col("sketch").alias("_y"))
+    fold = lambda x, y: F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, 1, F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
+    unlike = F.aggregate(F.zip_with(fold("_x", "_y"), fold("_y", "_x"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, x: n + x)
+    return pairs.join(a, "pivot").join(b, "node").where(7 * unlike <= F.col("_a") + F.col("_b")).select("pivot", "node")
+
+
+def _of(nodes: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """The rows of n nodes."""
+    return rows.join(F.broadcast(nodes) if is_small(n, 32) else nodes, "node", "left_semi")
+
+
 def _verify(pairs: DataFrame, texts: Texts, n_pairs: int) -> DataFrame:
     """pairs (pivot, node) with linked. Each pivot's text is sent once for every SALT_ROWS nodes, each node's once a pair."""
     salted = pairs.withColumn("salt", F.floor((F.row_number().over(W.partitionBy("pivot").orderBy("node")) - 1) / SALT_ROWS)) if n_pairs > SALT_ROWS else pairs.withColumn("salt", F.lit(0).cast("long"))
@@ -165,7 +183,7 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def _rounds(pairs: DataFrame, buckets: DataFrame, texts: Texts) -> DataFrame:
+def _rounds(pairs: DataFrame, buckets: DataFrame, texts: Texts, sketches: DataFrame | None) -> DataFrame:
     """node and label of all nodes of the pairs and buckets."""
     nodes = pairs.select("node").unionByName(pairs.select(F.col("pivot").alias("node"))).unionByName(buckets.select("node")).distinct()
     labels, tested, rest = stored(nodes.withColumn("label", F.col("node")), "labels"), None, buckets
@@ -181,20 +199,25 @@ def _rounds(pairs: DataFrame, buckets: DataFrame, texts: Texts) -> DataFrame:
         if not rest.limit(1).count():
             return labels
         pairs, rest = _pairs(rest, labels, round_)
+        pairs = not_ruled_out(pairs, sketches)
         round_ += 1
 
 
-def similar_components(members: DataFrame, sizes: DataFrame, texts: Texts) -> DataFrame:
+def similar_components(members: DataFrame, sizes: DataFrame, texts: Texts, sketches: DataFrame | None = None) -> DataFrame:
     """node and label, the smallest node of its component, of every node that may link with another.
 
-    members: as from members_of. sizes: node and n of all nodes. texts: gives whole texts."""
+    members: as from members_of. sizes: node and n of all nodes. texts: gives whole texts. sketches: node, n and sketch of all nodes, if there are any."""
     with scratch_scope(members.sparkSession):
-        return stored(_similar(members, sizes, texts), "labels", keep=True)
+        return stored(_similar(members, sizes, texts, sketches), "labels", keep=True)
 
 
-def _similar(members: DataFrame, sizes: DataFrame, texts: Texts) -> DataFrame:
+def _similar(members: DataFrame, sizes: DataFrame, texts: Texts, sketches: DataFrame | None) -> DataFrame:
     pairs = stored(likely_pairs(members), "likely")
     large = members.where(F.col("size") > SMALL).select("bucket", "node", "n")
+    if sketches is not None:
+        nodes = stored(pairs.select("node").unionByName(pairs.select(F.col("pivot").alias("node"))).unionByName(large.select("node")).distinct(), "candidates")
+        sketches = stored(_of(nodes, sketches, nodes.count()), "sketches")
+        pairs = stored(not_ruled_out(pairs, sketches), "left")
     hubs = large.groupBy("bucket").agg(F.min("node").alias("u"))
     edges = pairs.select(F.col("pivot").alias("u"), F.col("node").alias("v")).unionByName(large.join(hubs, "bucket").select("u", F.col("node").alias("v")))
     groups = components(edges).join(sizes, "node")
@@ -207,9 +230,10 @@ def _similar(members: DataFrame, sizes: DataFrame, texts: Texts) -> DataFrame:
     if n_open:
         open_ = groups.where("NOT small").select("node")
         own = stored(texts(open_, n_open).select("node", "text"), "texts")  # read in every round
+        sketches = None if sketches is None else stored(_of(open_, sketches, n_open), "open-sketches")
 
         def open_texts(wanted: DataFrame, n: int) -> DataFrame:
             return own.join(F.broadcast(wanted) if is_small(n, 48) else wanted, "node")
 
-        labels = labels.unionByName(_rounds(pairs.join(open_, "node", "left_semi"), large.join(open_, "node", "left_semi"), open_texts))
+        labels = labels.unionByName(_rounds(pairs.join(open_, "node", "left_semi"), large.join(open_, "node", "left_semi"), open_texts, sketches))
     return labels

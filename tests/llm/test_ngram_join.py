@@ -116,3 +116,26 @@ def test_one_of_each_keeps_the_namer(spark):
     rows = corpus(4)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in one_of_each(docs).collect()) == sorted({c for _, _, c in brute(rows)})
+
+
+def test_sketches_rule_out_no_link(spark):
+    """Sets of many sizes: cells that are unlike are never more than the hashes that are; few texts move where candidates share less than they need."""
+    from spanloom.llm.shingles import parities
+
+    r = np.random.default_rng(5)
+    sets = []
+    for n in (0, 1, 3, 40, 63, 64, 65, 90, 120, 129, 500, 700):
+        base = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        for gone in (0, 0.05, 0.12, 0.3, 0.6):
+            lost = int(len(base) * gone)
+            sets.append(np.unique(np.concatenate([base[lost:], r.integers(0, 1 << 63, lost // 2, dtype=np.uint64)])))
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    words, ends = parities(np.concatenate(sets), offsets)
+    rows = [(k, len(x), words[ends[k] : ends[k + 1]].view(np.int64).tolist()) for k, x in enumerate(sets)]
+    sketches = spark.createDataFrame(rows, "node long, n long, sketch array<bigint>")
+    within = [(a, b) for a in range(len(sets)) for b in range(a) if 4 * min(len(sets[a]), len(sets[b])) >= 3 * max(len(sets[a]), len(sets[b])) and len(sets[a])]
+    kept = {tuple(x) for x in similar_groups.not_ruled_out(spark.createDataFrame(within, "pivot long, node long"), sketches).select("pivot", "node").collect()}
+    both = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a, b in within}
+    linked = {(a, b) for (a, b), n in both.items() if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n)}
+    assert linked <= kept and len(linked) > 40
+    assert not any(both[p] == 0 and len(sets[p[0]]) >= 64 for p in kept)
