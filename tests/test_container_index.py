@@ -92,3 +92,17 @@ def test_planted_files(spark, tmp_path):
     assert {x.path.rsplit("/", 1)[1] for x in rows if x.kind == "none"} == {"sound.mp4", "cut.mp4", "noseek.mkv", "noindex.avi", "sound.avi", "fast.avi", "still.avi", "text", "empty"}
     again = C.index_of(spark.createDataFrame([(n, bytearray(c)) for n, c in files.items()] + [("null", None)], "path string, content binary"))
     assert sorted((x.kind, x.ord, x.a, x.b) for x in again.where("path <> 'null'").collect()) == sorted((x.kind, x.ord, x.a, x.b) for x in rows)
+
+
+def test_one_batch_for_many_files():
+    """Rows of many files, also of broken ones, are those of each file, made at once."""
+    import io
+    import struct
+
+    box = lambda kind, body: struct.pack(">I4s", len(body) + 8, kind) + body
+    stbl = box(b"stts", struct.pack(">6I", 0, 2, 3, 10, 4, 20)) + box(b"stss", struct.pack(">4I", 0, 2, 1, 5))
+    media = box(b"mdia", box(b"mdhd", bytes(12) + struct.pack(">I", 90) + bytes(12)) + box(b"hdlr", bytes(8) + b"vide") + box(b"minf", box(b"stbl", stbl)))
+    files = [box(b"ftyp", b"isom") + box(b"moov", box(b"trak", media)), b"", b"nothing at all here"]
+    both = C._batch(["a", "b", "c"], [C._read(io.BytesIO(f)) for f in files]).to_pylist()
+    assert both == [r for p, f in zip("abc", files, strict=True) for r in C.index_rows(p, io.BytesIO(f)).to_pylist()]
+    assert [(r["path"], r["kind"], r["ord"], r["a"], r["b"]) for r in both] == [("a", "scale", 0, 90, 0), ("a", "run", 0, 3, 10), ("a", "run", 1, 4, 20), ("a", "sync", 0, 1, 0), ("a", "sync", 1, 5, 0), ("b", "none", 0, 0, 0), ("c", "none", 0, 0, 0)]
