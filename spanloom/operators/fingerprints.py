@@ -7,11 +7,13 @@ length. Everything else is windows and joins.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import small_arrow_batches
+
 
 def gaps(times: DataFrame) -> DataFrame:
     """film_id, t_ms, gap to the time before (null for the first)."""
@@ -131,19 +133,83 @@ def pairs_made(short: np.ndarray, long: np.ndarray, offsets: np.ndarray, toleran
     return made
 
 
-def best_offset(tolerance: int, most_offset: int, ends: int = 50):
-    """A pandas UDF (short, long): the offset that pairs most, of those from the first of the short list to the first of the long and from its last to the last of the long, backwards; the first of equals.
-
-    Some hundred folds a row are too many for interpreted lambdas; rows come in Arrow batches."""
-
-    @F.pandas_udf("long")
-    def pick(short: pd.Series, long: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(short, long, strict=True):
-            starts, stops = b[:ends] - a[:1], b[::-1][:ends] - a[-1:]  # from the first on, and from the last backwards
-            offsets = np.array(list(dict.fromkeys(o for o in [*starts.tolist(), *stops.tolist()] if abs(o) <= most_offset)), np.int64)
-            out.append(int(offsets[pairs_made(a, b, offsets, tolerance).argmax()]) if len(offsets) else None)
-        return pd.Series(out, dtype="Int64")
+def _ragged(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The values of lists in one array, and where each list starts and ends in it; null lists are empty."""
+    at = lists.offsets.to_numpy()
+    return lists.values.to_numpy(zero_copy_only=False).astype(np.int64), at[:-1].astype(np.int64), np.where(lists.is_valid().to_numpy(zero_copy_only=False), at[1:], at[:-1]).astype(np.int64)
+
+
+def _walk(short: np.ndarray, starts: np.ndarray, sizes: np.ndarray, long: np.ndarray, frees: np.ndarray, offsets: np.ndarray, tolerance: int, note=None) -> np.ndarray:
+    """How many pairs paired() makes in each of many walks: of the `sizes` times of short from `starts` on with the times of long from `frees` on, whose ends hold the largest number, under an offset each. Walks step together, longest first.
+
+    note(walks, s, l): what is called with the pairs of a step."""
+    order = np.argsort(-sizes, kind="stable")
+    starts, left, offset, free, made = starts[order], sizes[order], offsets[order] - tolerance, frees[order].copy(), np.zeros(len(order), np.int64)
+    for k in range(int(left[0]) if len(left) else 0):
+        n = int(np.searchsorted(-left, -k))  # the walks with more than k times
+        s = short[starts[:n] + k]
+        early = s + offset[:n]
+        behind = np.flatnonzero(long[free[:n]] < early)
+        while len(behind):
+            free[behind] += 1
+            behind = behind[long[free[behind]] < early[behind]]
+        at = long[free[:n]]
+        hit = np.flatnonzero((at <= early + 2 * tolerance) & (at != np.iinfo(np.int64).max))
+        if note:
+            note(order[hit], s[hit], at[hit])
+        free[hit] += 1
+        made[hit] += 1
+    out = np.empty(len(order), np.int64)
+    out[order] = made
+    return out
+
+
+def _middles(rows: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the values of rows 0 to n - 1, each of which has some: values by row and size, and the places of each row's lower and upper middle there."""
+    order = np.lexsort((values, rows))
+    sizes = np.bincount(rows, minlength=n)
+    firsts = np.cumsum(sizes) - sizes
+    return values[order], firsts + (sizes - 1) // 2, firsts + sizes // 2
+
+
+def aligned(tolerance: int, most_offset: int, ends: int = 50):
+    """An Arrow UDF (short, long): offset, matched, spread and middle. The offset is that which pairs most, of those from the first of the short list to the first of the long and from its last to the last of the long, backwards; the
+    first of equals. Then how many pairs it makes, and the spread and the upper median of their distances. Null where a list is empty or no offset is allowed.
+
+    Some hundred folds a row are too many for interpreted lambdas, and calls for each row too many for numpy: all rows of a batch and all their offsets are walked at once."""
+
+    @F.arrow_udf("offset long, matched long, spread double, middle long")
+    def pick(short: pa.Array, long: pa.Array) -> pa.Array:
+        (a, a0, a1), (b, b0, b1) = _ragged(short), _ragged(long)
+        some = np.flatnonzero((a1 > a0) & (b1 > b0))
+        found = np.zeros(len(a0), bool)
+        out = {"offset": np.zeros(len(a0), np.int64), "matched": np.zeros(len(a0), np.int64), "spread": np.zeros(len(a0)), "middle": np.zeros(len(a0), np.int64)}
+        if len(some):
+            # each long list is followed by the largest number, so that no walk leaves it
+            places = np.arange(len(b)) + np.searchsorted(b1, np.arange(len(b)), side="right")
+            ended = np.full(len(b) + len(b1), np.iinfo(np.int64).max)
+            ended[places] = b
+            free = b0 + np.arange(len(b0))
+            probe = np.arange(ends)
+            there = probe[None, :] < (b1 - b0)[some][:, None]
+            heads = b[np.minimum(b0[some][:, None] + probe, len(b) - 1)] - a[a0[some]][:, None]
+            tails = b[np.maximum(b1[some][:, None] - 1 - probe, 0)] - a[a1[some] - 1][:, None]
+            tried, there = np.concatenate([heads, tails], axis=1), np.concatenate([there, there], axis=1)
+            row, nth = np.nonzero(there & (np.abs(tried) <= most_offset))
+            offsets, row = tried[row, nth], some[row]
+            made = _walk(a, a0[row], (a1 - a0)[row], ended, free[row], offsets, tolerance)
+            best = np.lexsort((np.arange(len(row)), -made, row))  # by row, most pairs, and order of trial
+            best = best[np.flatnonzero(np.diff(row[best], prepend=-1))]
+            rows, offsets = row[best], offsets[best]
+            got: list[tuple[np.ndarray, np.ndarray]] = []
+            _walk(a, a0[rows], (a1 - a0)[rows], ended, free[rows], offsets, tolerance, lambda walks, s, y: got.append((walks, y - s)))
+            if got:
+                walks, moved = (np.concatenate(x) for x in zip(*got, strict=True))
+                by, low, high = _middles(walks, moved, len(rows))
+                far, low_far, high_far = _middles(walks, np.abs(moved - ((by[low] + by[high]) / 2.0)[walks]), len(rows))
+                found[rows] = True
+                out["offset"][rows], out["matched"][rows], out["middle"][rows], out["spread"][rows] = offsets, np.bincount(walks, minlength=len(rows)), by[high], (far[low_far] + far[high_far]) / 2.0
+        return pa.StructArray.from_arrays([pa.array(x) for x in out.values()], names=list(out), mask=pa.array(~found))
 
     return pick.asNondeterministic()  # so that the optimizer does not evaluate it again for filters
 
@@ -172,21 +238,23 @@ def spread(a: Column) -> Column:
     return let(a, lambda v: let(median(v), lambda m: median(F.transform(v, lambda x: F.abs(x - m)))))
 
 
-def match(pairs: DataFrame, tolerance: int = 2000, most_offset: int = 600_000, least: int = 30, share: float = 0.55, most_spread: int = 250) -> DataFrame:
-    """Whether two films (columns a, b: sorted times) are one: pair_id, offset, matched, fraction, spread, trim, verdict.
+def match_verdicts(pairs: DataFrame, tolerance: int = 2000, most_offset: int = 600_000, least: int = 30, share: float = 0.55, most_spread: int = 250) -> DataFrame:
+    """pairs with a verdict on whether two films (columns a, b: sorted times) are one: struct of offset, matched, fraction, spread, trim, same, of nulls where a list is null or has fewer than `least` times or no offset is allowed.
 
     Offsets from the ends of the shorter list to the first or last 50 of the longer are tried; the first that pairs most wins."""
-    a_short = F.size("a") <= F.size("b")
-    rows = pairs.select("pair_id", a_short.alias("a_short"), F.when(a_short, F.col("a")).otherwise(F.col("b")).alias("short"), F.when(a_short, F.col("b")).otherwise(F.col("a")).alias("long"))
-    enough = rows.where(F.least(F.size("short"), F.size("long")) >= least)
-    tried = enough.withColumn("offset", best_offset(tolerance, most_offset)("short", "long")).where("offset IS NOT NULL")
-    def found(pairs: Column) -> Column:
-        moved = F.transform(pairs, lambda p: p["l"] - p["s"])
-        return let(moved, lambda m: F.struct(F.size(m).cast("long").alias("matched"), F.round(spread(m), 6).alias("spread"), F.when(F.col("a_short"), -upper_median(m)).otherwise(upper_median(m)).alias("trim")))
-
-    best = tried.select("pair_id", "a_short", "offset", F.size("short").alias("n"), let(paired(F.col("short"), F.col("long"), F.col("offset"), tolerance), found).alias("x"))
-    out = best.select("pair_id", F.when(F.col("a_short"), -F.col("offset")).otherwise(F.col("offset")).alias("offset"), "x.matched", F.round(F.col("x.matched") / F.col("n"), 6).alias("fraction"), "x.spread", "x.trim")
-    return out.withColumn("same", (F.col("fraction") >= share) & (F.col("spread") <= most_spread))
+    small_arrow_batches(pairs.sparkSession)
+    a_short, n, x = F.size("a") <= F.size("b"), F.least(F.size("a"), F.size("b")), F.col("verdict")
+    enough = pairs.withColumn("_short", F.when(n >= least, F.when(a_short, F.col("a")).otherwise(F.col("b")))).withColumn("_long", F.when(n >= least, F.when(a_short, F.col("b")).otherwise(F.col("a"))))
+    tried = enough.withColumn("verdict", aligned(tolerance, most_offset)("_short", "_long"))
+    signed = lambda v: F.when(a_short, -v).otherwise(v)
+    fraction, spread = F.round(x["matched"] / n, 6), F.round(x["spread"], 6)
+    said = F.struct(signed(x["offset"]).alias("offset"), x["matched"].alias("matched"), fraction.alias("fraction"), spread.alias("spread"), signed(x["middle"]).alias("trim"), ((fraction >= share) & (spread <= most_spread)).alias("same"))
+    return tried.withColumn("verdict", said).drop("_short", "_long")
+
+
+def match(pairs: DataFrame, **limits) -> DataFrame:
+    """pair_id and the fields of match_verdicts for pairs (pair_id, a, b); pairs without a verdict are left out."""
+    return match_verdicts(pairs.select("pair_id", "a", "b"), **limits).where("verdict.offset IS NOT NULL").select("pair_id", "verdict.*")
 
 
 def close_hashes(rows: DataFrame, most: int, block: int = 4096) -> DataFrame:

@@ -103,3 +103,36 @@ def test_runs_alike_are_in_a_fixed_order(spark, tmp_path):
         spark.createDataFrame(part, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").coalesce(1).write.parquet(str(tmp_path / f"{k}" / "lineitem.parquet"))
         got.append(sorted(tuple(r) for r in run_lengths(spark, str(tmp_path / f"{k}")).collect()))
     assert got[0] == got[1] == [(1, 1, 0, 0), (1, 2, 18, 200), (1, 3, 54, 600)]
+
+
+def test_match_against_paired(spark):
+    """Lists of all lengths at once: the offset, its pairs, their spread and trim are those of the plain search."""
+    r, rows = random.Random(5), []
+    for k in range(80):
+        a, b = (sorted(r.sample(range(400), r.randrange(2, 70))) for _ in range(2))
+        rows.append((k, a, b))
+    rows += [(80, None, [1, 2]), (81, [1], [1, 2]), (82, [5, 9], [100_000, 200_000])]
+    limits = {"tolerance": 4, "most_offset": 60, "least": 2}
+    got = {x.pair_id: x for x in P.match(spark.createDataFrame(rows, "pair_id long, a array<bigint>, b array<bigint>"), **limits).collect()}
+
+    def pairs(short, long, offset):
+        at, out = 0, []
+        for s in short:
+            at = max(at, sum(y < s + offset - 4 for y in long))
+            if at < len(long) and long[at] <= s + offset + 4:
+                out.append(long[at] - s)
+                at += 1
+        return out
+
+    middle = lambda v: (sorted(v)[(len(v) - 1) // 2] + sorted(v)[len(v) // 2]) / 2
+    for k, a, b in rows[:80]:
+        short, long, sign = (a, b, -1) if len(a) <= len(b) else (b, a, 1)
+        tried = [o for o in [*(y - short[0] for y in long[:50]), *(y - short[-1] for y in long[::-1][:50])] if abs(o) <= 60]
+        if not tried:
+            assert k not in got
+            continue
+        offset = max(tried, key=lambda o: len(pairs(short, long, o)))
+        moved = pairs(short, long, offset)
+        want = (sign * offset, len(moved), middle([abs(x - middle(moved)) for x in moved]), sign * sorted(moved)[len(moved) // 2])
+        assert (got[k].offset, got[k].matched, got[k].spread, got[k].trim) == want
+    assert not set(got) & {80, 81, 82}
