@@ -6,10 +6,14 @@ wanted one counts as missing and not as an error of the whole.
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import small_arrow_batches
 from .trust import running_sum
 
 #: Fixed values of the result format.
@@ -24,9 +28,34 @@ def _kind(v: Column) -> Column:
 
 
 def _list(v: Column, path: str) -> Column:
-    """The values of an array at a path, as variants; empty where it is something else."""
-    at = F.try_variant_get(v, path, "variant")
-    return F.when(_kind(at) == "ARRAY", F.try_variant_get(v, path, "array<variant>")).otherwise(F.array().cast("array<variant>"))
+    """The values of an array at a path, as variants; empty where it is something else, which the cast tells without a look at the values."""
+    return F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
+
+
+def _texts(v: Column, path: str) -> Column:
+    """The texts of an array at a path. Of what JSON holds only texts become binary, so that no value's type is spelled out."""
+    found = F.coalesce(F.try_variant_get(v, path, "array<binary>"), F.array().cast("array<binary>"))
+    return F.transform(F.filter(found, lambda x: x.isNotNull()), lambda x: x.cast("string"))
+
+
+def whole_numbers(*path: str):
+    """An Arrow UDF: the whole numbers of 64 bits in an array at a path of texts that were read as JSON before; empty where there is none. Lists of thousands of numbers are too long for a cast of each variant."""
+    @F.arrow_udf("array<long>")
+    def find(texts: pa.Array) -> pa.Array:
+        read, out = json.JSONDecoder(strict=False).raw_decode, []  # what follows the document is passed over, as when it was read before
+        for text in texts.to_pylist():
+            at = read(text.lstrip("\ufeff \t\r\n"))[0] if text is not None else None
+            for name in path:
+                at = at.get(name) if isinstance(at, dict) else None
+            out.append([x for x in at if type(x) is int and -(1 << 63) <= x < 1 << 63] if isinstance(at, list) else [])
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return find.asNondeterministic()  # so that the optimizer does not evaluate it again
+
+
+def _is_object(v: Column) -> Column:
+    """Whether a variant is an object, which the cast tells without a look at the types of what it holds."""
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
 
 
 def _value(v: Column, path: str, kinds: tuple[str, ...], to: str, default: Column) -> Column:
@@ -76,25 +105,22 @@ def results(docs: DataFrame) -> DataFrame:
 
     Of keyframes whole numbers count, the first MOST_KEYFRAMES; of peaks objects, the first MOST_PEAKS, each only in a fingerprint of their kind; suggestions with an empty range or
     category are dropped, their reasons are texts, their authors the first MOST_AUTHORS texts. A document that is not JSON has error `json`, one that is no object gives defaults."""
-    read = docs.withColumn("v", F.try_parse_json("raw"))
-    v = F.col("v")
-    kind = _value(v, "$.fingerprint.type", _TEXT, "string", F.lit(""))
-    whole = F.transform(F.filter(_list(v, "$.fingerprint.keyframeTimesMs"), lambda x: _kind(x).isin(*_INTEGER)), lambda x: F.try_variant_get(x, "$", "bigint"))
-    peaks = F.transform(F.filter(_list(v, "$.fingerprint.peaks"), lambda x: _kind(x) == "OBJECT"), lambda x: F.struct(_value(x, "$.tMs", _INTEGER, "bigint", F.lit(0)).alias("t_ms"), _value(x, "$.phash", _TEXT, "string", F.lit("")).alias("phash")))
-
-    def texts(x: Column, path: str) -> Column:
-        return F.transform(F.filter(_list(x, path), lambda y: _kind(y).isin(*_TEXT)), lambda y: F.try_variant_get(y, "$", "string"))
+    small_arrow_batches(docs.sparkSession)
+    v, kind = F.col("v"), F.col("kind")
+    read = docs.withColumn("v", F.try_parse_json("raw")).withColumn("kind", _value(v, "$.fingerprint.type", _TEXT, "string", F.lit("")))
+    read = read.withColumn("_timed", F.when(v.isNotNull() & (kind == "keyframes"), F.col("raw"))).withColumn("_whole", whole_numbers("fingerprint", "keyframeTimesMs")("_timed"))
+    peaks = F.transform(F.filter(_list(v, "$.fingerprint.peaks"), _is_object), lambda x: F.struct(_value(x, "$.tMs", _INTEGER, "bigint", F.lit(0)).alias("t_ms"), _value(x, "$.phash", _TEXT, "string", F.lit("")).alias("phash")))
 
     made = F.transform(
-        F.filter(_list(v, "$.suggestions"), lambda x: _kind(x) == "OBJECT"),
+        F.filter(_list(v, "$.suggestions"), _is_object),
         lambda x: F.struct(
             _value(x, "$.category", _TEXT, "string", F.lit("")).alias("category"), _value(x, "$.startMs", _INTEGER, "bigint", F.lit(0)).alias("start_ms"), _value(x, "$.endMs", _INTEGER, "bigint", F.lit(0)).alias("end_ms"),
-            _value(x, "$.score", _NUMBER, "double", F.lit(0.0)).alias("score"), texts(x, "$.reasons").alias("reasons"), F.slice(texts(x, "$.contributingAuthors"), 1, MOST_AUTHORS).alias("authors"),
+            _value(x, "$.score", _NUMBER, "double", F.lit(0.0)).alias("score"), _texts(x, "$.reasons").alias("reasons"), F.slice(_texts(x, "$.contributingAuthors"), 1, MOST_AUTHORS).alias("authors"),
         ),
     )
     return read.select(
-        "name", F.when(v.isNull(), "json").alias("error"), _value(v, "$.schemaVersion", _INTEGER, "bigint", F.lit(1)).alias("schema_version"), _value(v, "$.durationMs", _INTEGER, "bigint", F.lit(0)).alias("duration_ms"), kind.alias("kind"),
-        F.when(kind == "keyframes", F.slice(whole, 1, MOST_KEYFRAMES)).otherwise(F.array().cast("array<bigint>")).alias("keyframes"),
+        "name", F.when(v.isNull(), "json").alias("error"), _value(v, "$.schemaVersion", _INTEGER, "bigint", F.lit(1)).alias("schema_version"), _value(v, "$.durationMs", _INTEGER, "bigint", F.lit(0)).alias("duration_ms"), "kind",
+        F.slice("_whole", 1, MOST_KEYFRAMES).alias("keyframes"),
         F.when(kind == "audio_peak_gaps", F.slice(peaks, 1, MOST_PEAKS)).otherwise(F.array().cast("array<struct<t_ms:bigint,phash:string>>")).alias("peaks"),
         F.filter(made, lambda s: (s["end_ms"] > s["start_ms"]) & (s["category"] != "")).alias("suggestions"),
     )

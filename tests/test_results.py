@@ -80,3 +80,15 @@ def test_stored_rows_move_later_scores(spark):
         trust = T.fold(spark.createDataFrame([("p", k, True) for k in range(n)], "author string, seq long, accepted boolean"))
         got.append(V.weighted_scores(scores, frames, rows, M.feedback_weights(rows, trust), 0.35).first().score)
     assert got == [pytest.approx(0.8 * (1 - 0.5 * w)) for w in (0.1, 0.25, 1.0)]
+
+
+def test_values_of_other_types_are_no_numbers_or_texts(spark):
+    """Long lists of mixed values are read without the type of each being spelled out; what counts stays the same."""
+    mixed = '[1,"5",-7,5.0,5e0,true,null,{"a":1},[1],"é\\n",2.5,12345678901234567890,9223372036854775807,""]'
+    fp = lambda kind: f'{{"type":"{kind}","keyframeTimesMs":{mixed},"peaks":[{{"tMs":"1"}},[1],"x",{{}}]}}'
+    docs = [("a", f'\t{{"fingerprint":{fp("keyframes")},"suggestions":[{{"category":"c","startMs":1,"endMs":2,"reasons":{mixed},"contributingAuthors":{mixed}}},[1],7]}}'), ("b", f'{{"fingerprint":{fp("audio_peak_gaps")}}}'), ("c", f'{{"fingerprint":[{fp("keyframes")}]}}'), ("d", '{"fingerprint":{"type":"keyframes","keyframeTimesMs":{"0":1}},"suggestions":{"0":1}}'), ("e", None), ("f", '{"a":1,"a":2}')]
+    rows = R.results(spark.createDataFrame(docs, "name string, raw string"))
+    got = {r.name: r for r in rows.collect()}
+    assert got["a"].keyframes == [1, -7, 9223372036854775807] and [(s.reasons, s.authors) for s in got["a"].suggestions] == [(["5", "é\n", ""], ["5", "é\n", ""])]
+    assert got["b"].keyframes == [] and [(p.t_ms, p.phash) for p in got["b"].peaks] == [(0, ""), (0, "")]
+    assert [(got[k].error, got[k].keyframes, got[k].suggestions) for k in "cdef"] == [(None, [], []), (None, [], []), ("json", [], []), ("json", [], [])]
