@@ -73,16 +73,17 @@ def pack_rules(packs: DataFrame, column: str = "raw") -> DataFrame:
     text = F.col(column)
     maps = "array<map<string,string>>"
     p = packs.withColumn("p", F.from_json(text, PACK, {"allowNonNumericNumbers": "false"}))
-    p = p.withColumn("_cuts", F.from_json(F.get_json_object(text, "$.cuts"), maps)).withColumn("_peaks", F.from_json(F.get_json_object(text, "$.fingerprint.peaks"), maps))
-    x, fp = F.col("p"), F.col("p.fingerprint")
-    inner = F.json_object_keys(F.get_json_object(text, "$.fingerprint"))
+    # each part of the text is read once, as a column of its own, however often the rules name it
+    p = p.withColumn("_print", F.get_json_object(text, "$.fingerprint")).withColumn("_cuts", F.from_json(F.get_json_object(text, "$.cuts"), maps)).withColumn("_keys", F.json_object_keys(text))
+    p = p.withColumn("_peaks", F.from_json(F.get_json_object("_print", "$.peaks"), maps)).withColumn("_inner", F.json_object_keys("_print"))
+    x, fp, inner = F.col("p"), F.col("p.fingerprint"), F.col("_inner")
     lists = F.lit(True)
     for name in ("keyframeTimesMs", "peaks", "gapsMs"):
         has = F.array_contains(inner, name)
         lists = lists & (~has | (fp[name].isNotNull() & F.forall(fp[name], lambda v: v.isNotNull())))
     kinds = F.forall(x["cuts"], lambda c: c["kind"].isNull() | c["kind"].isin("confirmed", "suggested"))
     whole = (
-        _keys_fit(F.json_object_keys(text), PACK_KEYS)
+        _keys_fit(F.col("_keys"), PACK_KEYS)
         & _all_there(x, PACK_KEYS[0])
         & _keys_fit(inner, FINGERPRINT_KEYS)
         & _all_there(fp, FINGERPRINT_KEYS[0])
@@ -105,7 +106,7 @@ def pack_rules(packs: DataFrame, column: str = "raw") -> DataFrame:
         F.when(F.length(x["comment"]) > COMMENT_LENGTH, "comment"),
         F.lit("ok"),
     )
-    return p.withColumn("verdict", verdict).drop("_cuts", "_peaks")
+    return p.withColumn("verdict", verdict).drop("_print", "_cuts", "_keys", "_peaks", "_inner")
 
 
 STORED = "author string, created_utc long, raw string, bucket string"

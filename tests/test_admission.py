@@ -326,3 +326,11 @@ def test_gate(spark):
     allow = spark.createDataFrame([("a",), (None,)], "author string")
     assert sorted(r.outcome for r in M.gate(packs, allow).collect()) == ["accepted", "forbidden", "unsigned", "unsigned"]
     assert sorted(r.outcome for r in M.gate(packs, allow.limit(0)).collect()) == ["accepted", "accepted", "unsigned", "unsigned"]
+
+
+def test_parts_of_a_pack_are_read_once(spark):
+    """However many rules name the keys of a pack's fingerprint, its text is searched for it once."""
+    from spanloom.operators import packs as K
+
+    plan = K.pack_rules(spark.createDataFrame([("{}",)], "raw string")).select("verdict")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object(raw") == 2 and plan.count("jsonObjectKeys(") == 2
