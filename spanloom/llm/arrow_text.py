@@ -8,6 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Bytes of text that are worked on at once where arrays several times as large are made of them.
+WORK_BYTES = 1 << 20
+
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts of the column in one array, and the n + 1 offsets of the texts in it (null: empty)."""

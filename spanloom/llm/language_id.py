@@ -25,14 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .arrow_text import runs_of_rows, small_batches, text_bytes
+from .arrow_text import WORK_BYTES, runs_of_rows, small_batches, text_bytes
 from .common import small_arrow_batches
 
 #: Longest context, in bytes.
 ORDER = 4
 #: Rows of each language to learn from, at most, drawn by a hash of doc_id and text.
 LEARN_ROWS = 600
-CHUNK = 1 << 18
+#: Bytes of a piece of a long text, and of short texts that are coded at once.
+CHUNK, RUN = 1 << 18, 1 << 16
 PAD = b" " * ORDER
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -157,7 +158,7 @@ class Model:
                 segments.append((x[start - ORDER : start] if start else PAD) + x[start : start + CHUNK])
                 owner.append(i)
         sizes = np.cumsum([0] + [len(x) for x in segments])
-        for a, b in runs_of_rows(sizes, CHUNK):
+        for a, b in runs_of_rows(sizes, RUN):
             g, starts, lengths = _grams(segments[a:b])
             total = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(self._lower(g, ORDER), axis=0)])
             np.add.at(out, owner[a:b], total[starts + lengths] - total[starts])
@@ -210,7 +211,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     known = bool(model.languages)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, WORK_BYTES):
             raw, offsets = text_bytes(batch.column("text"))
             letters = batch.column("letters").to_numpy(zero_copy_only=False)
             data = raw.tobytes()
@@ -235,7 +236,7 @@ def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     schema = docs.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, WORK_BYTES):
             raw, offsets = text_bytes(batch.column("text"))
             data = raw.tobytes()
             texts = [data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]

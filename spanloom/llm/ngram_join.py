@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import small_batches, text_bytes
+from .arrow_text import WORK_BYTES, small_batches, text_bytes
 from .common import bitmap, in_bitmap, is_small, keyed, scratch_scope, small_arrow_batches, stored
 from .shingles import mix64, parities, sets_of
 from .similar_groups import PERCENT, members_of, similar_components
@@ -99,17 +99,18 @@ def _as_long(x: np.ndarray) -> pa.Array:
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each node its set's size, digest and sketch; and rows without a node: shingles frequent among SEEN of them, with their counts in n."""
-    parts, held = [], 0
-    for batch in small_batches(batches):
+    seen, held = np.empty(SEEN, np.uint64), 0
+    for batch in small_batches(batches, WORK_BYTES):
         values, offsets = sets_of(*text_bytes(batch.column("text")))
         yield _described(batch.column("node"), values, offsets)
-        parts.append(values)
-        held += len(values)
-        if held >= SEEN:
-            yield from _often(np.concatenate(parts))
-            parts, held = [], 0
-    if parts:
-        yield from _often(np.concatenate(parts))
+        while len(values):
+            part = values[: SEEN - held]
+            seen[held : held + len(part)] = part
+            held, values = held + len(part), values[len(part) :]
+            if held == SEEN:
+                yield from _often(seen)
+                held = 0
+    yield from _often(seen[:held])
 
 
 def _described(nodes: pa.Array, values: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
@@ -125,15 +126,14 @@ def _described(nodes: pa.Array, values: np.ndarray, offsets: np.ndarray) -> pa.R
 
 
 def _often(values: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Shingles that are there LOCAL times or more."""
-    ordered = np.sort(values)
-    edges = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])) if len(ordered) else np.zeros(1, np.int64)
-    counts = np.diff(edges)
-    often = counts >= LOCAL
-    if often.any():
-        tokens = ordered[edges[:-1][often]]
+    """Shingles that are there LOCAL times or more. The values are sorted in place."""
+    values.sort()
+    first, last = values[: 1 - LOCAL], values[LOCAL - 1 :]
+    tokens = np.unique(first[first == last])
+    if len(tokens):
+        counts = np.searchsorted(values, tokens, side="right") - np.searchsorted(values, tokens)
         none = pa.nulls(len(tokens), pa.int64())
-        yield pa.record_batch([none, pa.array(counts[often]), _as_long(tokens), none, pa.nulls(len(tokens), pa.list_(pa.int64()))], names=["node", "n", "d1", "d2", "sketch"])
+        yield pa.record_batch([none, pa.array(counts), _as_long(tokens), none, pa.nulls(len(tokens), pa.list_(pa.int64()))], names=["node", "n", "d1", "d2", "sketch"])
 
 
 def _frequent_bitmap(profile: DataFrame) -> np.ndarray:
@@ -148,7 +148,7 @@ def _signature_rows(reps: DataFrame, frequent: np.ndarray) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, WORK_BYTES):
             values, offsets = sets_of(*text_bytes(batch.column("text")))
             sigs, rows, sizes = signatures(values, offsets, in_bitmap(bits, CELL_BITS, values))
             nodes = batch.column("node").to_numpy(zero_copy_only=False)

@@ -12,7 +12,7 @@ import numpy as np
 from .arrow_text import runs_of_rows
 
 WIDTH = 5
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 
 _RNG = np.random.default_rng(20240229)
 _LOWER = np.arange(256)

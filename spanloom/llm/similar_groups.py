@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .arrow_text import small_batches, text_bytes
+from .arrow_text import WORK_BYTES, small_batches, text_bytes
 from .common import is_small, scratch_scope, stored
 from .components import components
 from .shingles import sets_of
@@ -91,7 +91,7 @@ def _verify(pairs: DataFrame, texts: Texts, n_pairs: int) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(0, np.uint64)
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, WORK_BYTES):
             values, offsets = sets_of(*text_bytes(batch.column("text")))
             first = batch.column("first").to_numpy(zero_copy_only=False)
             linked = np.zeros(len(first), bool)
@@ -167,7 +167,7 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root = search(np.concatenate(held_values), offsets)
         return pa.record_batch([pa.array(nodes), pa.array(nodes[root])], names=["node", "label"])
 
-    for batch in small_batches(batches):
+    for batch in small_batches(batches, WORK_BYTES):
         values, offsets = sets_of(*text_bytes(batch.column("text")))
         labels, nodes, sizes = batch.column("label").to_numpy(), batch.column("node").to_numpy(), np.diff(offsets)
         edges = np.concatenate([[0], np.flatnonzero(labels[1:] != labels[:-1]) + 1, [len(labels)]]).tolist() if len(labels) else [0]

@@ -2,8 +2,10 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spanloom.llm import ngram_join, similar_groups
@@ -139,3 +141,23 @@ def test_sketches_rule_out_no_link(spark):
     linked = {(a, b) for (a, b), n in both.items() if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n)}
     assert linked <= kept and len(linked) > 40
     assert not any(both[p] == 0 and len(sets[p[0]]) >= 64 for p in kept)
+
+
+def test_profile_holds_one_part(monkeypatch):
+    """A worker that describes texts holds one part of shingles and what is made of a megabyte of text, and counts what is frequent in the part."""
+    monkeypatch.setattr(ngram_join, "SEEN", 1 << 20)
+    rng = np.random.default_rng(5)
+    words = rng.integers(0, 1 << 40, 1_200_000).astype("U")
+    texts = [" ".join(x) for x in np.split(words, 1200)]
+    texts[::100] = ["the same five words again"] * 12
+    batches = [pa.record_batch([pa.array(range(a, a + 400)), pa.array(texts[a : a + 400])], names=["node", "text"]) for a in (0, 400, 800)]
+    next(ngram_join._profile(iter([pa.record_batch([pa.array([0]), pa.array(["a b c"])], names=["node", "text"])])))  # what is made once
+    tracemalloc.start()
+    nodes, often = 0, []
+    for out in ngram_join._profile(iter(batches)):
+        nodes += out.num_rows - out.column("node").null_count
+        often += [n for n, node in zip(out.column("n").to_pylist(), out.column("node").to_pylist(), strict=True) if node is None]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert nodes == 1200 and len(often) == 1 and often[0] in (11, 12)  # one may lie beyond the part
+    assert peak < 40 << 20
