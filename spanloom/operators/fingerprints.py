@@ -26,6 +26,15 @@ def cadence(times: DataFrame, limit: float = 0.2, least: int = 10) -> DataFrame:
     return g.select("film_id", "n", F.coalesce("cv", F.lit(0.0)).alias("cv"), ((F.col("n") >= least) & (F.coalesce("cv", F.lit(0.0)) < limit)).alias("fixed"))
 
 
+def even(times: str, limit: float = 0.2, least: int = 10) -> Column:
+    """The same of a sorted list of a film's different times."""
+    rest = F.greatest(F.size(times) - 1, F.lit(0))
+    gaps_of = F.zip_with(F.slice(times, F.lit(2), rest), F.slice(times, F.lit(1), rest), lambda x, y: (x - y).cast("double"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
+    cv = lambda g: let(total(g) / F.size(g), lambda mean: F.sqrt(total(F.transform(g, lambda x: (x - mean) * (x - mean))) / F.size(g)) / mean)
+    return let(gaps_of, lambda g: (F.size(times) >= least) & (F.when(F.size(g) > 0, F.round(cv(g), 6)).otherwise(0.0) < limit))
+
+
 def without_cadence(times: DataFrame, unit_ms: int, often: int) -> DataFrame:
     """Times whose gap, in units, is not among those that a film has `often` times; the first stays."""
     g = gaps(times).withColumn("k", F.expr(f"gap div {unit_ms}"))
@@ -66,8 +75,12 @@ def peaks(series: DataFrame, value: str, k: int, spacing: int) -> DataFrame:
 def spaced(times: DataFrame, spacing: int) -> DataFrame:
     """Times from left to right that are at least `spacing` after the last one kept."""
     lists = times.groupBy("film_id").agg(F.array_sort(F.collect_list("t_ms")).alias("a"))
-    kept = F.aggregate("a", F.array().cast("array<bigint>"), lambda acc, t: F.when((F.size(acc) == 0) | (t - F.coalesce(F.element_at(acc, -1), F.lit(-spacing).cast("bigint")) >= spacing), F.array_append(acc, t)).otherwise(acc))
-    return lists.select("film_id", F.explode(kept).alias("t_ms"))
+    return lists.select("film_id", F.explode(spaced_list(F.col("a"), spacing)).alias("t_ms"))
+
+
+def spaced_list(times: Column, spacing: int) -> Column:
+    """Of a sorted list of times those that are at least `spacing` after the last one kept."""
+    return F.aggregate(times, F.array().cast("array<bigint>"), lambda acc, t: F.when((F.size(acc) == 0) | (t - F.coalesce(F.element_at(acc, -1), F.lit(-spacing).cast("bigint")) >= spacing), F.array_append(acc, t)).otherwise(acc))
 
 
 def hamming(a: Column, b: Column) -> Column:

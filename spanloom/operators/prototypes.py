@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .fingerprints import cadence, hamming, let, majority_hash, nearest_time, pairs_made, smooth, spaced
+from .fingerprints import even, hamming, let, majority_hash, pairs_made, smooth, spaced_list
 from .intervals import point_join
 
 #: Fixed values of the trials.
@@ -123,16 +123,17 @@ def end_anchors(films: DataFrame, times: DataFrame) -> DataFrame:
     """film_id, outcome, n_keyframes, n_body, peaks, inner_span_ms of each film with a duration (version 11).
 
     Of the keyframes between 5 and 95 % of the film those nearest to 25 times counted from its end, the earlier of two as near, with 30 s between them. Outcomes: keyframes, body (fewer than ten of either), even (gaps whose
-    deviation is under a fifth of their mean), peaks (fewer than five), ok; peaks are null but for ok."""
+    deviation is under a fifth of their mean), peaks (fewer than five), ok; peaks are null but for ok. A film's times are one list, so that one grouping is all that is sorted."""
     held = films.where("duration_ms > 0").select("film_id", "duration_ms")
-    rows = times.select("film_id", "t_ms").distinct().join(held, "film_id")
-    inside = rows.where((F.col("t_ms") >= F.floor(F.col("duration_ms") * 0.05)) & (F.col("t_ms") <= F.floor(F.col("duration_ms") * 0.95))).select("film_id", "t_ms")
-    counts = held.join(rows.groupBy("film_id").agg(F.count(F.lit(1)).alias("n_keyframes")), "film_id", "left").join(cadence(inside).select("film_id", F.col("n").alias("n_body"), "fixed"), "film_id", "left")
-    from_end = F.transform(F.sequence(F.lit(TARGETS - 1), F.lit(0)), lambda i: F.col("duration_ms") - TARGET_SKIP - i * TARGET_STEP)
-    targets = held.select("film_id", F.explode(F.filter(from_end, lambda t: t >= 0)).alias("target"))
-    near = nearest_time(targets, inside).where("nearest IS NOT NULL").select("film_id", F.col("nearest").alias("t_ms")).distinct()
-    lists = spaced(near, TARGET_SPACING).groupBy("film_id").agg(F.array_sort(F.collect_list("t_ms")).alias("peaks"))
-    out = counts.join(lists, "film_id", "left").select("film_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_keyframes", "n_body")), "fixed", "peaks")
+    lists = times.groupBy("film_id").agg(F.array_sort(F.collect_set("t_ms")).alias("a"), F.max(F.col("t_ms").isNull().cast("int")).alias("blank"))
+    none, d = F.array().cast("array<bigint>"), F.col("duration_ms")
+    out = held.join(lists, "film_id", "left").select("film_id", "duration_ms", F.coalesce("a", none).alias("a"), F.coalesce("blank", F.lit(0)).alias("blank"))
+    out = out.withColumn("inside", F.filter("a", lambda t: (t >= F.floor(d * 0.05)) & (t <= F.floor(d * 0.95))))
+    from_end = F.filter(F.transform(F.sequence(F.lit(TARGETS - 1), F.lit(0)), lambda i: d - TARGET_SKIP - i * TARGET_STEP), lambda t: t >= 0)
+    nearest = lambda t: F.array_min(F.transform("inside", lambda x: F.struct(F.abs(x - t).alias("off"), x.alias("t"))))["t"]
+    near = F.when(F.size("inside") > 0, F.array_sort(F.array_distinct(F.transform(from_end, nearest)))).otherwise(none)
+    n, body_n = ((F.size(c)).cast("long") for c in ("a", "inside"))
+    out = out.select("film_id", (n + F.col("blank")).alias("n_keyframes"), body_n.alias("n_body"), even("inside").alias("fixed"), spaced_list(near, TARGET_SPACING).alias("peaks"))
     outcome = F.when(F.col("n_keyframes") < 10, "keyframes").when(F.col("n_body") < 10, "body").when(F.col("fixed"), "even").when(F.coalesce(F.size("peaks"), F.lit(0)) < 5, "peaks").otherwise("ok")
     out = out.withColumn("outcome", outcome).withColumn("peaks", F.when(F.col("outcome") == "ok", F.col("peaks")))
     return out.select("film_id", "outcome", "n_keyframes", "n_body", "peaks", (F.get("peaks", F.size("peaks") - 2) - F.get("peaks", F.lit(1))).alias("inner_span_ms"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import fingerprints as P
 from ..operators import prototypes as T
-from ..session import table
+from ..session import table, written
 from ..sources.adapters import with_
 from .matching import _times, match_sql
 
@@ -46,6 +46,7 @@ def end_anchors(s, d):
     """Keyframes of films, of which every fifth has even ones instead."""
     rank = F.row_number().over(W.partitionBy("film_id").orderBy("t_ms")) - 1
     times = _times(s, d).withColumn("t_ms", F.when(F.col("film_id") % 5 == 0, rank * 31_000).otherwise(F.col("t_ms")).cast("long"))
+    times = written(times, "times")
     films = times.groupBy("film_id").agg((F.max("t_ms") + 20_000).alias("duration_ms"))
     out = T.end_anchors(films, times)
     return out.select("film_id", "outcome", "n_keyframes", "n_body", F.size("peaks").cast("long").alias("n_peaks"), F.get("peaks", F.lit(0)).alias("first_ms"), F.element_at("peaks", -1).alias("last_ms"), "inner_span_ms")

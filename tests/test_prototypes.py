@@ -196,3 +196,21 @@ def test_verdicts(spark):
         assert v14[k].same == (on_time and compared > 0 and close / compared >= 0.40)
         said |= {(12, v12[k].same), (13, v13[k].same), (14, v14[k].same), v13[k].outcome}
     assert said >= {(12, True), (12, False), (13, True), (13, False), (14, True), (14, False), "timing", "compared"}
+
+
+def test_end_anchors_group_once(spark):
+    """One list a film: no window sorts a task's rows again. Repeated times count once, a film without times has none, a blank time counts as a keyframe."""
+    films = spark.createDataFrame([(1, 9_000_000), (2, 9_000_000), (3, 9_000_000), (4, 0)], "film_id long, duration_ms long")
+    uneven = [k * 31_000 + k * k % 7 * 9_000 for k in range(280)]
+    rows = [(1, t) for t in uneven + uneven[:50]] + [(2, k * 31_000) for k in range(280)] + [(2, None), (4, 1000)]
+    out = T.end_anchors(films, spark.createDataFrame(rows, "film_id long, t_ms long"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    got = {x.film_id: x for x in out.collect()}
+    assert {k: (x.outcome, x.n_keyframes) for k, x in got.items()} == {1: ("ok", len(set(uneven))), 2: ("even", 281), 3: ("keyframes", 0)}
+    inside = sorted({t for t in uneven if 450_000 <= t <= 8_550_000})
+    near = sorted({min(inside, key=lambda x: (abs(x - t), x)) for t in (9_000_000 - 300_000 - k * 180_000 for k in range(25))})
+    kept = near[:1]
+    for t in near[1:]:
+        kept += [t] if t - kept[-1] >= 30_000 else []
+    assert got[1].peaks == kept and got[1].n_body == len(inside)
