@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import trust as T
 from ..operators import vectors as V
-from ..session import table
+from ..session import table, written
 from ..sources import adapters as A
 from ..sources.adapters import with_
 
@@ -80,9 +80,14 @@ def _direct(s, d):
     return T.fold(A.decisions(s, d))
 
 
-def _seeds(s, d):
+def _edges(s, d):
+    """Endorsements, made once of all lines: each step of a walk reads them again."""
+    return written(A.endorsements(s, d), "endorsements")
+
+
+def _seeds(edges):
     """Direct trust of suppliers: every third is trusted."""
-    return A.endorsements(s, d).select("author").distinct().where("author % 3 = 0").select("author", (F.lit(0.8) + (F.col("author") % 5) / 10).alias("score"), F.lit(3).cast("long").alias("n"))
+    return edges.select("author").distinct().where("author % 3 = 0").select("author", (F.lit(0.8) + (F.col("author") % 5) / 10).alias("score"), F.lit(3).cast("long").alias("n"))
 
 
 _SEEDS = ", seeds AS (SELECT author, 0.8 + (author % 5) / 10 AS score FROM (SELECT DISTINCT author FROM endorsements) WHERE author % 3 = 0)"
@@ -110,14 +115,20 @@ _DIRECT = with_("decisions", "feedback", recursive=True) + ", dec AS (SELECT aut
 
 
 def effective_weights(s, d):
-    authors = A.endorsements(s, d).select(F.explode(F.array("author", "target")).alias("author")).distinct()
-    return T.effective(authors, _seeds(s, d), T.bootstrap(_seeds(s, d), A.endorsements(s, d)))
+    edges = _edges(s, d)
+    authors = edges.select(F.explode(F.array("author", "target")).alias("author")).distinct()
+    return T.effective(authors, _seeds(edges), T.bootstrap(_seeds(edges), edges))
+
+
+def bootstrapped(s, d):
+    edges = _edges(s, d)
+    return T.bootstrap(_seeds(edges), edges).withColumn("bootstrap", F.round("bootstrap", 6))
 
 
 def evicted(s, d):
     """Endorsements that stay when two thirds of them may."""
-    edges = A.endorsements(s, d)
-    return T.evict(edges, _seeds(s, d), 2 * edges.count() // 3)
+    edges = _edges(s, d)
+    return T.evict(edges, _seeds(edges), 2 * edges.count() // 3)
 
 
 def _batches(s, d):
@@ -153,7 +164,7 @@ def queries():
         "u3_digest_dedup": digest_dedup,
         "p9_row_shapes": row_shapes,
         "a20_trust_fold": _direct,
-        "g1_bootstrap": lambda s, d: T.bootstrap(_seeds(s, d), A.endorsements(s, d)).withColumn("bootstrap", F.round("bootstrap", 6)),
+        "g1_bootstrap": bootstrapped,
         "g2_effective_weight": effective_weights,
         "o5_outbound_endorsements": lambda s, d: T.outbound(_direct(s, d).withColumn("score", F.round(F.col("score") * 4, 6))),
         "o6_evicted_endorsements": evicted,

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from spanloom.operators import trust as T
+from spanloom.plans import community
 
 
 def decided(spark, *runs):
@@ -92,3 +93,10 @@ def test_running_sum(spark):
         total += v
         want[k] = total
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["o6_evicted_endorsements", "g1_bootstrap", "g2_effective_weight"])
+def test_endorsements_are_made_once(spark, name):
+    """The lines behind the endorsements are grouped once: what a query joins again and again is a stored table."""
+    out = community.queries()[name](spark, "/root/testdata/sf0.001")
+    assert not [f for f in out.inputFiles() if "lineitem" in f]
