@@ -186,7 +186,9 @@ def learn(docs: DataFrame, learn_rows: int = LEARN_ROWS) -> Model:
     shares = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     spark, order = docs.sparkSession, F.xxhash64("doc_id", "text")
     # a first draw of about twice the rows by their hashes, so that little is sorted; a language of few rows gives all
-    chance = spark.createDataFrame([(k, min(2**63 - 1, int((2 * learn_rows + 100) / n * 2**63))) for k, n in shares.items()], "lang string, most long")
+    # made of an Arrow table, as rows of a list take Python workers of another kind, which executors keep besides those of the texts
+    most = [min(2**63 - 1, int((2 * learn_rows + 100) / n * 2**63)) for n in shares.values()]
+    chance = spark.createDataFrame(pa.table({"lang": pa.array(list(shares), pa.string()), "most": pa.array(most, pa.int64())}))
     drawn = labelled.join(F.broadcast(chance), "lang").where(F.shiftrightunsigned(order, 1) <= F.col("most"))
     drawn = drawn.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy(order, "doc_id")))
     sample = drawn.where(F.col("nth") <= learn_rows)

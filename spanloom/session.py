@@ -24,9 +24,9 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
 
 
 def small_arrow_batches(spark: SparkSession, size: int = 4 << 20) -> None:
-    """From now on Arrow batches hold about `size` bytes where the session has Spark's default limit: rows here may be blocks of a megabyte."""
+    """From now on Arrow batches hold about `size` bytes where the session sets no limit of its own: rows here may be blocks of a megabyte."""
     limit = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(limit) == str(64 << 20):
+    if spark.conf.get(limit, None) is None:
         spark.conf.set(limit, str(size))
 
 

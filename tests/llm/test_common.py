@@ -3,6 +3,11 @@
 import threading
 from pathlib import Path
 
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from spanloom import session
 from spanloom.llm import common
 
 
@@ -42,3 +47,19 @@ def test_a_session_without_a_folder_gets_one_and_its_tables_go(spark, monkeypatc
         common.stored(spark.range(5), "gone")
     names = {p.parent.name for p in Path(folder).rglob("*.parquet")}
     assert names == {"kept"} and kept.count() == 5
+
+
+@pytest.mark.parametrize("limit", [common.small_arrow_batches, session.small_arrow_batches])
+def test_batches_hold_about_the_limit_unless_the_session_has_its_own(spark, limit):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], names=["bytes"])
+
+    with common.settings(spark, {common.BATCH_LIMIT: "1m"}):
+        limit(spark)
+        assert spark.conf.get(common.BATCH_LIMIT) == "1m"
+        spark.conf.unset(common.BATCH_LIMIT)
+        limit(spark)
+        rows = spark.range(0, 200, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+        got = [r["bytes"] for r in rows.mapInArrow(sizes, "bytes long").collect()]
+        assert sum(got) >= 20_000_000 and max(got) <= 1.5 * common.BATCH_BYTES

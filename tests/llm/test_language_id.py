@@ -70,6 +70,16 @@ def test_a_repeated_doc_id_does_not_swell_the_sample(spark):
     assert model.languages == ["en", "es"] and max(len(g.keys) for g in model.grams) < 200
 
 
+def test_learning_starts_no_workers_of_another_kind(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"uno dos {k}", "es") for k in range(50)], "doc_id long, text string, lang string")
+
+    def refuse(*_):
+        raise AssertionError("rows of a list go through plain Python workers")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refuse)
+    assert learn(docs).languages == ["es"] and learn(docs.where("lang = 'none'")).languages == []
+
+
 def test_odd_tables(spark):
     schema = "doc_id long, text string, lang string, held_out string, score string"
     rows = [(1, "one two three " * 20, "en", "x", "y"), (2, None, "en", None, None), (3, "", None, None, None), (4, "12 34 !", "en", None, None), (None, "one two", None, None, None), (1, "one two three " * 20, "en", "x", "y"), (7, "é" * 300_000, None, None, None)]
